@@ -47,6 +47,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a stored table if its counted rows are within the bound; else leave the join to the planner."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def let(value: Column, body) -> Column:
     """Bind a value to a lambda variable, so that it is computed once however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, store, store_at
+from .common import ascii_lower, bounded, store
 
 #: Runs of characters that are in no word, after A-Z are lower-cased.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,15 +37,10 @@ def _dkey() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a stored table if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The stored postings (term, dkey, pos) of the vocabulary's terms in all documents."""
     base = docs.select(_dkey().alias("dkey"), "text")
-    return store(_tokens(base, "dkey").join(_bounded(vocabulary, BROADCAST_TERMS), "term").select("term", "dkey", "pos"), "postings")
+    return store(_tokens(base, "dkey").join(bounded(vocabulary, BROADCAST_TERMS), "term").select("term", "dkey", "pos"), "postings")
 
 
 def windows_of(items: DataFrame, size: int) -> DataFrame:
@@ -69,15 +64,15 @@ def phrase_hits(index: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """(dkey, ikey, pos): document positions inside exact occurrences of the items' windows."""
     wanted = store(rarest_terms(windows_of(items, size), index), "wanted")
     at = (F.col("pos") - F.col("ws") - F.col("o1")).alias("start")
-    lists = index.join(_bounded(wanted.select(F.col("t1").alias("term")).distinct(), BROADCAST_TERMS), "term", "left_semi")
+    lists = index.join(bounded(wanted.select(F.col("t1").alias("term")).distinct(), BROADCAST_TERMS), "term", "left_semi")
     started = lists.join(wanted, lists["term"] == wanted["t1"]).select("dkey", "ikey", "ws", "t2", "o2", (at + F.col("ws")).alias("start")).where("start >= 0")
-    second = index.join(_bounded(wanted.select(F.col("t2").alias("term")).where("term is not null").distinct(), BROADCAST_TERMS), "term", "left_semi")
+    second = index.join(bounded(wanted.select(F.col("t2").alias("term")).where("term is not null").distinct(), BROADCAST_TERMS), "term", "left_semi")
     second = second.select("dkey", F.col("term").alias("t2"), F.col("pos").alias("p2"))
     need = started.withColumn("p2", F.col("start") + F.col("o2"))
     met = need.where("t2 is not null").join(second, ["dkey", "t2", "p2"], "left_semi").unionByName(need.where("t2 is null"))
     lines = store(met.select("dkey", "ikey", (F.col("start") - F.col("ws")).alias("diag")).distinct(), "lines")
     asked = lines.join(items, "ikey").select("dkey", "ikey", "diag", "term", F.col("pos").alias("ipos"), F.least("length", F.lit(size)).alias("n"), (F.col("diag") + F.col("pos")).alias("pos"))
-    near = index.join(_bounded(store(lines.select("dkey").distinct(), "near"), BROADCAST_TERMS), "dkey", "left_semi")
+    near = index.join(bounded(store(lines.select("dkey").distinct(), "near"), BROADCAST_TERMS), "dkey", "left_semi")
     same = asked.where("pos >= 0").join(near, ["dkey", "pos", "term"])
     w = W.partitionBy("dkey", "ikey", "diag")
     runs = same.withColumn("run", F.col("ipos") - F.row_number().over(w.orderBy("ipos"))).withColumn("got", F.count("*").over(W.partitionBy("dkey", "ikey", "diag", "run")))
@@ -139,4 +134,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) ->
     items, _ = item_terms(benchmark)
     index = build_index(own, store(items.select("term").distinct(), "vocabulary"))
     bad = store(phrase_hits(index, items, size).select("dkey").distinct(), "bad")
-    return docs.withColumn("_dkey", _dkey()).join(_bounded(bad.withColumnRenamed("dkey", "_dkey"), BROADCAST_TERMS), "_dkey", "left_anti").select(*docs.columns)
+    return docs.withColumn("_dkey", _dkey()).join(bounded(bad.withColumnRenamed("dkey", "_dkey"), BROADCAST_TERMS), "_dkey", "left_anti").select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, decontaminate, mixing, personal, quality, token_counts, urls
+from . import credentials, decontaminate, mixing, neardup, personal, quality, token_counts, urls
 from .common import read_documents
 
 
@@ -26,6 +26,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(read_documents(spark, sf_dir))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(read_documents(spark, sf_dir))
 
@@ -42,6 +46,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_mixing, op5_decontaminate, op7_secrets, op8_personal, op9_urls, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_mixing, op5_decontaminate, op6_neardup, op7_secrets, op8_personal, op9_urls, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
