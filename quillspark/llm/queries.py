@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, decontaminate, lm_score, mixing, neardup, personal, quality, token_counts, urls
+from . import credentials, decontaminate, lm_score, mixing, neardup, personal, quality, token_counts, token_store, urls
 from .common import read_documents
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(read_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_documents(spark, sf_dir))
 
@@ -50,6 +54,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_lm_score, op4_mixing, op5_decontaminate, op6_neardup, op7_secrets, op8_personal, op9_urls, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_lm_score, op4_mixing, op5_decontaminate, op6_neardup, op7_secrets, op8_personal, op9_urls, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
