@@ -1,6 +1,27 @@
-"""The registered queries, gathered from the operator modules."""
+"""The registered queries: each a plan over the tables of a folder, most with an equivalent SQL text."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["cat_by_category"](spark, sf_dir)
+
+
+from . import classify_queries, graph_queries, state_queries, text_queries  # noqa: E402, F401
