@@ -177,7 +177,7 @@ _SCORED = f"""{_PAIR_BASE}, cp AS (SELECT *, {_theme_list(sql.normalize('text'))
 x AS (SELECT cp.key AS a, ip.key AS b, CASE WHEN {_BARE('cp.name')} = {_BARE('ip.name')} THEN 60 WHEN contains({_BARE('cp.name')}, {_BARE('ip.name')}) OR contains({_BARE('ip.name')}, {_BARE('cp.name')}) THEN 35 ELSE 0 END
  + least(8 * len(list_intersect(cp.th, ip.th)), 25) + CASE WHEN len(list_intersect({_BR}, ip.th)) > 0 THEN 18 + least(4 * len(list_intersect({_BR}, ip.th)), 12) ELSE 0 END
  + CASE WHEN contains(ip.hay, 'license') AND regexp_matches(cp.hay, 'the|der') THEN 16 ELSE 0 END + CASE WHEN regexp_matches(ip.hay, 'ein|une') AND regexp_matches(cp.hay, 'con|avec') THEN 12 ELSE 0 END AS base FROM cp, ip WHERE cp.name <> ip.name),
-z AS (SELECT x.a, x.b, base + coalesce(least(round_even(round(2 * weight / (SELECT mean_idf FROM m), 6), 0), 25), 0)::INT AS score FROM x LEFT JOIN sh ON x.a = sh.a AND x.b = sh.b)"""
+z AS (SELECT x.a, x.b, base + CASE WHEN weight IS NULL THEN 0 ELSE least(round_even(round(2 * weight / (SELECT mean_idf FROM m), 6), 0), 25)::INT END AS score FROM x LEFT JOIN sh ON x.a = sh.a AND x.b = sh.b)"""
 
 
 @query(f"{_SCORED} SELECT a, b, score::INT AS score FROM z WHERE score >= 34")

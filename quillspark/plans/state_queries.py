@@ -117,14 +117,14 @@ def llm_prompt(spark, d):
     return verdicts.numbered_prompt(src.notes(spark, d).where("layer = 'output'"), "doc_id", "name", "text")
 
 
-@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_window(spark, d):
-    return ev.daily(spark.read.parquet(f"{d}/events.parquet"))
+    return ev.daily(spark.read.parquet(f"{d}/events.parquet")).withColumn("day", F.col("day").cast("string"))
 
 
-@query("WITH e AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day FROM events), k AS (SELECT day - CAST(i AS INTEGER) AS day FROM e, range(7) r(i)) SELECT day, count(*) AS n FROM k GROUP BY day")
+@query("WITH e AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day FROM events), k AS (SELECT day - CAST(i AS INTEGER) AS day FROM e, range(7) r(i)) SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n FROM k GROUP BY day")
 def stream_sliding_7d(spark, d):
-    return ev.sliding(spark.read.parquet(f"{d}/events.parquet"))
+    return ev.sliding(spark.read.parquet(f"{d}/events.parquet")).withColumn("day", F.col("day").cast("string"))
 
 
 @query("WITH l AS (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id) SELECT user_id, last_seen, date_diff('day', CAST(last_seen AS DATE), DATE '2024-02-03') AS age_days, CASE WHEN date_diff('day', CAST(last_seen AS DATE), DATE '2024-02-03') <= 7 THEN 'recent' WHEN date_diff('day', CAST(last_seen AS DATE), DATE '2024-02-03') > 30 THEN 'cold' ELSE 'idle' END AS state FROM l")
