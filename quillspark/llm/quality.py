@@ -120,7 +120,8 @@ def thresholds(sketch: DataFrame, p: QualityParams = QualityParams()) -> DataFra
         return _quartiles(sketch, keys).groupBy(*keys).agg(F.max("size").alias(f"{name}_size"), *cols)
 
     g, l, a = limits(["lang", "source"], "g"), limits(["lang"], "l"), limits([], "a")
-    every = g.join(l.withColumnRenamed("lang", "lang_"), F.col("lang").eqNullSafe(F.col("lang_")), "left").join(a, F.lit(True), "left")
+    every = g.join(l.withColumnRenamed("lang", "lang_"), F.col("lang").eqNullSafe(F.col("lang_")), "left")
+    every = every.withColumn("_all", F.lit(1)).join(a.withColumn("_all", F.lit(1)), "_all")  # a has one row
     pick = lambda k: F.when(F.col("g_size") >= p.min_group, F.col(f"g_{k}")).when(F.col("l_size") >= p.min_group, F.col(f"l_{k}")).otherwise(F.col(f"a_{k}"))
     return every.select("lang", "source", *(pick(k).alias(k) for k in FEATURES))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import credentials, decontaminate, lm_score, mixing, neardup, personal, quality, token_counts, token_store, urls
 from .common import read_documents
+from .oracle import ORACLE  # noqa: F401
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,5 +56,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_lm_score, op4_mixing, op5_decontaminate, op6_neardup, op7_secrets, op8_personal, op9_urls, op10_token_counts)}
-
-ORACLE: dict[str, str] = {}
