@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import TRIM
+
 
 def cache_key(purpose: str, version: str, model: str, content: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(purpose), F.lit(version), F.lit(model), content))
@@ -46,7 +48,7 @@ def json_block(reply: Column) -> Column:
     fenced = F.regexp_extract(reply, r"(?s)```(?:json)?[ \t]*\n?(.*?)```", 1)
     braces = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
     valid = lambda c: F.when(F.get_json_object(c, "$").isNotNull(), c)
-    return F.coalesce(valid(F.btrim(reply)), valid(F.btrim(fenced)), valid(braces))
+    return F.coalesce(*(valid(F.btrim(x, F.lit(TRIM))) for x in (reply, fenced, braces)))
 
 
 def numbered_prompt(items: DataFrame, order: str, name: str, text: str, most: int = 50, chars: int = 300) -> DataFrame:
