@@ -122,6 +122,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+def admissible(kind: int, span: str) -> bool:
+    """What a decoded span must hold to be of its kind: one line, and an @, three dots, or enough digits."""
+    digits = sum(c.isdigit() for c in span)
+    return "\n" not in span and (span.count("@") == 1 if kind == 0 else digits >= 4 and span.count(".") >= 3 if kind == 1 else digits >= (12, 7)[kind - 2])
+
+
 class Tagger:
     """BiLSTM emissions and CRF transitions; all arrays are (batch, time, ...). Class N_CLASSES - 1 pads."""
 
@@ -255,7 +261,7 @@ class Tagger:
                 k, end = (path[j] - 1) // 2, j + 1
                 while end < len(path) and path[end] == 2 + 2 * k:
                     end += 1
-                if any(c.isdigit() or c == "@" for c in t[j:end]):
+                if admissible(k, t[j:end]):
                     spans.append((int(j), int(k), int(end)))
             out.append(spans)
         return out
