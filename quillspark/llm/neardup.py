@@ -3,9 +3,10 @@
 Texts with equal word sequences form a class, stood for by one document. A register is the truncated
 integer logarithm, to base B, of the least exponential value that a set's shingles draw for it; sketches
 merge by the maximum. Bands of registers propose links. Within a band's bucket every document is first
-compared with the bucket's head, which settles large groups of copies with a link for each; buckets that
-still hold several components then have their sketches compared in blocks, and pairs of different
-components whose likelihood estimate is not clearly below the threshold are verified on full sets.
+compared with the bucket's head, which settles large groups of copies with a link for each. Members of
+buckets that still hold several components then meet in blocks, with their sketches and sets: pairs of
+different components that the likelihood estimate does not rule out are verified at once, in the first
+band that they share, and a block gives a spanning forest of its links instead of all of them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .shingles import mix, shingle_set
 class NearParams:
     """percent: least similarity of linked sets. bands x rows registers. base, top: registers hold
     0..top. slack: standard deviations below the threshold at which an estimate rules a pair out.
-    block: members of a bucket compared at once."""
+    block, load: members, and shingles of members, of a bucket compared at once, about."""
 
     percent: int = 85
     bands: int = 24
@@ -37,6 +38,7 @@ class NearParams:
     top: int = 1000
     slack: float = 5.0
     block: int = 512
+    load: int = 400_000
     seed: int = 77
 
     @property
@@ -147,40 +149,94 @@ def _set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, set) of the given ids, stored. If a doc_id has several rows, of the row that stands for it."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(bounded(store(ids.distinct(), "ids"), BROADCAST_IDS), "id", "left_semi")
+    sets = texts.mapInArrow(_set_of, "id long, class binary, set array<long>")
+    if "class" in reps.columns:
+        sets = sets.join(reps.select("id", "class"), ["id", "class"]).groupBy("id").agg(F.first("set").alias("set"))
+    return store(sets.select("id", "set"), "sets")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
     """The pairs (a, b) of document ids whose full shingle sets are similar enough. Each set is built
     once; a pair meets its two sets in two joins on evenly dealt keys, a busy one split as skew."""
-    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(bounded(ids, BROADCAST_IDS), "id", "left_semi")
-    sets = texts.mapInArrow(_set_of, "id long, class binary, set array<long>")
-    if "class" in reps.columns:  # a doc_id may have several rows: the set of the row that stands for it
-        sets = sets.join(reps.select("id", "class"), ["id", "class"]).groupBy("id").agg(F.first("set").alias("set"))
-    sets = store(sets.select("id", "set"), "sets")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, reps)
     x = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     x = x.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = F.size(F.array_intersect("x", "y"))
     return x.where(100 * both >= p.percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _compare(p: NearParams):
-    """Pairs of one or two blocks' members in different components that the sketches do not rule out."""
+def forest(ids, comp, n, regs, chunk, sets, band: int, p: NearParams) -> list[tuple[int, int]]:
+    """Verified links that join different components among one or two blocks of a bucket, as a forest."""
     floor, least = least_equal(p), p.percent / 100 - p.slack * np.sqrt(0.01 * p.percent * (1 - 0.01 * p.percent) / p.registers)
+    alone, out = (chunk == chunk[0]).all(), []
+    first: dict[int, int] = {}
+    parent = [first.setdefault(int(c), k) for k, c in enumerate(comp)]
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k in range(len(ids)):
+        hit = (comp != comp[k]) & (ids > ids[k]) & (100 * np.minimum(n[k], n) >= p.percent * np.maximum(n[k], n))
+        hit = np.flatnonzero(hit if alone else hit & (chunk != chunk[k]))
+        if not len(hit):
+            continue
+        same = regs[hit] == regs[k]
+        equal = same.sum(axis=1)
+        shared = same.reshape(len(hit), p.bands, p.rows).all(axis=2).argmax(axis=1)  # the first band of two that share this one
+        hit, equal = hit[(equal >= floor) & (shared == band)], equal[(equal >= floor) & (shared == band)]
+        if not len(hit):
+            continue
+        likely = estimate(np.broadcast_to(regs[k], regs[hit].shape), regs[hit], np.full(len(hit), n[k]), n[hit], p) >= least
+        for j in hit[likely][np.argsort(-equal[likely], kind="stable")]:
+            x, y = find(k), find(int(j))
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+            if 100 * both >= p.percent * (n[k] + n[j] - both):
+                parent[y] = x
+                out.append((int(ids[k]), int(ids[j])))
+    return out
 
-    def run(members: pa.Table) -> pa.Table:
-        ids, comp, n, chunk = (members.column(c).to_numpy() for c in ("id", "component", "n", "chunk"))
-        regs = np.frombuffer(b"".join(members.column("regs").to_pylist()), np.uint16).reshape(len(ids), -1)
-        alone = (chunk == chunk[0]).all()
-        a_out, b_out = [], []
-        for k in range(len(ids)):
-            hit = (comp != comp[k]) & (ids > ids[k]) & (100 * np.minimum(n[k], n) >= p.percent * np.maximum(n[k], n))
-            hit = np.flatnonzero(hit if alone else hit & (chunk != chunk[k]))
-            if len(hit):
-                hit = hit[(regs[hit] == regs[k]).sum(axis=1) >= floor]
-            if len(hit):
-                hit = hit[estimate(np.broadcast_to(regs[k], regs[hit].shape), regs[hit], np.full(len(hit), n[k]), n[hit], p) >= least]
-                a_out += [int(ids[k])] * len(hit)
-                b_out += [int(v) for v in ids[hit]]
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+def _compare(p: NearParams):
+    """Rows of blocks, all of one block or pair of blocks after another, to links."""
+
+    def links(t: pa.Table) -> list[tuple[int, int]]:
+        ids, comp, n, chunk, band = (t.column(c).to_numpy() for c in ("id", "component", "n", "chunk", "band"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), -1)
+        lists = t.column("set").combine_chunks()
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [values[at[k] : at[k + 1]] for k in range(len(ids))]
+        place = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
+        cut = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1), len(ids)]
+        return [x for i, j in zip(cut, cut[1:], strict=False) if j - i > 1 for x in forest(ids[i:j], comp[i:j], n[i:j], regs[i:j], chunk[i:j], sets[i:j], int(band[i]), p)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = np.stack([b.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            last = np.flatnonzero((place != place[:, -1:]).any(axis=0))
+            start = int(last[-1]) + 1 if len(last) else 0  # of the block that may go on in the next batch
+            if kept and (start or any(kept[-1].column(c)[-1].as_py() != b.column(c)[0].as_py() for c in ("key", "lo", "hi"))):
+                yield out(links(pa.Table.from_batches([*kept, b.slice(0, start)])))
+                kept = []
+            elif start:
+                yield out(links(pa.Table.from_batches([b.slice(0, start)])))
+            kept.append(b.slice(start))
+        if kept:
+            yield out(links(pa.Table.from_batches(kept)))
 
     return run
 
@@ -191,19 +247,20 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _open_pairs(buckets: DataFrame, reps: DataFrame, links: DataFrame, p: NearParams) -> DataFrame:
-    """Pairs of members of different components in buckets with several. Buckets are cut into blocks,
+def _open_links(buckets: DataFrame, reps: DataFrame, links: DataFrame, docs: DataFrame, stand: DataFrame, p: NearParams) -> DataFrame:
+    """Links between members of different components in buckets with several. Buckets are cut into blocks,
     and two blocks at a time meet in a task, so that no task holds a whole bucket."""
     comp = store(_components(reps.select("id", "n", "regs"), links), "component")
-    b = buckets.join(comp.select("id", "component"), "id")
-    mixed = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    mixed = store(mixed.select("key", "size"), "mixed")
-    chunks = F.ceil(F.col("size") / p.block).cast("int")
-    m = b.join(mixed, "key").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("id", "key"), chunks).cast("int")})
-    m = m.join(comp.select("id", "n", "regs"), "id")
+    b = buckets.join(comp.select("id", "component", "n"), "id")
+    mixed = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).where("lo <> hi")
+    chunks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("total") / p.load)).cast("int")
+    m = store(b.drop("n").join(store(mixed.select("key", chunks.alias("chunks")), "mixed"), "key"), "members")
+    m = m.withColumn("chunk", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int"))
+    m = m.join(comp.select("id", "n", "regs"), "id").join(sets_of(m.select("id"), docs, stand), "id")
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    m = m.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "id", "component", "n", "regs", "chunk")
-    return m.groupBy("key", "lo", "hi").applyInArrow(_compare(p), "a long, b long").distinct()
+    m = m.select("key", "band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "id", "component", "n", "regs", "chunk", "set")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return m.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(p), "a long, b long").distinct()
 
 
 def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
@@ -225,13 +282,13 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     reps = store(reps.select("id", "x.class", "x.n", "x.regs", "x.keys"), "reps")
     unique = rows.count() == rows.select("doc_id").distinct().count()
     stand = reps.drop("class") if unique else reps
-    flat = reps.select("id", F.explode("keys").alias("key"))
+    flat = reps.select("id", F.posexplode("keys").alias("band", "key"))
     busy = store(flat.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1"), "busy")
-    buckets = store(flat.join(busy, "key").select("key", "id", "head"), "buckets")
+    buckets = store(flat.join(busy, "key").select("key", "band", "id", "head"), "buckets")
     first = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = store(verify(first, base, stand, p).unionByName(twice), "links")
-    rest = store(_open_pairs(buckets.select("key", "id"), reps, links, p), "open").join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(store(verify(store(rest, "rest"), base, stand, p), "links"))
+    more = _open_links(buckets.select("key", "band", "id"), reps, links, base, stand, p)
+    links = links.unionByName(store(more, "links"))
     parts = _components(heads.select("id"), links)
     out = sk.join(store(parts, "all-parts").join(heads, "id"), "class", "left")
     comp = F.coalesce("component", "doc_id")
