@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import discard, new_path, store, store_at
 
 #: Text pieces whose ids a Python worker remembers at most.
-MEMO = 500_000
+MEMO = 400_000
+#: Bytes of text, about, whose rows are built at once.
+PART = 4_000_000
 LETTERS = frozenset(string.ascii_letters)
 
 
@@ -49,6 +51,28 @@ class StoreParams:
     packs: int = 0
 
 
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next
+    one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about PART bytes of text, or one row."""
+    for b in batches:
+        at, size = 0, 0
+        for k, t in enumerate(b.column("text")):
+            n = len(t.as_buffer() or b"") if t.is_valid else 0
+            if k > at and size + n > PART:
+                yield b.slice(at, k - at)
+                at, size = k, 0
+            size += n
+        if at < b.num_rows:
+            yield b.slice(at)
+
+
 class Encoder:
     """Ids of whole texts. A pre-tokeniser of the byte-level kind never joins a space that stands between
     other characters to what is before it, so a text without runs of white space around a space is
@@ -67,19 +91,27 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.unsafe = re.compile(r"\s \s")
+        self.byte_letters = byte_letters()
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Remember pieces. A full stop or comma after an ASCII letter is a token of its own."""
-        memo = self.memo
+        """Remember pieces. A full stop or comma after an ASCII letter is a token of its own; a word of
+        letters alone, with or without a space before it, goes to the library's model as it is."""
+        memo, model, letters = self.memo, self.t.model, self.byte_letters
         parts = {x: (x[:-1], x[-1]) if len(x) > 2 and x[-1] in ".," and x[-2] in LETTERS else (x,) for x in pieces}
-        new = list(dict.fromkeys(y for part in parts.values() for y in part if y not in memo))
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            memo.update((x, np.array(e.ids, np.uint32).tobytes()) for x, e in zip(some, self.t.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        rest = []
+        for y in {y for part in parts.values() for y in part if y not in memo}:
+            word = y[1:] if y[:1] == " " else y
+            if word.isalpha():
+                mapped = ("Ġ" if len(word) < len(y) else "") + (word if word.isascii() else "".join([letters[c] for c in word.encode()]))
+                memo[y] = np.array([t.id for t in model.tokenize(mapped)], np.uint32).tobytes()
+            else:
+                rest.append(y)
+        for y, e in zip(rest, self.t.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            memo[y] = np.array(e.ids, np.uint32).tobytes()
         for x, part in parts.items():
             if len(part) == 2:
                 memo[x] = memo[part[0]] + memo[part[1]]
@@ -90,10 +122,10 @@ class Encoder:
             return self.whole(text)
         first, *rest = text.split(" ")
         pieces = [first] + [" " + x for x in rest]
-        if new := [x for x in dict.fromkeys(pieces) if x not in self.memo]:
+        if new := [x for x in set(pieces) if x not in self.memo]:
             if len(self.memo) + 2 * len(new) > MEMO:
                 self.memo.clear()
-                new = list(dict.fromkeys(pieces))
+                new = list(set(pieces))
             self._learn(new)
         return b"".join(map(self.memo.__getitem__, pieces))
 
@@ -170,7 +202,7 @@ def _encode(path: str, p: StoreParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, press = encoder(path), zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in sliced(batches):
             n, chunks, ends, packed = [], [], [], []
             for t in b.column("text"):
                 ids, at, row = _ids(t.as_py(), e, p), 0, []
@@ -210,7 +242,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owned = [{"nth": k, "shared": mine[k], "ids": small(whole[ends[k] : ends[k + 1]])} for k in sorted(mine)]
             rows.append({"pack": pack, "doc_id": doc_id.as_py(), "seq": seq, "n_tokens": n.as_py(), "chunks": chunks, "owned": owned, "root": merkle(chunks)})
             seq, size = seq + 1, size + n.as_py()
-            if size > 2_000_000:
+            if size > 500_000:
                 yield pa.RecordBatch.from_pylist(rows, PACK_ARROW)
                 rows, size = [], 0
         if rows:
@@ -260,15 +292,17 @@ READ = "pack int, doc_id long, seq long, n_tokens long, ids binary, verified boo
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, good = [], []
-        for chunks, owned, others, root, n in zip(*(b.column(c) for c in ("chunks", "owned", "others", "root", "n_tokens")), strict=True):
-            chunks = chunks.as_py()
-            parts = {x["nth"]: large(x["ids"]) for x in owned.as_py() + (others.as_py() or [])}
-            whole = [parts[k].tobytes() for k in range(len(chunks))]
-            good.append([digest(x) for x in whole] == chunks and merkle(chunks) == root.as_py() and sum(map(len, whole)) == 4 * n.as_py())
-            ids.append(b"".join(whole))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pack", "doc_id", "seq", "n_tokens")), pa.array(ids, pa.binary()), pa.array(good)], ["pack", "doc_id", "seq", "n_tokens", "ids", "verified"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            ids, good = [], []
+            for chunks, owned, others, root, n in zip(*(b.column(c) for c in ("chunks", "owned", "others", "root", "n_tokens")), strict=True):
+                chunks = chunks.as_py()
+                parts = {x["nth"]: large(x["ids"]) for x in owned.as_py() + (others.as_py() or [])}
+                found = [parts[k].tobytes() for k in range(len(chunks))]
+                good.append([digest(x) for x in found] == chunks and merkle(chunks) == root.as_py() and sum(map(len, found)) == 4 * n.as_py())
+                ids.append(b"".join(found))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pack", "doc_id", "seq", "n_tokens")), pa.array(ids, pa.binary()), pa.array(good)], ["pack", "doc_id", "seq", "n_tokens", "ids", "verified"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
