@@ -73,7 +73,7 @@ def phrase_hits(index: DataFrame, items: DataFrame, size: int) -> DataFrame:
     lines = store(met.select("dkey", "ikey", (F.col("start") - F.col("ws")).alias("diag")).distinct(), "lines")
     asked = lines.join(items, "ikey").select("dkey", "ikey", "diag", "term", F.col("pos").alias("ipos"), F.least("length", F.lit(size)).alias("n"), (F.col("diag") + F.col("pos")).alias("pos"))
     near = index.join(bounded(store(lines.select("dkey").distinct(), "near"), BROADCAST_TERMS), "dkey", "left_semi")
-    same = asked.where("pos >= 0").join(near, ["dkey", "pos", "term"])
+    same = asked.where("pos >= 0").join(near, ["dkey", "pos", "term"], "left_semi")  # repeated rows repeat their postings
     w = W.partitionBy("dkey", "ikey", "diag")
     runs = same.withColumn("run", F.col("ipos") - F.row_number().over(w.orderBy("ipos"))).withColumn("got", F.count("*").over(W.partitionBy("dkey", "ikey", "diag", "run")))
     return runs.where("got >= n").select("dkey", "ikey", "pos")

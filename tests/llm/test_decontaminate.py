@@ -58,6 +58,17 @@ def test_contamination(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
 
 
+def test_repeated_rows_hold_a_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(10))
+    longer = " ".join(f"q{i}" for i in range(14))
+    items = [(1, passage), (2, longer)]
+    docs = [(1, "a " + passage)] * 2 + [(None, passage + " b")] * 3 + [(2, longer)] * 2 + [(3, "a " + passage), (4, "none of it")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(str(tuple(r)) for r in d.contamination(df, bench).collect()) == brute(docs, items)
+    assert [r["doc_id"] for r in d.drop_contaminated(df, bench).collect()] == [4]
+
+
 def test_empty_tables(spark):
     docs, items, df, bench = frames(spark)
     assert d.contamination(df.limit(0), bench).count() == 0
