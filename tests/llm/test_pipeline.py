@@ -6,7 +6,7 @@ from test_decontaminate import words
 from test_neardup import brute as brute_components
 
 import corpus_pipeline
-from quillspark.llm import token_store
+from quillspark.llm import neardup, token_store
 from quillspark.llm.queries import tokenizer_path
 
 
@@ -58,3 +58,15 @@ def test_stages_match_brute_force(spark, tmp_path):
         at += n
     assert Counter(i for i, _, _ in got) == drawn
     assert sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(str(tuple(r)) for r in seen["token store"])
+
+
+def test_near_duplicates_count_from_four_fifths(spark):
+    rows = []
+    for g, more in enumerate((20, 25, 26)):  # of 100 shingles: similarities of 0.833, 0.8 and 0.794
+        text = [f"g{g}w{k}" for k in range(104 + more)]
+        rows += [(10 * g, " ".join(text[:104])), (10 * g + 1, " ".join(text))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.neardup_stage(spark, docs, "").collect()}
+    assert kept == {int(s.split(",")[0][1:]) for s in brute_components(rows, 80) if s.endswith("True)")} == {0, 10, 20, 21}
+    assert neardup.keep_first(docs).count() == len(rows)  # op6_neardup: from 0.85
+    assert (1 - 0.8**corpus_pipeline.NEAR.rows) ** corpus_pipeline.NEAR.bands < 1e-6
