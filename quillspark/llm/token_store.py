@@ -17,31 +17,41 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, new_path, store, store_at
+from .common import discard, new_path, sliced, store, store_at
 
-#: Text pieces whose ids a Python worker remembers at most.
+#: Text pieces after which a Python worker forgets those it remembers.
 MEMO = 400_000
-#: Bytes of text, about, whose rows are built at once.
-PART = 4_000_000
-LETTERS = frozenset(string.ascii_letters)
+#: New pieces that go to the library as one text.
+JOINED = 50
+#: Characters that make a token run of their own after a word.
+MARKS = ".,;:!?)%$&*#|"
+
+
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next
+    one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 @dataclass(frozen=True)
 class StoreParams:
-    """window: ids under the rolling hash. least, mean, most: chunk lengths in ids; mean is a power of two.
-    end: the id that ends a document. packs: of the order, 0 for one for each shuffle partition."""
+    """window: ids under the rolling hash. least, mean, most: chunk lengths in ids; least is at least window,
+    mean a power of two. end: the id that ends a document. packs: of the order, at least; 0 for one for
+    each shuffle partition. pack_ids, pack_docs: a pack's ids and documents, about; more make more packs."""
 
     window: int = 8
     least: int = 32
@@ -49,85 +59,131 @@ class StoreParams:
     most: int = 2048
     end: int = 0
     packs: int = 0
-
-
-def byte_letters() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next
-    one from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about PART bytes of text, or one row."""
-    for b in batches:
-        at, size = 0, 0
-        for k, t in enumerate(b.column("text")):
-            n = len(t.as_buffer() or b"") if t.is_valid else 0
-            if k > at and size + n > PART:
-                yield b.slice(at, k - at)
-                at, size = k, 0
-            size += n
-        if at < b.num_rows:
-            yield b.slice(at)
+    pack_ids: int = 64_000_000
+    pack_docs: int = 1_000_000
 
 
 class Encoder:
     """Ids of whole texts. A pre-tokeniser of the byte-level kind never joins a space that stands between
     other characters to what is before it, so a text without runs of white space around a space is
-    encoded piece by piece, each piece starting at a space; pieces repeat and are remembered."""
+    encoded piece by piece, each piece starting at a space. Distinct pieces of a batch go to the library
+    together, many as one text that is cut again where a token begins with a space; they are remembered,
+    and the batch's ids are gathered from what is remembered. Other texts are encoded whole.
+
+    A piece of Latin letters, with or without marks after them, is known to be one or two runs for the
+    pre-tokeniser; these are written as it would write them, and only its model is asked."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.t.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        vocabulary = self.t.get_vocab()
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.by_piece = bool(plain) and all(self.t.decode([i]).isspace() for x, i in vocabulary.items() if "Ġ" in x[1:])
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.unsafe = re.compile(r"\s \s")
-        self.byte_letters = byte_letters()
-        self.memo: dict[str, bytes] = {}
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for x, i in vocabulary.items() if x[0] == "Ġ"]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """memo: a piece without its space to its place in first and size, which say where its ids are in pool."""
+        self.memo: dict[str, int] = {}
+        self.pool, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _keep(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Add runs of ids to the pool; gives their places."""
+        at = np.arange(len(self.first), len(self.first) + len(size), dtype=np.int32)
+        self.first = np.concatenate([self.first, (len(self.pool) + np.cumsum(size) - size).astype(np.int32)])
+        self.size, self.pool = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.pool, ids])
+        return at
+
+    def _library(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in (self.model if plain else self.t).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, texts: list[str]) -> np.ndarray:
+        """Places of texts that the library encodes one by one."""
+        got = self._library(texts)
+        return self._keep(np.concatenate([np.empty(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64))
+
+    def _written(self, piece: str) -> str | None:
+        """A piece of letters and marks as the pre-tokeniser writes its runs, with white space between them."""
+        word = piece.rstrip(MARKS)
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) >= "\u0250":
+                return None
+            letters = self.letters
+            return "Ġ" + "".join([letters[b] for b in word.encode()]) + " " + piece[len(word) :]
+        return "Ġ" + word + " " + piece[len(word) :]
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Places of pieces, each with a space before it."""
+        out = np.empty(len(pieces), np.int32)
+        written = [self._written(x) if self.by_piece else None for x in pieces]
+        kind = np.fromiter((0 if w else 1 if x != "" and x == x.strip() else 2 for w, x in zip(written, pieces, strict=True)), np.int8, len(pieces))
+        for k, lead, texts in ((0, "", [w for w in written if w]), (1, " ", [pieces[i] for i in np.flatnonzero(kind == 1)])):
+            joined = [lead + " ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
+            ids = np.concatenate([np.empty(0, np.uint32), *self._library(joined, k == 0)])
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) == len(texts):
+                out[kind == k] = self._keep(ids, np.diff(np.concatenate([first, [len(ids)]])))
+            else:
+                out[kind == k] = self._each([" " + pieces[i] for i in np.flatnonzero(kind == k)])
+        out[kind == 2] = self._each([" " + pieces[i] for i in np.flatnonzero(kind == 2)])
+        self.memo.update(zip(pieces, out.tolist(), strict=True))
+        return out
+
+    def encode_all(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), one text after another, each with the end id if one is given,
+        and how many each has."""
+        if len(self.memo) > MEMO:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        whole = np.fromiter((not self.by_piece or any(s in t for s in self.special) or bool(self.unsafe.search(t)) for t in texts.to_pylist()), bool, len(texts))
+        lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        place = np.fromiter((self.memo.get(x, -1) for x in pieces), np.int32, len(pieces))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = self._learn([pieces[k] for k in new])
+        found = place[coded.indices.to_numpy()]
+        kept = len(self.first), len(self.pool)
+        found[offsets[:-1]] = self._each(lists.values.take(pa.array(offsets[:-1])).to_pylist())  # no space before a text's first
+        many = np.ones(len(texts), np.int64)
+        many[~whole] = np.diff(offsets)
+        stop = np.cumsum(many + (end is not None))
+        start = stop - many - (end is not None)
+        seq = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
+        seq[np.repeat(start[~whole] - offsets[:-1], np.diff(offsets)) + np.arange(len(found))] = found
+        seq[start[whole]] = self._each(texts.filter(pa.array(whole)).to_pylist())
+        if end is not None:
+            seq[stop - 1] = self._keep(np.array([end], np.uint32), np.array([1]))
+        size = self.size[seq]
+        before = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat((self.first[seq] - before[:-1]).astype(np.int32), size)
+        at += np.arange(before[-1], dtype=np.int32)
+        ids = self.pool[at]
+        self.first, self.size, self.pool = self.first[: kept[0]], self.size[: kept[0]], self.pool[: kept[1]]
+        return ids, before[stop] - before[start]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember pieces. A full stop or comma after an ASCII letter is a token of its own; a word of
-        letters alone, with or without a space before it, goes to the library's model as it is."""
-        memo, model, letters = self.memo, self.t.model, self.byte_letters
-        parts = {x: (x[:-1], x[-1]) if len(x) > 2 and x[-1] in ".," and x[-2] in LETTERS else (x,) for x in pieces}
-        rest = []
-        for y in {y for part in parts.values() for y in part if y not in memo}:
-            word = y[1:] if y[:1] == " " else y
-            if word.isalpha():
-                mapped = ("Ġ" if len(word) < len(y) else "") + (word if word.isascii() else "".join([letters[c] for c in word.encode()]))
-                memo[y] = np.array([t.id for t in model.tokenize(mapped)], np.uint32).tobytes()
-            else:
-                rest.append(y)
-        for y, e in zip(rest, self.t.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            memo[y] = np.array(e.ids, np.uint32).tobytes()
-        for x, part in parts.items():
-            if len(part) == 2:
-                memo[x] = memo[part[0]] + memo[part[1]]
-
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not self.by_piece or any(s in text for s in self.special) or self.unsafe.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        pieces = [first] + [" " + x for x in rest]
-        if new := [x for x in set(pieces) if x not in self.memo]:
-            if len(self.memo) + 2 * len(new) > MEMO:
-                self.memo.clear()
-                new = list(set(pieces))
-            self._learn(new)
-        return b"".join(map(self.memo.__getitem__, pieces))
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 _loaded: dict[str, Encoder] = {}
@@ -144,34 +200,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def cuts(ids: np.ndarray, p: StoreParams = StoreParams()) -> list[int]:
-    """Ends of the chunks of an id stream: after an id at which the rolling hash of the last p.window ids
-    has its low bits clear, at least p.least and at most p.most ids after the last cut."""
-    n = len(ids)
-    if not n:
-        return []
+def cut_all(ids: np.ndarray, sizes: np.ndarray, p: StoreParams) -> list[list[int]]:
+    """Ends of the chunks of id streams that follow one another: after an id at which the rolling hash of the
+    last p.window ids has its low bits clear, at least p.least and at most p.most ids after the last cut."""
     h = _mix(ids.astype(np.uint64) + np.uint64(1))
-    rolling = np.zeros(n, np.uint64)
-    for k in range(min(p.window, n)):
-        rolling[k:] += h[: n - k] * np.uint64(2 * k + 1)
+    rolling = np.zeros(len(ids), np.uint64)
+    for k in range(min(p.window, len(ids))):
+        rolling[k:] += h[: len(ids) - k] * np.uint64(2 * k + 1)
     marks = np.flatnonzero((_mix(rolling) & np.uint64(p.mean - 1)) == 0) + 1
-    out, last, at = [], 0, 0
-    while n - last > p.most or at < len(marks):
-        while at < len(marks) and marks[at] - last < p.least:
-            at += 1
-        nearest = int(marks[at]) if at < len(marks) else n
-        if nearest - last > p.most:
-            last += p.most
-        elif at < len(marks):
-            last = nearest
-        else:
-            break
-        out.append(last)
-    if last < n:
-        out.append(n)
+    stop = np.cumsum(sizes)
+    parts = np.searchsorted(marks, np.concatenate([[0], stop]), side="right")
+    out = []
+    for k, n in enumerate(sizes.tolist()):
+        row, last = [], 0
+        for mark in [*(marks[parts[k] : parts[k + 1]] - (stop[k] - n)).tolist(), n]:
+            while mark - last > p.most:
+                last += p.most
+                row.append(last)
+            if mark - last >= p.least:
+                last = mark
+                row.append(last)
+        if last < n:
+            row.append(n)
+        out.append(row)
     return out
 
 
+def cuts(ids: np.ndarray, p: StoreParams = StoreParams()) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return cut_all(ids, np.array([len(ids)]), p)[0]
+
+
 def digest(ids: bytes) -> bytes:
     return hashlib.sha256(ids).digest()[:20]
 
@@ -184,17 +243,25 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _ids(text: str | None, e: Encoder, p: StoreParams) -> np.ndarray:
-    return np.frombuffer(e.encode(text or "") + np.array([p.end], np.uint32).tobytes(), np.uint32)
-
-
 ENCODED = "o long, doc_id long, key binary, n_tokens long, chunks array<binary>, ends array<int>, ids binary"
 OWNED = "array<struct<nth:int,shared:boolean,ids:binary>>"
+OWNED_ARROW = [pa.field("nth", pa.int32()), pa.field("shared", pa.bool_()), pa.field("ids", pa.binary())]
 PACK = f"pack int, doc_id long, seq long, n_tokens long, chunks array<binary>, owned {OWNED}, root binary"
-PACK_ARROW = pa.schema([
-    ("pack", pa.int32()), ("doc_id", pa.int64()), ("seq", pa.int64()), ("n_tokens", pa.int64()), ("chunks", pa.list_(pa.binary())),
-    ("owned", pa.list_(pa.struct([("nth", pa.int32()), ("shared", pa.bool_()), ("ids", pa.binary())]))), ("root", pa.binary()),
-])
+
+
+def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
+    """A list array of rows of plain values."""
+    offsets = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([x for row in rows for x in row], kind))
+
+
+def small(ids: np.ndarray) -> bytes:
+    """Ids as stored: two bytes each if that is enough, told by a leading byte; little-endian."""
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else b"\x04" + ids.astype("<u4").tobytes()
+
+
+def large(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, "<u2" if stored[:1] == b"\x02" else "<u4", offset=1).astype("<u4")
 
 
 def _encode(path: str, p: StoreParams):
@@ -203,18 +270,15 @@ def _encode(path: str, p: StoreParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, press = encoder(path), zstandard.ZstdCompressor(level=1)
         for b in sliced(batches):
-            n, chunks, ends, packed = [], [], [], []
-            for t in b.column("text"):
-                ids, at, row = _ids(t.as_py(), e, p), 0, []
-                ends.append(cuts(ids, p))
-                for end in ends[-1]:
-                    row.append(digest(ids[at:end].tobytes()))
-                    at = end
-                n.append(len(ids))
-                chunks.append(row)
-                packed.append(press.compress(small(ids)))
+            ids, n = e.encode_all(b.column("text"), p.end)
+            ends, raw, stop = cut_all(ids, n, p), memoryview(ids.tobytes()), np.cumsum(n)
+            chunks, packed = [], []
+            for end, last, own in zip(stop.tolist(), n.tolist(), ends, strict=True):
+                at = end - last
+                chunks.append([digest(raw[4 * (at + i) : 4 * (at + j)]) for i, j in zip([0, *own], own)])
+                packed.append(press.compress(small(ids[at:end])))
             yield pa.RecordBatch.from_arrays(
-                [b.column("o"), b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(chunks, pa.list_(pa.binary())), pa.array(ends, pa.list_(pa.int32())), pa.array(packed, pa.binary())],
+                [b.column("o"), b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), _lists(chunks, pa.binary()), _lists(ends, pa.int32()), pa.array(packed, pa.binary())],
                 ["o", "doc_id", "key", "n_tokens", "chunks", "ends", "ids"],
             )
 
@@ -229,6 +293,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack, seq, opener = TaskContext.get().partitionId(), 0, zstandard.ZstdDecompressor()
     at_key, mine = None, {}
     names = ("doc_id", "key", "n_tokens", "chunks", "ends", "ids", "mine")
+
+    def built(rows: list[tuple]) -> pa.RecordBatch:
+        doc_ids, seqs, n, chunks, owned, roots = zip(*rows, strict=True)
+        flat = [x for row in owned for x in row]
+        values = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], f.type) for i, f in enumerate(OWNED_ARROW)], fields=OWNED_ARROW)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, owned)]), pa.int32()), values)
+        cols = [pa.array([pack] * len(rows), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(seqs, pa.int64()), pa.array(n, pa.int64()), _lists(chunks, pa.binary()), lists, pa.array(roots, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["pack", "doc_id", "seq", "n_tokens", "chunks", "owned", "root"])
+
     for b in batches:
         rows, size = [], 0
         for doc_id, key, n, chunks, ends, ids, listed in zip(*(b.column(c) for c in names), strict=True):
@@ -238,24 +311,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             chunks, owned = chunks.as_py(), []
             if key == at_key:  # of equal rows, the first owns
-                at_key, whole, ends = None, large(opener.decompress(ids.as_py())), [0, *ends.as_py()]
-                owned = [{"nth": k, "shared": mine[k], "ids": small(whole[ends[k] : ends[k + 1]])} for k in sorted(mine)]
-            rows.append({"pack": pack, "doc_id": doc_id.as_py(), "seq": seq, "n_tokens": n.as_py(), "chunks": chunks, "owned": owned, "root": merkle(chunks)})
+                at_key, whole, stops = None, opener.decompress(ids.as_py()), [0, *ends.as_py()]
+                wide, kind = whole[0], whole[:1]
+                owned = [(k, mine[k], kind + whole[1 + wide * stops[k] : 1 + wide * stops[k + 1]]) for k in sorted(mine)]
+            rows.append((doc_id.as_py(), seq, n.as_py(), chunks, owned, merkle(chunks)))
             seq, size = seq + 1, size + n.as_py()
-            if size > 500_000:
-                yield pa.RecordBatch.from_pylist(rows, PACK_ARROW)
+            if size > 300_000:
+                yield built(rows)
                 rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, PACK_ARROW)
-
-
-def small(ids: np.ndarray) -> bytes:
-    """Ids as stored: two bytes each if that is enough, told by a leading byte; little-endian."""
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else b"\x04" + ids.astype("<u4").tobytes()
-
-
-def large(stored: bytes) -> np.ndarray:
-    return np.frombuffer(stored[1:], "<u2" if stored[:1] == b"\x02" else "<u4").astype("<u4")
+            yield built(rows)
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, p: StoreParams = StoreParams()) -> str:
@@ -269,12 +334,13 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, p: Stor
     order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     base = docs.select(order.alias("o"), "doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"), "text")
     encoded, at = store_at(base.mapInArrow(_encode(tokenizer_path, p), ENCODED), "encoded")
+    whole = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("ids"), F.count("*").alias("docs")).first()
+    packs = max(p.packs or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole["ids"] // p.pack_ids), -(-whole["docs"] // p.pack_docs))
     each = encoded.select("o", "key", F.posexplode("chunks").alias("nth", "digest"))
     owners = each.groupBy("digest").agg(F.min(F.struct("o", "key", "nth")).alias("x"), (F.count("*") > 1).alias("shared"))
     owners = owners.groupBy("x.o", "x.key").agg(F.collect_list(F.struct("x.nth", "shared")).alias("mine"))
     rows = encoded.unionByName(store(owners, "owners"), allowMissingColumns=True)
-    packs = p.packs or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(packs, "o").sortWithinPartitions("o", "key", F.col("ids").isNotNull()).drop("o")
+    placed = rows.repartitionByRange(packs, "o", "key").sortWithinPartitions("o", "key", F.col("ids").isNotNull()).drop("o")
     placed.mapInArrow(_pack, PACK).write.option("compression", "zstd").parquet(f"{path}/packs")
     discard(spark, at)
     packed = spark.read.schema(PACK).parquet(f"{path}/packs")
@@ -289,25 +355,38 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 READ = "pack int, doc_id long, seq long, n_tokens long, ids binary, verified boolean"
+READ_CRC = "pack int, doc_id long, seq long, n_tokens long, ids_crc32 long, verified boolean"
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            b = whole.slice(at, 500)
-            ids, good = [], []
-            for chunks, owned, others, root, n in zip(*(b.column(c) for c in ("chunks", "owned", "others", "root", "n_tokens")), strict=True):
-                chunks = chunks.as_py()
-                parts = {x["nth"]: large(x["ids"]) for x in owned.as_py() + (others.as_py() or [])}
-                found = [parts[k].tobytes() for k in range(len(chunks))]
-                good.append([digest(x) for x in found] == chunks and merkle(chunks) == root.as_py() and sum(map(len, found)) == 4 * n.as_py())
-                ids.append(b"".join(found))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pack", "doc_id", "seq", "n_tokens")), pa.array(ids, pa.binary()), pa.array(good)], ["pack", "doc_id", "seq", "n_tokens", "ids", "verified"])
+def _rebuild(checksum: bool):
+    """Rows with all their chunks to ids, or to the checksums of their ids."""
 
+    def parts(b: pa.RecordBatch, column: str) -> tuple[list, list, list]:
+        lists = pc.fill_null(b.column(column), [])
+        return lists.offsets.to_pylist(), lists.values.field("nth").to_pylist(), lists.values.field("ids").to_pylist()
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(pack, doc_id, seq, n_tokens, ids, verified) of every stored document; ids are little-endian
-    unsigned 32-bit. Only chunks that other documents own are moved."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                kept, good = [], []
+                sources = [parts(b, c) for c in ("owned", "others")]
+                chunks = b.column("chunks").to_pylist()
+                for k, (own, root, n) in enumerate(zip(chunks, b.column("root").to_pylist(), b.column("n_tokens").to_pylist(), strict=True)):
+                    found = [b""] * len(own)
+                    for offsets, nth, ids in sources:
+                        for j in range(offsets[k], offsets[k + 1]):
+                            found[nth[j]] = large(ids[j]).tobytes()
+                    good.append([digest(x) for x in found] == own and merkle(own) == root and sum(map(len, found)) == 4 * n)
+                    kept.append(zlib.crc32(b"".join(found)) if checksum else b"".join(found))
+                name, kind = ("ids_crc32", pa.int64()) if checksum else ("ids", pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pack", "doc_id", "seq", "n_tokens")), pa.array(kept, kind), pa.array(good)], ["pack", "doc_id", "seq", "n_tokens", name, "verified"])
+
+    return run
+
+
+def _complete(spark: SparkSession, path: str) -> DataFrame:
+    """The packs' rows with the chunks that others own in a column others."""
     packs = spark.read.schema(PACK).parquet(f"{path}/packs")
     recipe = packs.select("pack", "seq", F.posexplode("chunks").alias("nth", "digest"), F.transform("owned", lambda x: x["nth"]).alias("mine"))
     needed = recipe.where(~F.array_contains("mine", F.col("nth"))).select(F.col("pack").alias("p_"), F.col("seq").alias("s_"), "nth", "digest")
@@ -317,17 +396,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     alone = F.size("owned") == F.size("chunks")
     full = packs.where(alone).withColumn("others", F.lit(None).cast(OWNED))
     mixed = packs.where(~alone).join(others, (F.col("pack") == F.col("p_")) & (F.col("seq") == F.col("s_"))).drop("p_", "s_")
-    return full.unionByName(mixed).mapInArrow(_rebuild, READ)
+    return full.unionByName(mixed)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pack", "doc_id", "seq", "n_tokens")), pa.array([zlib.crc32(x.as_buffer()) for x in b.column("ids")], pa.int64()), b.column("verified")], ["pack", "doc_id", "seq", "n_tokens", "ids_crc32", "verified"])
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(pack, doc_id, seq, n_tokens, ids, verified) of every stored document; ids are little-endian
+    unsigned 32-bit. Only chunks that other documents own are moved."""
+    return _complete(spark, path).mapInArrow(_rebuild(False), READ)
 
 
 def summary(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, verified) of every stored document, from the ids read back."""
-    rows = store(read(spark, path).mapInArrow(_digests, "pack int, doc_id long, seq long, n_tokens long, ids_crc32 long, verified boolean"), "read")
+    rows = store(_complete(spark, path).mapInArrow(_rebuild(True), READ_CRC), "read")
     ends = spark.read.parquet(f"{path}/manifest").select(F.col("pack").alias("p_"), "n_tokens")
     before = ends.select("p_", (F.sum("n_tokens").over(W.orderBy("p_")) - F.col("n_tokens")).alias("before"))  # one row a pack
     run = F.sum("n_tokens").over(W.partitionBy("pack").orderBy("seq")) - F.col("n_tokens")
