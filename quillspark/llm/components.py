@@ -28,8 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     largest component.
     """
     spark = edges.sparkSession
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("u") + F.col("v")).alias("s"))
-    e = e.where("s is not null and u <> v").select("u", "v").distinct()
+    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, at = store_at(e, "edges")
     before = None
     while True:

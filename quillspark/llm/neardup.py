@@ -1,16 +1,18 @@
 """Near-duplicates by SetSketch registers: banded, estimated by likelihood, then verified on full sets.
 
-Texts with equal word sequences form a class, stood for by one document. A register is the truncated
+Texts with equal shingle sets are one node, stood for by one document. A register is the truncated
 integer logarithm, to base B, of the least exponential value that a set's shingles draw for it; sketches
-merge by the maximum. Bands of registers propose links. Within a band's bucket every document is first
-compared with the bucket's head, which settles large groups of copies with a link for each. Members of
-buckets that still hold several components then meet in blocks, with their sketches and sets: pairs of
-different components that the likelihood estimate does not rule out are verified at once, in the first
-band that they share, and a block gives a spanning forest of its links instead of all of them.
+merge by the maximum. Bands of registers propose links. Every document is first compared with that head of
+its bands' buckets with which it shares most bands, which settles large groups of copies with a link for
+each. Members of buckets that still hold several components then meet in blocks, with their sketches:
+pairs of different components that the likelihood estimate does not rule out are verified on their
+sets, in the first band that they share, and a block gives a spanning forest of its links instead of
+all of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, store
+from .common import bounded, sliced, store
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -105,74 +107,112 @@ def least_equal(p: NearParams) -> int:
     return int(p.registers * j - p.slack * np.sqrt(p.registers * j * (1 - j)))
 
 
-#: Id tables of at most this many rows (8 bytes each) are broadcast; larger ones are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-SKETCHED = "doc_id long, class binary, n long, regs binary, keys array<long>"
+#: Id tables of at most this many rows (some 30 bytes each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+SKETCHED = "doc_id long, th long, node long, n long, regs binary, keys array<long>"
 
 
-def class_of(shingles: np.ndarray) -> bytes:
-    """A 256-bit digest of a set of shingle hashes."""
-    return np.array([shingles.sum(), np.bitwise_xor.reduce(shingles), mix(shingles * np.uint64(0xD6E8FEB86659FD93)).sum(), len(shingles)], np.uint64).tobytes()
+def node_of(shingles: np.ndarray) -> int:
+    """A 64-bit digest of a set of shingle hashes: its place in the graph of links."""
+    parts = [shingles.sum(), np.bitwise_xor.reduce(shingles), mix(shingles * np.uint64(0xD6E8FEB86659FD93)).sum(), len(shingles)]
+    return int.from_bytes(hashlib.blake2b(np.array(parts, np.uint64).tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _sketch_all(p: NearParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = np.random.Generator(np.random.PCG64(p.seed + 1)).integers(0, 2**64, p.rows, dtype=np.uint64) | np.uint64(1)
-        band = np.arange(p.bands, dtype=np.uint64)
-        for b in batches:
-            n, regs, keys, cls = [], [], [], []
+        band = mix(np.arange(p.bands, dtype=np.uint64) + np.uint64(1))
+        for b in sliced(batches):
+            n, regs, keys, nodes = [], [], [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_py())
                 n.append(len(s))
-                if not len(s):
-                    regs.append(None)
-                    keys.append([])
-                    cls.append(None)
-                    continue
-                r = sketch(s, p)
-                cls.append(class_of(s))
-                regs.append(r.tobytes())
-                keys.append(mix((r.reshape(p.bands, p.rows).astype(np.uint64) * slot).sum(axis=1) + mix(band + np.uint64(1))).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "class", "n", "regs", "keys"],
-            )
+                r = sketch(s, p) if len(s) else None
+                nodes.append(node_of(s) if len(s) else None)
+                regs.append(r.tobytes() if len(s) else None)
+                keys.append(mix((r.reshape(p.bands, p.rows).astype(np.uint64) * slot).sum(axis=1) + band).view(np.int64) if len(s) else [])
+            cols = [b.column("doc_id"), b.column("th"), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "node", "n", "regs", "keys"])
 
     return run
 
 
 def _set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingle_set(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id"), pa.array([class_of(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "class", "set"]
-        )
+    for b in sliced(batches):
+        sets = [shingle_set(t).tobytes() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(id, set) of the given ids, stored. If a doc_id has several rows, of the row that stands for it."""
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(bounded(store(ids.distinct(), "ids"), BROADCAST_IDS), "id", "left_semi")
-    sets = texts.mapInArrow(_set_of, "id long, class binary, set array<long>")
-    if "class" in reps.columns:
-        sets = sets.join(reps.select("id", "class"), ["id", "class"]).groupBy("id").agg(F.first("set").alias("set"))
-    return store(sets.select("id", "set"), "sets")
+@dataclass(frozen=True)
+class Corpus:
+    """docs: (doc_id, th, text). reps: the document that stands for each node, (node, doc_id, th, n, regs).
+    unique: no doc_id has several rows."""
+
+    docs: DataFrame
+    reps: DataFrame
+    unique: bool
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) of the given nodes, stored; a set is its sorted hashes, 8 bytes each."""
+        wanted = store(self.reps.select("node", "doc_id", "th").join(nodes.distinct(), "node", "left_semi"), "wanted")
+        sets = self.docs.join(bounded(wanted, BROADCAST_IDS), ["doc_id", "th"]).select("node", "text").mapInArrow(_set_of, "node long, set binary")
+        return store(sets if self.unique else sets.dropDuplicates(["node"]), "sets")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
-    """The pairs (a, b) of document ids whose full shingle sets are similar enough. Each set is built
-    once; a pair meets its two sets in two joins on evenly dealt keys, a busy one split as skew."""
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, reps)
-    x = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    x = x.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    both = F.size(F.array_intersect("x", "y"))
-    return x.where(100 * both >= p.percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+def _similar(percent: int):
+    """Rows (a, b, x, y) to the pairs (a, b) whose sets x and y are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "x"):
+            good = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def verify(pairs: DataFrame, corpus: Corpus, p: NearParams) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets are similar enough. Each set is built once; a
+    pair meets its two sets in two joins on evenly dealt keys, a busy one split as skew."""
+    sets = corpus.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    x = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    x = x.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    return x.select("a", "b", "x", "y").mapInArrow(_similar(p.percent), "a long, b long")
+
+
+def _candidates(k: int, ids, comp, n, regs, chunk, band: int, p: NearParams) -> np.ndarray:
+    """Members after the k-th by id, of other components (and the other block, if there are two), that share
+    this band with it as their first and whose estimate does not rule out a link; likeliest first."""
+    hit = (comp != comp[k]) & (ids > ids[k]) & (100 * np.minimum(n[k], n) >= p.percent * np.maximum(n[k], n))
+    hit = np.flatnonzero(hit if (chunk == chunk[0]).all() else hit & (chunk != chunk[k]))
+    if not len(hit):
+        return hit
+    same = regs[hit] == regs[k]
+    equal = same.sum(axis=1)
+    shared = same.reshape(len(hit), p.bands, p.rows).all(axis=2).argmax(axis=1)
+    hit, equal = hit[(equal >= least_equal(p)) & (shared == band)], equal[(equal >= least_equal(p)) & (shared == band)]
+    if not len(hit):
+        return hit
+    least = p.percent / 100 - p.slack * np.sqrt(0.01 * p.percent * (1 - 0.01 * p.percent) / p.registers)
+    likely = estimate(np.broadcast_to(regs[k], regs[hit].shape), regs[hit], np.full(len(hit), n[k]), n[hit], p) >= least
+    return hit[likely][np.argsort(-equal[likely], kind="stable")]
+
+
+def _in_question(ids, comp, n, regs, chunk, sets, band: int, p: NearParams) -> list[tuple[int, int]]:
+    """Each member that has a candidate, or is one, of one or two blocks of a bucket."""
+    met: set[int] = set()
+    for k in range(len(ids)):
+        found = _candidates(k, ids, comp, n, regs, chunk, band, p).tolist()
+        met.update([k, *found] if found else [])
+    return [(int(ids[k]), band) for k in sorted(met)]
 
 
 def forest(ids, comp, n, regs, chunk, sets, band: int, p: NearParams) -> list[tuple[int, int]]:
     """Verified links that join different components among one or two blocks of a bucket, as a forest."""
-    floor, least = least_equal(p), p.percent / 100 - p.slack * np.sqrt(0.01 * p.percent * (1 - 0.01 * p.percent) / p.registers)
-    alone, out = (chunk == chunk[0]).all(), []
-    first: dict[int, int] = {}
+    out, first = [], {}
     parent = [first.setdefault(int(c), k) for k, c in enumerate(comp)]
 
     def find(x: int) -> int:
@@ -182,18 +222,7 @@ def forest(ids, comp, n, regs, chunk, sets, band: int, p: NearParams) -> list[tu
         return x
 
     for k in range(len(ids)):
-        hit = (comp != comp[k]) & (ids > ids[k]) & (100 * np.minimum(n[k], n) >= p.percent * np.maximum(n[k], n))
-        hit = np.flatnonzero(hit if alone else hit & (chunk != chunk[k]))
-        if not len(hit):
-            continue
-        same = regs[hit] == regs[k]
-        equal = same.sum(axis=1)
-        shared = same.reshape(len(hit), p.bands, p.rows).all(axis=2).argmax(axis=1)  # the first band of two that share this one
-        hit, equal = hit[(equal >= floor) & (shared == band)], equal[(equal >= floor) & (shared == band)]
-        if not len(hit):
-            continue
-        likely = estimate(np.broadcast_to(regs[k], regs[hit].shape), regs[hit], np.full(len(hit), n[k]), n[hit], p) >= least
-        for j in hit[likely][np.argsort(-equal[likely], kind="stable")]:
+        for j in _candidates(k, ids, comp, n, regs, chunk, band, p):
             x, y = find(k), find(int(j))
             if x == y:
                 continue
@@ -204,63 +233,66 @@ def forest(ids, comp, n, regs, chunk, sets, band: int, p: NearParams) -> list[tu
     return out
 
 
-def _compare(p: NearParams):
-    """Rows of blocks, all of one block or pair of blocks after another, to links."""
+PLACE = ("key", "lo", "hi")
+
 
-    def links(t: pa.Table) -> list[tuple[int, int]]:
-        ids, comp, n, chunk, band = (t.column(c).to_numpy() for c in ("id", "component", "n", "chunk", "band"))
+def _blocks(p: NearParams, what, names: tuple[str, str]):
+    """Rows of blocks, all of one block or pair of blocks after another, to what() finds in each."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        ids, comp, n, chunk, band, key, lo, hi = (t.column(c).to_numpy() for c in ("node", "component", "n", "chunk", "band", *PLACE))
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), -1)
-        lists = t.column("set").combine_chunks()
-        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        sets = [values[at[k] : at[k + 1]] for k in range(len(ids))]
-        place = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
-        cut = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1), len(ids)]
-        return [x for i, j in zip(cut, cut[1:], strict=False) if j - i > 1 for x in forest(ids[i:j], comp[i:j], n[i:j], regs[i:j], chunk[i:j], sets[i:j], int(band[i]), p)]
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()] if "set" in t.column_names else [None] * len(ids)
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1), len(ids)]
+        rows = [(*x, int(key[i])) for i, j in zip(cut, cut[1:], strict=False) if j - i > 1 for x in what(ids[i:j], comp[i:j], n[i:j], regs[i:j], chunk[i:j], sets[i:j], int(band[i]), p)]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(3)], [*names, "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
-
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            place = np.stack([b.column(c).to_numpy() for c in ("key", "lo", "hi")])
+        for b in sliced(batches, "regs"):
+            place = np.stack([b.column(c).to_numpy() for c in PLACE])
             last = np.flatnonzero((place != place[:, -1:]).any(axis=0))
             start = int(last[-1]) + 1 if len(last) else 0  # of the block that may go on in the next batch
-            if kept and (start or any(kept[-1].column(c)[-1].as_py() != b.column(c)[0].as_py() for c in ("key", "lo", "hi"))):
-                yield out(links(pa.Table.from_batches([*kept, b.slice(0, start)])))
+            if kept and (start or any(kept[-1].column(c)[-1].as_py() != b.column(c)[0].as_py() for c in PLACE)):
+                yield found(pa.Table.from_batches([*kept, b.slice(0, start)]))
                 kept = []
             elif start:
-                yield out(links(pa.Table.from_batches([b.slice(0, start)])))
+                yield found(pa.Table.from_batches([b.slice(0, start)]))
             kept.append(b.slice(start))
         if kept:
-            yield out(links(pa.Table.from_batches(kept)))
+            yield found(pa.Table.from_batches(kept))
 
     return run
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    parts = store(parts.select(F.col("node").alias("id"), "component"), "parts")
-    return nodes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = store(parts.select("node", "component"), "parts")
+    return nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _open_links(buckets: DataFrame, reps: DataFrame, links: DataFrame, docs: DataFrame, stand: DataFrame, p: NearParams) -> DataFrame:
+def _open_links(buckets: DataFrame, links: DataFrame, corpus: Corpus, p: NearParams) -> DataFrame:
     """Links between members of different components in buckets with several. Buckets are cut into blocks,
-    and two blocks at a time meet in a task, so that no task holds a whole bucket."""
-    comp = store(_components(reps.select("id", "n", "regs"), links), "component")
-    b = buckets.join(comp.select("id", "component", "n"), "id")
+    and two blocks at a time meet in a task, so that no task holds a whole bucket. Sketches meet first;
+    sets go to those places alone where a member has a candidate."""
+    comp = store(_components(corpus.reps.select("node", "n", "regs"), links), "component")
+    b = buckets.join(comp.select("node", "component", "n"), "node")
     mixed = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).where("lo <> hi")
     chunks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("total") / p.load)).cast("int")
-    m = store(b.drop("n").join(store(mixed.select("key", chunks.alias("chunks")), "mixed"), "key"), "members")
-    m = m.withColumn("chunk", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int"))
-    m = m.join(comp.select("id", "n", "regs"), "id").join(sets_of(m.select("id"), docs, stand), "id")
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    m = m.select("key", "band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "id", "component", "n", "regs", "chunk", "set")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return m.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(p), "a long, b long").distinct()
+    m = store(b.join(store(mixed.select("key", chunks.alias("chunks")), "mixed"), "key"), "members")
+    m = m.withColumn("chunk", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
+    m = m.join(comp.select("node", "regs"), "node").select("key", "band", "chunks", "node", "component", "n", "regs", "chunk")
+    parts = int(corpus.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = rows.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("chunks", "other")
+        return rows.repartition(parts, *PLACE).sortWithinPartitions(*PLACE)
+
+    open_rows = met(m).mapInArrow(_blocks(p, _in_question, ("node", "band")), "node long, band long, key long").select("key", "node").distinct()
+    m = store(m.join(store(open_rows, "in-question"), ["key", "node"]), "members")
+    sets = corpus.sets(m.select("node"))
+    return met(m.join(sets, "node")).mapInArrow(_blocks(p, forest, ("a", "b")), "a long, b long, key long").select("a", "b").distinct()
 
 
 def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
@@ -268,30 +300,35 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
 
     class_id: the least doc_id with an equal shingle set. Documents without words have no shingles and are
     linked with nothing; so are those with a null doc_id, whose component is null and which are kept.
-    Rows that repeat a doc_id are one node: the text with the least hash stands for it. Other columns
-    are ignored. An empty table gives no rows. A pair at the threshold shares no band with a chance of
-    (1 - 0.85^rows)^bands, under one in a million.
+    Rows that repeat a doc_id are one document with the links of all its texts. Other columns are
+    ignored. An empty table gives no rows. Sets are told apart by 64-bit digests. A pair at the threshold
+    shares no band with a chance of (1 - 0.85^rows)^bands, under one in a million.
     """
-    base = docs.select("doc_id", "text")
+    base = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     sk = store(base.mapInArrow(_sketch_all(p), SKETCHED), "sketches")
     rows = sk.where("doc_id is not null and n > 0")
-    heads = store(rows.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
-    member = rows.select("doc_id", "class").join(heads, "class").select("doc_id", "id")
-    twice = member.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    reps = rows.withColumnRenamed("doc_id", "id").join(heads.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("class", "n", "regs", "keys")).alias("x"))
-    reps = store(reps.select("id", "x.class", "x.n", "x.regs", "x.keys"), "reps")
-    unique = rows.count() == rows.select("doc_id").distinct().count()
-    stand = reps.drop("class") if unique else reps
-    flat = reps.select("id", F.posexplode("keys").alias("band", "key"))
-    busy = store(flat.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1"), "busy")
-    buckets = store(flat.join(busy, "key").select("key", "band", "id", "head"), "buckets")
-    first = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = store(verify(first, base, stand, p).unionByName(twice), "links")
-    more = _open_links(buckets.select("key", "band", "id"), reps, links, base, stand, p)
+    heads = store(rows.groupBy("node").agg(F.min("doc_id").alias("id")), "heads")
+    per_id = rows.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k"))
+    several = store(per_id.where("k > 1"), "several")
+    unique = several.isEmpty()
+    reps = rows.join(heads.withColumnRenamed("id", "doc_id"), ["node", "doc_id"], "left_semi")
+    reps = store(reps if unique else reps.dropDuplicates(["node"]), "reps")
+    corpus = Corpus(base, reps, unique)
+    twice = rows.join(several.where("lo < hi"), "doc_id").where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
+    flat = reps.select("node", F.posexplode("keys").alias("band", "key"))
+    busy = store(flat.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"), "busy")
+    buckets = store(flat.join(busy, "key").select("key", "band", "node", "head"), "buckets")
+    shared = buckets.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("bands"))
+    nearest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("bands"), "head"))  # a row for each band at most
+    first = shared.withColumn("nth", nearest).where("nth = 1").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = store(verify(store(first, "first"), corpus, p).unionByName(twice), "links")
+    more = _open_links(buckets.select("key", "band", "node"), links, corpus, p)
     links = links.unionByName(store(more, "links"))
-    parts = _components(heads.select("id"), links)
-    out = sk.join(store(parts, "all-parts").join(heads, "id"), "class", "left")
-    comp = F.coalesce("component", "doc_id")
+    parts = store(_components(heads, links), "all-parts")
+    least = parts.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = parts.join(store(least, "least"), "component").select("node", "id", "component_id")
+    out = sk.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))).join(named, "node", "left")
+    comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("id", "doc_id").alias("class_id"))
 
 
