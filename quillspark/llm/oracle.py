@@ -22,13 +22,18 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 f AS (SELECT doc_id, lang, source, 'symbols' AS feature, coalesce(n_symbols * 10000 // nullif(word_chars, 0), 0) AS v FROM b UNION ALL SELECT doc_id, lang, source, 'dup_lines', coalesce(n_dup_lines * 10000 // nullif(n_lines, 0), 0) FROM b
  UNION ALL SELECT doc_id, lang, source, 'repeats', coalesce(n_repeat_words * 10000 // nullif(n_words, 0), 0) FROM b UNION ALL SELECT doc_id, lang, source, 'word_length', coalesce(word_chars * 10000 // nullif(n_words, 0), 0) FROM b),
 k AS (SELECT lang, source, feature, greatest(length(bin(v)) - 6, 0) * 32 + v // (1 << greatest(length(bin(v)) - 6, 0)) AS b FROM f JOIN (SELECT doc_id FROM b WHERE NOT base_failed) USING (doc_id)),
-s AS (SELECT 0 AS depth, lang, source, feature, b, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 1, lang, NULL, feature, b, count(*) FROM k GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, feature, b, count(*) FROM k GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY depth, lang, source, feature ORDER BY b) AS c, sum(n) OVER (PARTITION BY depth, lang, source, feature) AS t FROM s),
-q AS (SELECT depth, lang, source, feature, max(t) AS size, min(CASE WHEN c >= 0.25 * t THEN b END) AS b1, min(CASE WHEN c >= 0.75 * t THEN b END) AS b3 FROM r GROUP BY ALL),
+s AS (SELECT lang, source, feature, b, count(*) AS n FROM k GROUP BY ALL),
+sl AS (SELECT lang, feature, b, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, feature) AS t FROM s GROUP BY lang, feature, b),
+sa AS (SELECT feature, b, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY feature) AS t FROM s GROUP BY feature, b),
+gr AS (SELECT DISTINCT lang, source, feature FROM s),
+mg AS (SELECT lang, source, feature, b, sum(n) AS n FROM (SELECT lang, source, feature, b, n * 1000 AS n FROM s
+ UNION ALL SELECT gr.lang, source, gr.feature, b, n * 30000 // t FROM gr JOIN sl ON gr.lang IS NOT DISTINCT FROM sl.lang AND gr.feature = sl.feature
+ UNION ALL SELECT lang, source, feature, b, n * 10000 // t FROM gr JOIN sa USING (feature)) GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY b) AS c, sum(n) OVER (PARTITION BY lang, source, feature) AS t FROM mg),
+q AS (SELECT lang, source, feature, min(CASE WHEN 4 * c >= t THEN b END) AS b1, min(CASE WHEN 4 * c >= 3 * t THEN b END) AS b3 FROM r GROUP BY ALL),
 u AS (SELECT *, (b1 - greatest(b1 // 32 - 1, 0) * 32 + 1) * (1 << greatest(b1 // 32 - 1, 0)) - 1 AS q1, (b3 - greatest(b3 // 32 - 1, 0) * 32 + 1) * (1 << greatest(b3 // 32 - 1, 0)) - 1 AS q3 FROM q),
-m AS (SELECT *, greatest(CASE feature WHEN 'symbols' THEN 800 WHEN 'dup_lines' THEN 6000 WHEN 'repeats' THEN 3000 ELSE 120000 END, q3 + 3.0 * (q3 - q1)) AS lim FROM u),
-t AS (SELECT g.lang, g.source, g.feature, CASE WHEN g.size >= 100 THEN g.lim WHEN l.size >= 100 THEN l.lim ELSE a.lim END AS lim FROM m g JOIN m l ON l.depth = 1 AND l.lang = g.lang AND l.feature = g.feature JOIN m a ON a.depth = 2 AND a.feature = g.feature WHERE g.depth = 0),
-o AS (SELECT f.doc_id, max(f.v > t.lim) AS over FROM f JOIN t ON f.lang = t.lang AND f.source = t.source AND f.feature = t.feature GROUP BY f.doc_id)
+m AS (SELECT *, 8 * greatest(CASE feature WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 500 WHEN 'repeats' THEN 350 ELSE 1000 END, q3 - q1) AS reach FROM u),
+o AS (SELECT f.doc_id, max(f.v > m.q3 + m.reach OR (f.feature = 'word_length' AND f.v < m.q1 - m.reach)) AS over FROM f JOIN m ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.feature = m.feature GROUP BY f.doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(over, false) AS kept FROM b LEFT JOIN o USING (doc_id)
 """
 

@@ -4,7 +4,9 @@ Base counts are plain text statistics. The adaptive part turns them into integer
 log-linear histogram of each feature for every (language, source), and reads quartiles from it. Such
 a histogram is a quantile sketch with a relative error of 1/32: it is a set of bucket counts, so it
 merges by addition, is the same for any partitioning, and never grows beyond a few hundred buckets.
-A document is rejected if a feature lies outside its group's fence.
+Every group's sketch is merged with those of its language and of all documents, each scaled to the
+weight of a few documents: small groups lean on them, large ones hardly. A document is rejected if a
+feature lies outside its group's fence.
 """
 
 from __future__ import annotations
@@ -20,17 +22,19 @@ from .common import SPACE_RUN, SPACES, let, store, words_of
 
 @dataclass(frozen=True)
 class QualityParams:
-    """min_words, repeat_percent: the base rules. fence: interquartile ranges above the upper
-    quartile at which rejection starts. floors: the least rejection limit of each feature (per
-    10,000), below which a value is never called bad. min_group: groups with fewer documents that
-    pass the base rules use the sketch of their language, and then that of all documents."""
+    """min_words, repeat_percent: the base rules. fence: spreads above the upper quartile (or, for two-sided
+    features, below the lower one) at which rejection starts. spreads: of each feature, per 10,000, what
+    its spread, the distance of the quartiles, counts as at least: most groups have none of what the first
+    three count, and a single symbol shall not be an outlier there. prior: documents that the sketches of
+    the language, and of all documents, weigh in each group's."""
 
     min_words: int = 20
     repeat_percent: int = 30
     window: int = 8
-    fence: float = 3.0
-    floors: tuple[tuple[str, int], ...] = (("symbols", 800), ("dup_lines", 6000), ("repeats", 3000), ("word_length", 120_000))
-    min_group: int = 100
+    fence: int = 8
+    spreads: tuple[tuple[str, int], ...] = (("symbols", 100), ("dup_lines", 500), ("repeats", 350), ("word_length", 1000))
+    two_sided: tuple[str, ...] = ("word_length",)
+    prior: tuple[int, int] = (30, 10)
 
 
 def _repeat_words(hashes: Column, window: int) -> Column:
@@ -102,28 +106,34 @@ def sketches(counted: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "x.feature", "x.b").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    merged = sketch.groupBy(*keys, "feature", "b").agg(F.sum("n").alias("n"))
-    w = W.partitionBy(*keys, "feature")
-    run = merged.withColumn("c", F.sum("n").over(w.orderBy("b").rowsBetween(W.unboundedPreceding, 0))).withColumn("t", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("c") >= q * F.col("t"), F.col("b")))
-    return run.groupBy(*keys, "feature").agg(bucket_top(at(0.25)).alias("q1"), bucket_top(at(0.75)).alias("q3"), F.max("t").alias("size"))
+#: Scale of the weights in merged sketches; they are whole numbers, so that any order of addition agrees.
+UNIT = 1000
 
 
-def thresholds(sketch: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """(lang, source, and one limit for each feature): the row of a group, or what its language or all documents give."""
-    floors = F.create_map(*(F.lit(x) for kv in p.floors for x in kv))
+def merged(sketch: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
+    """(lang, source, feature, b, n) of every group: its own counts, and those of its language and of all
+    documents scaled to p.prior documents; all times UNIT."""
+    groups = sketch.select("lang", "source", "feature").distinct()
+    by_lang = sketch.groupBy("lang", "feature", "b").agg(F.sum("n").alias("n"))
+    by_lang = by_lang.withColumn("t", F.sum("n").over(W.partitionBy("lang", "feature"))).withColumnsRenamed({"lang": "lang_", "feature": "feature_"})
+    of_all = sketch.groupBy("feature", "b").agg(F.sum("n").alias("n")).withColumn("t", F.sum("n").over(W.partitionBy("feature")))
+    same = F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("feature") == F.col("feature_"))
+    scaled = lambda weight: F.expr(f"n * {weight * UNIT} div t").alias("n")
+    keys = ("lang", "source", "feature", "b")
+    every = sketch.select(*keys, (F.col("n") * UNIT).alias("n")).unionByName(groups.join(by_lang, same).select(*keys, scaled(p.prior[0]))).unionByName(groups.join(of_all, "feature").select(*keys, scaled(p.prior[1])))
+    return every.groupBy(*keys).agg(F.sum("n").alias("n"))
 
-    def limits(keys: list[str], name: str) -> DataFrame:
-        limit = F.greatest(floors[F.col("feature")].cast("double"), F.col("q3") + p.fence * (F.col("q3") - F.col("q1")))
-        cols = [F.max(F.when(F.col("feature") == k, limit)).alias(f"{name}_{k}") for k in FEATURES]
-        return _quartiles(sketch, keys).groupBy(*keys).agg(F.max("size").alias(f"{name}_size"), *cols)
 
-    g, l, a = limits(["lang", "source"], "g"), limits(["lang"], "l"), limits([], "a")
-    every = g.join(l.withColumnRenamed("lang", "lang_"), F.col("lang").eqNullSafe(F.col("lang_")), "left")
-    every = every.withColumn("_all", F.lit(1)).join(a.withColumn("_all", F.lit(1)), "_all")  # a has one row
-    pick = lambda k: F.when(F.col("g_size") >= p.min_group, F.col(f"g_{k}")).when(F.col("l_size") >= p.min_group, F.col(f"l_{k}")).otherwise(F.col(f"a_{k}"))
-    return every.select("lang", "source", *(pick(k).alias(k) for k in FEATURES))
+def thresholds(sketch: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
+    """(lang, source, and for each feature struct(lo, hi)) of every group; lo is null for one-sided features."""
+    w = W.partitionBy("lang", "source", "feature")
+    run = merged(sketch, p).withColumn("c", F.sum("n").over(w.orderBy("b").rowsBetween(W.unboundedPreceding, 0))).withColumn("t", F.sum("n").over(w))
+    at = lambda k: bucket_top(F.min(F.when(4 * F.col("c") >= k * F.col("t"), F.col("b"))))
+    q = run.groupBy("lang", "source", "feature").agg(at(1).alias("q1"), at(3).alias("q3"))
+    least = F.create_map(*(F.lit(x) for kv in p.spreads for x in kv))[F.col("feature")]
+    reach = p.fence * F.greatest(F.col("q3") - F.col("q1"), least)
+    q = q.withColumn("x", F.struct(F.when(F.col("feature").isin(*p.two_sided), F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi")))
+    return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == k, F.col("x"))).alias(k) for k in FEATURES))
 
 
 def judged(counted: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
@@ -132,13 +142,14 @@ def judged(counted: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     Groups are joined by (lang, source), null-safe. The thresholds have one short row a group; the
     planner broadcasts them when their measured size allows it, and splits a hot group otherwise.
     """
-    limits = store(thresholds(sketches(counted), p), "limits")
+    limits = store(thresholds(store(sketches(counted), "sketches"), p), "limits")
     t = limits.select(F.struct(*FEATURES).alias("_t"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
     joined = counted.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    over = F.lit(False)
+    out = F.lit(False)
     for k in FEATURES:
-        over = over | F.coalesce(F.col(f"_q.{k}") > F.col(f"_t.{k}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("_q.base_failed") & ~over).drop("_t", "_lang", "_source")
+        v = F.col(f"_q.{k}")
+        out = out | F.coalesce(v > F.col(f"_t.{k}.hi"), F.lit(False)) | F.coalesce(v < F.col(f"_t.{k}.lo"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("_q.base_failed") & ~out).drop("_t", "_lang", "_source")
 
 
 def quality(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
