@@ -48,19 +48,60 @@ def test_adaptive_threshold_follows_its_group(spark):
     assert all(got.values())
 
 
+def brute_targets(rows):
+    """Sizes and targets by source: shares of 5, 2, 1, repeating; what is above three times a size is dealt again."""
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    got, full = dict.fromkeys(names, 0.0), set()
+    while True:
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in full)
+        for s in names:
+            got[s] = 3 * sizes[s] if s in full else left * weight[s] / sum(w for x, w in weight.items() if x not in full)
+        over = {s for s in names if got[s] > 3 * sizes[s] + 1e-9}
+        if not over:
+            return sizes, got
+        full |= over
+
+
+def test_tree_decides_what_shards_draw(spark, monkeypatch):
+    docs = spark.range(900).selectExpr("id as doc_id", "concat('s', id % 3) as source", "repeat('w ', 5 + cast(id % 40 as int)) as text")
+    p = mixing.MixParams(blocks=32, shards=8)
+    rows = mixing.taken(docs, p).collect()
+    q = [x for r in rows for x in r["shards"].split(",") if x]
+    assert {int(x) for x in q} == set(range(8))
+    dealt = mixing.mix(docs, p).rdd.mapPartitionsWithIndex(lambda k, part: [(k, sum(1 for _ in part))]).collect()
+    assert sorted(n for _, n in dealt if n) == sorted(Counter(q).values())
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: __import__("numpy").array([quotas // 2] + [quotas * 0] * (shards - 1)))
+    half = mixing.taken(docs, p).collect()
+    assert {x for r in half for x in r["shards"].split(",") if x} == {"0"}
+    assert sum(r["taken"] for r in half) < 0.7 * sum(r["taken"] for r in rows)
+
+
+def test_more_words_make_more_blocks_and_shards():
+    p = mixing.MixParams()
+    assert p.grown([10, 20]) == p
+    assert (p.grown([10**10, 10**10]).blocks, p.grown([10**10, 10**10]).shards) == (5000, 500)
+
+
 def test_mixture(spark):
     rows = awkward()
     docs = spark.createDataFrame(rows, DOCS)
     p = mixing.MixParams(blocks=8, shards=4)
     got = [tuple(r) for r in mixing.taken(docs, p).collect()]
     assert Counter(r[:2] for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
-    assert all(t in (0, s, 2 * s, 3 * s) for _, s, _, _, t in got)
+    assert all(t == s * len([x for x in h.split(",") if x]) and t <= 3 * s for _, s, _, _, t, h in got)
+    want_sizes, want_targets = brute_targets(rows)
+    by_id = {r[0]: r[3] for r in rows}
+    assert all((n, round(t, 6)) == (want_sizes[by_id[i]], round(want_targets[by_id[i]], 6)) for i, _, n, t, _, _ in got if i is not None)
     assert sorted(got, key=str) == sorted((tuple(r) for r in mixing.taken(docs.repartition(5), p).collect()), key=str)
     mixed = Counter()
     for r in mixing.mix(docs, p).collect():
         mixed[r["doc_id"]] += len(WORD.findall(r["text"] or ""))
     want = Counter()
-    for i, _, _, _, t in got:
+    for i, _, _, _, t, _ in got:
         want[i] += t
     assert {k: v for k, v in mixed.items() if v} == {k: v for k, v in want.items() if v}
     assert mixing.mix(docs, p).columns == docs.columns
@@ -68,6 +109,16 @@ def test_mixture(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_small_groups_lean_on_their_language(spark):
+    plain = [(i, " ".join(f"w{100 + i}x{10 + j}" for j in range(40)), "en", "a") for i in range(300)]
+    few = [(1000 + i, " ".join(f"{'#' * 3}w{100 + i}x{10 + j}" for j in range(40)), "en", "b") for i in range(3)]
+    other = [(2000 + i, " ".join(f"w{100 + i}x{10 + j}" for j in range(40)) + " ###" * 3, None, None) for i in range(200)]
+    long_words = [(3000, " ".join(f"{'v' * 30}{j}" for j in range(40)), "en", "a"), (3001, " ".join("a b c d e f g h i j k l m n o p q r s t u v w x y".split()), "en", "a")]
+    rows = plain + few + other + long_words
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, kept in got.items() if not kept} == {1000, 1001, 1002, 3000, 3001}
+
+
 def test_mixture_meets_targets(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "concat('s', least(id % 7, 3)) as source", "repeat('w ', 5 + cast(id % 40 as int)) as text")
     rows = mixing.taken(docs).groupBy("source_size").agg({"target": "max", "taken": "sum"}).collect()
