@@ -16,31 +16,44 @@ from .common import ascii_lower, bounded, store
 
 #: Runs of characters that are in no word, after A-Z are lower-cased.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Vocabularies of at most this many terms (8 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_TERMS = 1_000_000
+#: Likewise of the windows with their two rarest terms (40 bytes each): so the lists of frequent terms stay where they are.
+BROADCAST_WINDOWS = 200_000
 
 
 def _parts(text: Column) -> Column:
     return F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAKS)
 
 
-def _tokens(rows: DataFrame, key: str) -> DataFrame:
-    """(key, term, pos) of rows (key, text); pos counts from 0."""
-    parts = rows.select(key, _parts(F.col("text")).alias("w"))
-    lead = F.when(F.col("w")[0] == "", 1).otherwise(0)
-    flat = parts.select(key, lead.cast("int").alias("lead"), F.posexplode("w").alias("p", "word"))
-    return flat.where("word <> ''").select(key, F.xxhash64("word").alias("term"), (F.col("p") - F.col("lead")).alias("pos"))
+def _tokens(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, term, pos, p, n_words) of rows (keys, text); pos counts words from 0. Every row has one row
+    with p = 0, whose term stands for no word (pos below 0, or an empty word) if its text does not start with one."""
+    parts = rows.select(*keys, _parts(F.col("text")).alias("w"))
+    lead, tail = F.col("w")[0] == "", F.get("w", F.size("w") - 1) == ""
+    words = F.size("w") - lead.cast("int") - (tail & ~(lead & (F.size("w") == 1))).cast("int")
+    flat = parts.select(*keys, lead.cast("int").alias("lead"), words.cast("long").alias("n_words"), F.posexplode("w").alias("p", "word"))
+    return flat.where("word <> '' or p = 0").select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), (F.col("p") - F.col("lead")).alias("pos"), "p", "n_words")
 
 
 def _dkey() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def read_terms(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored postings (term, dkey, pos) of the vocabulary's terms in all documents, and a row (doc_id,
+    dkey, n_words) for each document; one pass over the texts gives both."""
+    base = docs.select("doc_id", _dkey().alias("dkey"), "text")
+    known = bounded(vocabulary.select("term", F.lit(True).alias("known")), BROADCAST_TERMS)
+    met = _tokens(base, "doc_id", "dkey").join(known, "term", "left").where("known or p = 0")
+    once = lambda c: F.when(F.col("p") == 0, F.col(c)).alias(c)
+    rows = store(met.select("known", "term", "dkey", "pos", "p", once("doc_id"), once("n_words")), "postings")
+    return rows.where("known").select("term", "dkey", "pos"), rows.where("p = 0").select("doc_id", "dkey", "n_words")
+
+
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The stored postings (term, dkey, pos) of the vocabulary's terms in all documents."""
-    base = docs.select(_dkey().alias("dkey"), "text")
-    return store(_tokens(base, "dkey").join(bounded(vocabulary, BROADCAST_TERMS), "term").select("term", "dkey", "pos"), "postings")
+    return read_terms(docs, vocabulary)[0]
 
 
 def windows_of(items: DataFrame, size: int) -> DataFrame:
@@ -65,7 +78,7 @@ def phrase_hits(index: DataFrame, items: DataFrame, size: int) -> DataFrame:
     wanted = store(rarest_terms(windows_of(items, size), index), "wanted")
     at = (F.col("pos") - F.col("ws") - F.col("o1")).alias("start")
     lists = index.join(bounded(wanted.select(F.col("t1").alias("term")).distinct(), BROADCAST_TERMS), "term", "left_semi")
-    started = lists.join(wanted, lists["term"] == wanted["t1"]).select("dkey", "ikey", "ws", "t2", "o2", (at + F.col("ws")).alias("start")).where("start >= 0")
+    started = lists.join(bounded(wanted, BROADCAST_WINDOWS), lists["term"] == wanted["t1"]).select("dkey", "ikey", "ws", "t2", "o2", (at + F.col("ws")).alias("start")).where("start >= 0")
     second = index.join(bounded(wanted.select(F.col("t2").alias("term")).where("term is not null").distinct(), BROADCAST_TERMS), "term", "left_semi")
     second = second.select("dkey", F.col("term").alias("t2"), F.col("pos").alias("p2"))
     need = started.withColumn("p2", F.col("start") + F.col("o2"))
@@ -100,7 +113,7 @@ def proximity_hits(index: DataFrame, items: DataFrame, within: int) -> DataFrame
 def item_terms(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored (ikey, term, pos, length) and (ikey, item_id) of a benchmark table."""
     rows = benchmark.select("item_id", "text").distinct().withColumn("ikey", F.xxhash64("item_id", "text"))
-    t = _tokens(rows.select("ikey", "text"), "ikey")
+    t = _tokens(rows.select("ikey", "text"), "ikey").where("term is not null").select("ikey", "term", "pos")
     t = t.withColumn("length", F.count("*").over(W.partitionBy("ikey")).cast("int"))
     return store(t, "items"), rows.select("ikey", "item_id")
 
@@ -114,13 +127,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     """
     own = docs.select("doc_id", "text")
     items, names = item_terms(benchmark)
-    index = build_index(own, store(items.select("term").distinct(), "vocabulary"))
+    index, base = read_terms(own, store(items.select("term").distinct(), "vocabulary"))
     hits = store(phrase_hits(index, items, size).distinct(), "hits")
     places = hits.select("dkey", "pos").distinct().groupBy("dkey").agg(F.count("*").alias("n_hit"))
     found = hits.select("dkey", "ikey").distinct().join(names, "ikey").where("item_id is not null").select("dkey", F.col("item_id").cast("string").alias("item")).distinct()
     listed = found.groupBy("dkey").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
     result = store(places.join(listed, "dkey", "left"), "contaminated")
-    base = own.select("doc_id", _dkey().alias("dkey"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
     out = base.join(result, "dkey", "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
