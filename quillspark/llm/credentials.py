@@ -2,8 +2,9 @@
 
 Labelled credentials (values that the fixed formats find) of each kind form a prefix tree with counts.
 States whose outgoing frequencies are statistically compatible (Hoeffding bound, recursively) are
-merged, which gives a probabilistic automaton. Every other long token in the text is a candidate: it
-is scored by its likelihood under each automaton against that under an automaton of ordinary tokens.
+merged, which gives a probabilistic automaton. Every other token in the text that is long enough and
+holds a digit is a candidate: it is scored by its likelihood under each automaton against that under an
+automaton of ordinary tokens. Automata read classes of characters, so they know a format, not its values.
 """
 
 from __future__ import annotations
@@ -19,35 +20,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import sliced, store
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+DIGIT = re.compile("[0-9]")
 
 
 @dataclass(frozen=True)
 class SecretParams:
-    """alpha: of the merge test. samples: labelled values of each kind, and ordinary tokens, that are
-    fitted at most, those with the least hashes; everything is scored. margin: natural-log likelihood
-    ratio per character from which a candidate counts. min_count: visits below which a state is
-    compatible with any."""
+    """least: characters of a candidate, at least; shorter ones, and those without a digit, are left to the
+    fixed formats. alpha: of the merge test. samples: labelled values of each kind, and ordinary tokens,
+    that are fitted at most, those with the least hashes, of at most longest characters; everything is
+    scored. margin: natural-log likelihood ratio per character from which a candidate counts. min_count:
+    visits below which a state is compatible with any."""
 
+    least: int = 12
     alpha: float = 0.05
     samples: int = 2000
-    margin: float = 0.35
+    longest: int = 200
+    margin: float = 0.25
     min_count: int = 4
     end: str = "\x00"
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+def base_spans(text: str, least: int = 12) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """(start, kind number, end) of the fixed formats by start and kind; (start, end) of other candidates.
 
-    Formats and candidates of 16 characters or more have no white space, so only words of that length
-    are looked into. Offsets are code points.
+    Formats and candidates have no white space, so only words that are long enough are looked into.
+    Offsets are code points.
     """
     out, candidates = [], []
     low = text.encode("utf-8", "surrogatepass").lower()
@@ -55,22 +60,23 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     at = 0
     for word in text.split():
-        if len(word) < 16:
+        if len(word) < min(least, 20):
             continue
-        at = text.index(word, at)
-        for run in RUN.finditer(word):
-            s, value = at + run.start(), run.group()
-            out += [(s + m.start(), 1, s + m.end()) for m in ACCESS.finditer(value) if m.end() - m.start() >= 20]
-            out += [(s + m.start(), 2, s + m.end()) for m in HEX.finditer(value)]
-            candidates.append((s, s + len(value)))
-        at += len(word)
+        if len(word) >= 24 or DIGIT.search(word) or "AKIA" in word:
+            at = text.index(word, at)
+            out += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(word) if m.end() - m.start() >= 20]
+            out += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(word)]
+            candidates += [(at + m.start(), at + m.end()) for m in RUN.finditer(word) if m.end() - m.start() >= least and DIGIT.search(m.group())]
+            at += len(word)
     return sorted(out), [c for c in candidates if not any(s < c[1] and c[0] < e for s, _, e in out)]
 
 
+#: Classes of characters that the automata read; a mark is a class of its own.
+SYMBOLS = {c: k for k, chars in (("d", "0123456789"), ("h", "abcdef"), ("l", "ghijklmnopqrstuvwxyz"), ("H", "ABCDEF"), ("U", "GHIJKLMNOPQRSTUVWXYZ")) for c in chars}
+
+
 def symbols(value: str) -> list[str]:
-    """The first four characters as they are, then character classes; punctuation stays as it is."""
-    cls = lambda c: "d" if c.isdigit() else "U" if c.isupper() else "h" if c in "abcdef" else "l" if c.isalpha() else c
-    return list(value[:4]) + [cls(c) for c in value[4:]]
+    return [SYMBOLS.get(c, c) for c in value]
 
 
 class Automaton:
@@ -144,10 +150,10 @@ class Automaton:
         at, out = 0, 0.0
         for c in [*symbols(value), self.p.end]:
             if at is None:
-                out -= math.log(1000.0)
+                out -= math.log(20.0)
                 continue
             n = self.count[at].get(c, 0)
-            out += math.log((n + 0.01) / (self.total[at] + 0.01 * 70))
+            out += math.log((n + 0.1) / (self.total[at] + 0.1 * 12))
             at = self.next[at].get(c) if n else None
         return out
 
@@ -165,17 +171,21 @@ def score(value: str, model: dict[str, Automaton]) -> float:
 FOUND = "doc_id long, spans array<struct<s:int,k:int,e:int,v:string>>, candidates array<struct<s:int,e:int,v:string>>"
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(least: int):
     span = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32()), ("v", pa.string())]))
     other = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("v", pa.string())]))
-    for b in batches:
-        spans, candidates = [], []
-        for t in b.column("text"):
-            t = t.as_py() or ""
-            found, rest = base_spans(t)
-            spans.append([{"s": s, "k": k, "e": e, "v": ASSIGN.match(t, s).group(2) if k == 0 else t[s:e]} for s, k, e in found])
-            candidates.append([{"s": s, "e": e, "v": t[s:e]} for s, e in rest])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, span), pa.array(candidates, other)], ["doc_id", "spans", "candidates"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            spans, candidates = [], []
+            for t in b.column("text"):
+                t = t.as_py() or ""
+                found, rest = base_spans(t, least)
+                spans.append([{"s": s, "k": k, "e": e, "v": ASSIGN.match(t, s).group(2) if k == 0 else t[s:e]} for s, k, e in found])
+                candidates.append([{"s": s, "e": e, "v": t[s:e]} for s, e in rest])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, span), pa.array(candidates, other)], ["doc_id", "spans", "candidates"])
+
+    return run
 
 
 def _least(rows: DataFrame, n: int) -> list:
@@ -197,15 +207,15 @@ def scan(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
     results. Other columns are ignored. An empty table gives no rows. Without labelled credentials
     nothing is learned, and the fixed formats remain.
     """
-    found = store(docs.select("doc_id", "text").mapInArrow(_find, FOUND), "secrets")
-    labelled = found.select(F.explode("spans").alias("x")).select("x.k", F.substring("x.v", 1, 128).alias("v"))
+    found = store(docs.select("doc_id", "text").mapInArrow(_find(p.least), FOUND), "secrets")
+    labelled = found.select(F.explode("spans").alias("x")).select("x.k", "x.v").where(F.length("v") <= p.longest)
     groups = {KINDS[k]: [r["v"] for r in _least(labelled.where(F.col("k") == k), p.samples)] for k in range(3)}
-    ordinary = found.select(F.explode("candidates").alias("x")).select(F.lit(3).alias("k"), F.substring("x.v", 1, 128).alias("v"))
+    ordinary = found.select(F.explode("candidates").alias("x")).select(F.lit(3).alias("k"), "x.v").where(F.length("v") <= p.longest)
     model = fit({k: v for k, v in groups.items() if v}, [r["v"] for r in _least(ordinary, p.samples)], p)
     margin = p.margin
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             rows = []
             for doc_id, spans, candidates in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 base = sorted((x["s"], x["k"], x["e"]) for x in spans)
