@@ -1,8 +1,9 @@
 """Personal data: fixed formats, and a character-level bidirectional LSTM with CRF transitions.
 
-The network is trained in numpy from labelled spans (those of the fixed formats in a bounded sample)
-and decodes every stretch of text that can hold a span. A span must hold a digit or an @ sign, so the
-stretches are all text within REACH characters of one: elsewhere the only admissible path is "no span".
+The network is trained in numpy from labelled spans (those of the fixed formats in a bounded sample, each
+also in disguise: an address with "(at)", a number with other marks) and decodes every stretch of text
+that can hold a span. A span must hold a digit, an @ sign or a written-out "at" with a "dot" or brackets,
+so the stretches are all text within reach of one: elsewhere the only admissible path is "no span".
 Long stretches are cut into overlapping windows. Their emissions are blended, each window's weight
 falling towards its edges, and one Viterbi pass over the whole stretch reconciles them.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import sliced, store
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -28,25 +29,61 @@ ZONE = re.compile(r"[0-9][0-9 .-]*")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Characters on either side of an anchor that are decoded.
-REACH = 40
+#: What a span of any kind must hold.
+ANCHOR = re.compile(r"[0-9@]+|[\[({<] ?(?i:at) ?[\])}>]|\b(?i:at) (?=[A-Za-z0-9-]{1,63}(?: (?i:dot) ?| ?[\[({<] ?(?i:dot)))")
+AT = re.compile(r"@|[\[({<] ?at ?[\])}>]|\bat\b", re.IGNORECASE)
+DOT = re.compile(r"\.|\bdot\b", re.IGNORECASE)
 WINDOW, STRIDE = 96, 48
-CLASSES = {c: i for i, c in enumerate("@.-_+()%/: \n")}
+CLASSES = {c: i for i, c in enumerate("@.-_+()%/: \n[]{}<>aAtTdDoO")}
 N_CLASSES = len(CLASSES) + 6
 N_LABELS = 1 + 2 * len(KINDS)
 
 
 @dataclass(frozen=True)
 class PersonalParams:
-    """samples: stretches with, and as many without, labelled spans that are fitted at most."""
+    """samples: stretches with, and as many without, labelled spans that are fitted at most; longest: their
+    length at most. reach: characters on either side of an anchor that are decoded. likely: the tagger's
+    log-odds per character, against no span, from which a decoded span counts."""
 
     samples: int = 300
-    hidden: int = 12
-    epochs: int = 14
+    longest: int = 400
+    reach: int = 64
+    hidden: int = 16
+    epochs: int = 16
     rate: float = 0.02
+    likely: float = 0.0
     seed: int = 11
 
 
+#: Ways to write a span of each kind that the fixed formats do not know.
+DISGUISES = (
+    (
+        lambda v: v.replace("@", " (at) "), lambda v: v.replace("@", " [at] "), lambda v: v.replace("@", " at ").replace(".", " dot "),
+        lambda v: v.replace("@", "(at)").replace(".", "(dot)"), lambda v: v.replace("@", " AT ").replace(".", " DOT "), lambda v: v.replace("@", "@ "), lambda v: v.replace("@", " @ "),
+    ),
+    (lambda v: v.replace(".", " . "), lambda v: v.replace(".", "[.]"), lambda v: v.replace(".", "(.)"), lambda v: v.replace(".", ". ")),
+    (lambda v: "/".join(plain(v, 4)), lambda v: ".".join(plain(v, 4)), lambda v: " - ".join(plain(v, 4)), lambda v: "  ".join(plain(v, 4))),
+    (lambda v: v[1:], lambda v: "00" + v[1:], lambda v: v[1:].replace(" ", "-"), lambda v: v[1:].replace(" ", "."), lambda v: "(" + v[1:].replace(" ", ") ", 1), lambda v: "+ " + v[1:].replace(" ", "/")),
+)
+
+
+def plain(number: str, size: int) -> list[str]:
+    digits = "".join(c for c in number if c.isdigit())
+    return [digits[i : i + size] for i in range(0, len(digits), size)]
+
+
+def disguise(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator, forms=DISGUISES) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with each of its spans written in another way, and where they then are."""
+    out, found, at = "", [], 0
+    for s, k, e in sorted(spans):
+        if s >= at:
+            v = forms[k][int(rng.integers(len(forms[k])))](text[s:e])
+            out += text[at:s]
+            found.append((len(out), k, len(out) + len(v)))
+            out, at = out + v, e
+    return out + text[at:], found
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -91,11 +128,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged (start, end) within REACH of a digit or an @."""
+def stretches(text: str, reach: int = 64) -> list[tuple[int, int]]:
+    """Merged (start, end) within reach of an anchor."""
     out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
-        s, e = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for m in ANCHOR.finditer(text):
+        s, e = max(0, m.start() - reach), min(len(text), m.end() + reach)
         if out and s <= out[-1][1]:
             out[-1][1] = e
         else:
@@ -123,9 +160,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def admissible(kind: int, span: str) -> bool:
-    """What a decoded span must hold to be of its kind: one line, and an @, three dots, or enough digits."""
-    digits = sum(c.isdigit() for c in span)
-    return "\n" not in span and (span.count("@") == 1 if kind == 0 else digits >= 4 and span.count(".") >= 3 if kind == 1 else digits >= (12, 7)[kind - 2])
+    """What a decoded span must be: one line, that starts and ends with a letter, digit, + or (, and holds an
+    @ or "at" and a dot, four numbers of at most 255, 12 to 19 digits, or 9 to 15."""
+    if "\n" in span or not span or not (span[0].isalnum() or span[0] in "+(") or not span[-1].isalnum():
+        return False
+    numbers = re.findall("[0-9]+", span)
+    digits = sum(map(len, numbers))
+    if kind == 0:
+        return len(AT.findall(span)) == 1 and DOT.search(span, AT.search(span).end()) is not None
+    if re.search("[A-Za-z]", span):
+        return False
+    if kind == 1:
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+    return 12 <= digits <= 19 if kind == 2 else 9 <= digits <= 15
 
 
 class Tagger:
@@ -256,12 +303,14 @@ class Tagger:
                 weight[i][s : s + n] += ramp[:n]
         out = []
         for t, e, w in zip(texts, total, weight, strict=True):
-            spans, path = [], self.viterbi(e / w)
+            e = e / w
+            spans, path = [], self.viterbi(e)
             for j in np.flatnonzero(path % 2 == 1):
                 k, end = (path[j] - 1) // 2, j + 1
                 while end < len(path) and path[end] == 2 + 2 * k:
                     end += 1
-                if admissible(k, t[j:end]):
+                sure = (e[np.arange(j, end), path[j:end]] - e[j:end, 0]).mean()
+                if sure >= self.p.likely and admissible(k, t[j:end]):
                     spans.append((int(j), int(k), int(end)))
             out.append(spans)
         return out
@@ -270,24 +319,29 @@ class Tagger:
 FOUND = "doc_id long, spans array<struct<s:int,k:int,e:int>>, parts array<struct<s:int,v:string>>"
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(reach: int):
     span = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
     part = pa.list_(pa.struct([("s", pa.int32()), ("v", pa.string())]))
-    for b in batches:
-        spans, parts = [], []
-        for t in b.column("text"):
-            t = t.as_py() or ""
-            spans.append([{"s": s, "k": k, "e": e} for s, k, e in base_spans(t)])
-            parts.append([{"s": s, "v": t[s:e]} for s, e in stretches(t)])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, span), pa.array(parts, part)], ["doc_id", "spans", "parts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            spans, parts = [], []
+            for t in b.column("text"):
+                t = t.as_py() or ""
+                spans.append([{"s": s, "k": k, "e": e} for s, k, e in base_spans(t)])
+                parts.append([{"s": s, "v": t[s:e]} for s, e in stretches(t, reach)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, span), pa.array(parts, part)], ["doc_id", "spans", "parts"])
+
+    return run
 
 
 def training_windows(found: DataFrame, p: PersonalParams) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Windows of stretches with and without labelled spans: those with the least hashes, p.samples of each."""
+    """Windows of stretches with and without labelled spans: those with the least hashes, p.samples of each;
+    then those with spans again, in disguise."""
     rows = found.select("spans", F.explode("parts").alias("part"))
     inside = F.filter("spans", lambda x: (x["s"] >= F.col("part.s")) & (x["e"] <= F.col("part.s") + F.length("part.v")))
-    rows = rows.select(F.transform(inside, lambda x: F.struct((x["s"] - F.col("part.s")).alias("s"), x["k"].alias("k"), (x["e"] - F.col("part.s")).alias("e"))).alias("spans"), F.substring("part.v", 1, 4 * WINDOW).alias("v"))
-    out = []
+    rows = rows.select(F.transform(inside, lambda x: F.struct((x["s"] - F.col("part.s")).alias("s"), x["k"].alias("k"), (x["e"] - F.col("part.s")).alias("e"))).alias("spans"), F.col("part.v").alias("v"))
+    rows, out = rows.where(F.length("v") <= p.longest), []
     for test in ("size(spans) > 0", "size(spans) = 0"):
         for r in rows.where(test).distinct().orderBy(F.xxhash64("v"), "v").limit(p.samples).collect():
             v = r["v"]
@@ -296,10 +350,16 @@ def training_windows(found: DataFrame, p: PersonalParams) -> list[tuple[str, lis
                 cut = [x for x in r["spans"] if x["s"] < min(s + WINDOW, len(v)) and x["e"] > s and (x["s"] - s, x["k"], x["e"] - s) not in own]
                 if not cut:
                     out.append((v[s : s + WINDOW], own))
-    return out
+    return disguised(out, p)
+
+
+def disguised(data: list[tuple[str, list[tuple[int, int, int]]]], p: PersonalParams, forms=DISGUISES) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The windows, and after them those with spans again, in disguise."""
+    rng = np.random.Generator(np.random.PCG64(p.seed))
+    return data + [disguise(t, spans, rng, forms) for t, spans in data if spans]
 
 
-OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
+OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, n_spans long, base_sha256 string, spans string"
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -307,18 +367,19 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, p: PersonalParams = PersonalParams()) -> DataFrame:
-    """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans.
+    """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, n_added, n_spans (the sum of these five),
+    base_sha256, spans.
 
     Spans that the tagger decodes are added if they touch none of the fixed formats' spans. Null and
     empty texts have no spans. Repeated rows give repeated results. Other columns are ignored. An empty
     table gives no rows. Without any labelled span nothing is trained, and the fixed formats remain.
     """
-    found = store(docs.select("doc_id", "text").mapInArrow(_find, FOUND), "personal")
+    found = store(docs.select("doc_id", "text").mapInArrow(_find(p.reach), FOUND), "personal")
     data = training_windows(found, p)
     tagger = Tagger(p).fit(data) if any(s for _, s in data) else None
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             rows = []
             ids, spans, parts = (b.column(i).to_pylist() for i in range(3))
             flat = [x["v"] for row in parts for x in row] if tagger else []
@@ -328,9 +389,9 @@ def scan(docs: DataFrame, p: PersonalParams = PersonalParams()) -> DataFrame:
                 more = [(x["s"] + s, k, x["s"] + e) for x in part for s, k, e in (next(decoded) if tagger else ())]
                 more = [m for m in more if not any(s < m[2] and m[0] < e for s, _, e in base)]
                 n = [sum(k == i for _, k, _ in base) for i in range(4)]
-                rows.append((doc_id, *n, len(more), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more))))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            types = [pa.int64()] * 6 + [pa.string()] * 2
+                rows.append((doc_id, *n, len(more), len(base) + len(more), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more))))
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            types = [pa.int64()] * 7 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in OUT.split(", ")])
 
     return found.mapInArrow(decode, OUT)
