@@ -51,7 +51,10 @@ STEP_PATTERNS = (
     r"(?:(?:^|\n)[ \t\n]*(?:步骤[ \t]*[0-9]+|第[一二三四五六七八九十]+步)[：:][^\n]+){2,}",
     r"(?s)(?:第[一二三四五六七八九十]+步.+?){2,}",
     r"(?s)流程[：:].+?\n.+?\n.+",
+    r"(?:(?:^|\n)[ \t\n]*[0-9]+[.)、][ \t\n]+[^\n]+?(?:" + spans.ACTION + r")[^\n]+\n[^\n]+){2,}",
 )
+#: How the origin of a field is shown.
+SOURCE_LABELS = {"原文抽取": "原文抽取", "regex": "原文抽取", "ai_infer": "AI 分析结果", "AI 推测": "AI 分析结果", "llm": "AI 分析结果", "待补充": "待补充", "none": "待补充"}
 PLATFORMS = {
     "小红书": ["xiaohongshu", "小红书", "xhs", "点点"],
     "公众号": ["mp.weixin", "微信公众号", "gongzhonghao"],
@@ -64,6 +67,12 @@ PLATFORMS = {
 GENERATED = ("知识蒸馏", "每周复盘", "Clippings总览报告", "提炼_", "想法成熟度全景", "知识资产审计", "DRAFT_", "README", "Skill 可行性评估索引")
 
 
+def source_label(source: Column) -> Column:
+    """The shown name of a field's origin; an unknown one stays as it is."""
+    shown = F.create_map(*(F.lit(x) for kv in SOURCE_LABELS.items() for x in kv))
+    return F.coalesce(F.try_element_at(shown, source), source)
+
+
 def flag(test: Column) -> Column:
     return test.cast("int")
 

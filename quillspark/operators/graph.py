@@ -22,9 +22,10 @@ def backlinks(edges: DataFrame, notes: DataFrame) -> DataFrame:
     return reached.groupBy(F.col("target").alias("name")).agg(F.count("*").alias("backlinks"), F.count(F.when(~F.col("generated"), 1)).alias("curated_backlinks"))
 
 
-def assets(notes: DataFrame, as_of: Column) -> DataFrame:
+def assets(notes: DataFrame, as_of: Column, package: str = "skills/") -> DataFrame:
     """Audit rows: (name, path, layer, bucket, age_days, link_count, backlinks, curated_backlinks, chars,
-    headings, tasks, generated, draft, published, total_links, curated_links, orphan).
+    headings, tasks, generated, draft, published, package_doc, total_links, curated_links, orphan). Documents
+    that belong to a package (its references, templates and the like) need no links.
 
     notes: name, path, layer, bucket, mtime, text. The text is read once and left behind before joins.
     """
@@ -35,13 +36,14 @@ def assets(notes: DataFrame, as_of: Column) -> DataFrame:
         spans.wiki_links(text).alias("targets"), F.length(text).alias("chars"),
         F.regexp_count(text, F.lit(r"(?m)^#{1,6}[ \t]+")).alias("headings"), F.regexp_count(text, F.lit(r"- \[[ xX]\]")).alias("tasks"),
         scoring.is_generated(F.col("name")).alias("generated"), scoring.is_draft(F.col("path"), F.col("name"), text).alias("draft"), scoring.is_published(F.col("path"), text).alias("published"),
+        scoring.is_package_doc(F.col("path"), package).alias("package_doc"),
     )
     edges = flat.select("generated", F.explode("targets").alias("target"))
     back = backlinks(edges, flat.select("name"))
     rows = flat.withColumn("link_count", F.size("targets")).drop("targets").join(back, "name", "left").na.fill(0, ["backlinks", "curated_backlinks"])
     curated = F.when(F.col("generated"), 0).otherwise(F.col("link_count")) + F.col("curated_backlinks")
     rows = rows.withColumns({"total_links": F.col("link_count") + F.col("backlinks"), "curated_links": curated})
-    return rows.withColumn("orphan", ~F.col("generated") & (F.col("curated_links") == 0))
+    return rows.withColumn("orphan", ~F.col("generated") & ~F.col("package_doc") & (F.col("curated_links") == 0))
 
 
 def layer_stats(rows: DataFrame, spark: SparkSession) -> DataFrame:
@@ -107,6 +109,16 @@ def approved(lines: DataFrame) -> DataFrame:
     return rows.where("target <> '' and source is not null").select("report", "pos", "source", "target", "reason")
 
 
+def applied_counts(notes: DataFrame, approved_links: DataFrame) -> DataFrame:
+    """One row, without any change: applied_links, changed_files, missing_sources, as a dry run tells them."""
+    rows, missing = apply_approved(notes, approved_links)
+    found = approved_links.join(notes.select(F.col("name").alias("source")).distinct(), "source", "left_semi")
+    applied = found.agg(F.count("*").alias("applied_links")).withColumn("one", F.lit(1))
+    changed = rows.agg(F.count(F.when(F.col("changed"), 1)).alias("changed_files")).withColumn("one", F.lit(1))
+    lost = missing.agg(F.count("*").alias("missing_sources")).withColumn("one", F.lit(1))
+    return applied.join(changed, "one").join(lost, "one").drop("one")  # one row each
+
+
 def apply_approved(notes: DataFrame, approved_links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(notes with updated text and flag changed, sources that are no note)."""
     per = approved_links.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("report", "pos", "target", "reason"))).alias("l"))

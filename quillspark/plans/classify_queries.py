@@ -109,10 +109,14 @@ def win_topk_theme(spark, d):
     return theme_scores(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("theme", "rank", "doc_id", "score")
 
 
-@query(f"{_WEEK}, a AS (SELECT theme, sum(score) AS score, count(*) AS n FROM s WHERE score > 0 GROUP BY theme), t AS (SELECT theme FROM a ORDER BY score DESC, n DESC, theme LIMIT 3) SELECT string_agg(theme, ' + ' ORDER BY theme) AS themes FROM t")
+@query(f"{_WEEK}, a AS (SELECT theme, sum(score) AS score, count(*) AS n FROM s WHERE score > 0 GROUP BY theme), t AS (SELECT theme, row_number() OVER (ORDER BY score DESC, n DESC, theme) AS rank FROM a) SELECT coalesce(string_agg(theme, ' + ' ORDER BY rank) FILTER (rank <= 3), '') AS themes, CASE WHEN (SELECT count(*) FROM h) = 0 THEN 'no input' WHEN count(*) = 0 THEN 'scattered' ELSE 'themes' END AS state FROM t")
 def sort_week_judgement(spark, d):
+    """The three leading themes by rank; without themes the input is scattered, without notes there is none."""
     a = theme_scores(spark, d).groupBy("theme").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
-    return a.orderBy(F.desc("score"), F.desc("n"), "theme").limit(3).agg(F.array_join(F.sort_array(F.collect_list("theme")), " + ").alias("themes"))
+    ranked = a.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("n")).alias("n"), "theme"))).alias("r"))  # one row a theme
+    names = F.array_join(F.transform(F.slice("r", 1, 3), lambda x: x["theme"]), " + ")
+    state = F.when(F.size("r") > 0, "themes").when(F.lit(src.notes(spark, d).isEmpty()), "no input").otherwise("scattered")
+    return ranked.select(names.alias("themes"), state.alias("state"))
 
 
 @query(f"{_H}, p AS (SELECT doc_id, mtime, {_hits(['doc 1', '9', '42'], sql.normalize('name'))} AS priority FROM h WHERE layer = 'inbox') SELECT doc_id, priority FROM p ORDER BY priority DESC, mtime DESC, doc_id LIMIT 5")
@@ -277,6 +281,15 @@ def cls_skill_dims(spark, d):
     return n.select("doc_id", "s.*", scoring.conclusion(F.col("s.yes_count")).alias("conclusion"), F.array_join(scoring.skill_gaps(F.col("s")), "|").alias("gaps"), scoring.skill_type(F.col("name"), F.col("text")).alias("skill_type"))
 
 
+_ORIGINS = ("原文抽取", "regex", "ai_infer", "AI 推测", "llm", "待补充", "none", "manual")
+
+
+@query("WITH d AS (SELECT doc_id, ['原文抽取', 'regex', 'ai_infer', 'AI 推测', 'llm', '待补充', 'none', 'manual'][doc_id % 8 + 1] AS origin FROM documents) SELECT doc_id, origin, CASE WHEN origin IN ('原文抽取', 'regex') THEN '原文抽取' WHEN origin IN ('ai_infer', 'AI 推测', 'llm') THEN 'AI 分析结果' WHEN origin IN ('待补充', 'none') THEN '待补充' ELSE origin END AS label FROM d")
+def cls_source_label(spark, d):
+    n = src.notes(spark, d).select("doc_id", F.get(F.array(*map(F.lit, _ORIGINS)), (F.col("doc_id") % 8).cast("int")).alias("origin"))
+    return n.withColumn("label", scoring.source_label(F.col("origin")))
+
+
 @query()
 def cls_skill_fields(spark, d):
     n = src.markdown_notes(spark, d).select("doc_id", scoring.skill_situation(F.col("text")).alias("a"), scoring.skill_form(F.col("text"), F.col("name")).alias("b"))

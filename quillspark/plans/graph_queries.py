@@ -13,21 +13,24 @@ from . import sql
 from .registry import query
 
 T = tx.SAMPLE
-_LINKED = f"WITH {sql.MARKED_NOTES}, w AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'DRAFT_' || name ELSE name END AS name, path, layer, bucket, mtime, text || ' [[doc_' || (doc_id * 7 % 1000) || '|x]] [[doc_' || (doc_id * 3 % 1500) || '#s]] [[ ]]' || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '- [ ] task' ELSE '' END AS text FROM notes)"
+_LINKED = f"WITH {sql.MARKED_NOTES}, w AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'DRAFT_' || name ELSE name END AS name, CASE WHEN doc_id % 26 = 0 THEN 'skills/p/references/' || path ELSE path END AS path, layer, bucket, mtime, text || CASE WHEN doc_id % 13 = 0 THEN '' ELSE ' [[doc_' || (doc_id * 7 % 1000) || '|x]] [[doc_' || (doc_id * 3 % 1500) || '#s]] [[ ]]' END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '- [ ] task' ELSE '' END AS text FROM notes)"
 _TARGETS = "list_filter(list_transform(regexp_extract_all(text, '\\[\\[(.+?)\\]\\]', 1), lambda x: trim(split_part(split_part(x, '|', 1), '#', 1))), lambda x: x <> '')"
 _GEN = "(" + " OR ".join(f"contains(name, {sql.lit(m)})" for m in scoring.GENERATED) + ")"
 _EDGES = f"{_LINKED}, g AS (SELECT *, {_GEN} AS generated, {_TARGETS} AS targets FROM w), e AS (SELECT name, generated, unnest(targets) AS target FROM g)"
 _BACK = f"{_EDGES}, k AS (SELECT target AS name, count(*) AS backlinks, count(*) FILTER (NOT generated) AS curated_backlinks FROM e WHERE target IN (SELECT name FROM g) GROUP BY target)"
 _ASSETS = f"""{_BACK}, a AS (SELECT g.name, g.path, g.layer, g.bucket, date_diff('day', mtime, TIMESTAMP '2024-05-01') AS age_days, len(targets) AS link_count, coalesce(backlinks, 0) AS backlinks, coalesce(curated_backlinks, 0) AS curated_backlinks, length(text) AS chars, generated,
- (starts_with(g.name, 'DRAFT_') OR contains(path, '待整理') OR contains(left(text, 3000), '[ ]')) AS draft, (contains(path, '已发表') OR regexp_matches(text, '(?i)发布链接|已发布|published')) AS published FROM g LEFT JOIN k USING (name)),
-r AS (SELECT *, link_count + backlinks AS total_links, CASE WHEN generated THEN 0 ELSE link_count END + curated_backlinks AS curated_links FROM a), t AS (SELECT *, NOT generated AND curated_links = 0 AS orphan FROM r)"""
+ (starts_with(g.name, 'DRAFT_') OR contains(path, '待整理') OR contains(left(text, 3000), '[ ]')) AS draft, (contains(path, '已发表') OR regexp_matches(text, '(?i)发布链接|已发布|published')) AS published,
+ contains('/' || path, 'skills/') AND (regexp_matches('/' || path, '/(references|templates|assets|examples)/') OR ends_with('/' || path, '/SKILL.md')) AS package_doc FROM g LEFT JOIN k USING (name)),
+r AS (SELECT *, link_count + backlinks AS total_links, CASE WHEN generated THEN 0 ELSE link_count END + curated_backlinks AS curated_links FROM a), t AS (SELECT *, NOT generated AND NOT package_doc AND curated_links = 0 AS orphan FROM r)"""
 
 
 def linked(spark, d):
-    """Marked notes with links to other notes, some to none, and some drafts."""
+    """Marked notes with links to other notes, some to none, some without links, some drafts and package documents."""
     i = F.col("doc_id")
-    extra = F.concat(F.lit(" [[doc_"), (i * 7 % 1000), F.lit("|x]] [[doc_"), (i * 3 % 1500), F.lit("#s]] [[ ]]"), F.when(i % 5 == 0, "\n- [ ] task").otherwise(""))
-    return src.marked_notes(spark, d).withColumns({"text": F.concat("text", extra), "name": F.when(i % 9 == 0, F.concat(F.lit("DRAFT_"), "name")).otherwise(F.col("name"))})
+    some = F.when(i % 13 == 0, "").otherwise(F.concat(F.lit(" [[doc_"), (i * 7 % 1000), F.lit("|x]] [[doc_"), (i * 3 % 1500), F.lit("#s]] [[ ]]")))
+    extra = F.concat(some, F.when(i % 5 == 0, "\n- [ ] task").otherwise(""))
+    path = F.when(i % 26 == 0, F.concat(F.lit("skills/p/references/"), "path")).otherwise(F.col("path"))
+    return src.marked_notes(spark, d).withColumns({"path": path, "text": F.concat("text", extra), "name": F.when(i % 9 == 0, F.concat(F.lit("DRAFT_"), "name")).otherwise(F.col("name"))})
 
 
 def assets(spark, d):
@@ -46,10 +49,13 @@ def join_semi_backlinks(spark, d):
     return graph.backlinks(graph.links(n), n)
 
 
-@query("WITH e AS (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) SELECT href, count(*) AS n FROM e GROUP BY href")
+@query("WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages), u AS (SELECT DISTINCT url FROM pages) SELECT href, count(*) AS n, count(u.url) AS n_known FROM e LEFT JOIN u ON u.url = e.href GROUP BY href")
 def join_page_links(spark, d):
-    p = src.clippings(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
-    return p.groupBy("href").agg(F.count("*").alias("n"))
+    """Links of pages, and how many of them lead to a page of the table."""
+    p = src.clippings(spark, d)
+    e = p.select(F.explode(F.regexp_extract_all("text", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+    known = p.select(F.col("url").alias("href")).where("href is not null").distinct().withColumn("known", F.lit(1))
+    return e.join(known, "href", "left").groupBy("href").agg(F.count("*").alias("n"), F.count("known").alias("n_known"))
 
 
 @query(f"{_ASSETS} SELECT name, age_days, link_count, backlinks, total_links, curated_links, orphan, draft, published FROM t")
@@ -116,6 +122,11 @@ def win_ffill_heading(spark, d):
     return graph.approved(report_lines(spark, d)).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query(f"{_REPORT}, s AS (SELECT source, count(*) AS n FROM p GROUP BY source) SELECT (SELECT sum(n)::BIGINT FROM s WHERE source IN (SELECT name FROM notes)) AS applied_links, (SELECT count(*) FROM s WHERE source IN (SELECT name FROM notes)) AS changed_files, (SELECT count(*) FROM s WHERE source NOT IN (SELECT name FROM notes)) AS missing_sources")
+def span_apply_counts(spark, d):
+    return graph.applied_counts(src.notes(spark, d), graph.approved(report_lines(spark, d)))
+
+
 @query()
 def span_apply_links(spark, d):
     rows, _ = graph.apply_approved(src.notes(spark, d), graph.approved(report_lines(spark, d)))

@@ -15,10 +15,34 @@ def stop(c: str, words) -> str:
     return f"(regexp_matches({c}, '^[0-9]*$') OR length({c}) < 2 OR {c} IN ({', '.join(map(sql.lit, words))}))"
 
 
-@query(f"WITH {sql.NOTES} SELECT doc_id, path, (starts_with(path, 'src1') AND false) OR len(list_intersect(string_split(path, '/'), ['.git', 'src3', 'node_modules'])) > 0 AS skipped FROM notes")
+_PLACED = f"WITH {sql.NOTES}, p AS (SELECT doc_id, mtime, CASE doc_id % 7 WHEN 0 THEN '.git/' || path WHEN 1 THEN 'a/node_modules/' || path WHEN 2 THEN path || '.tmp' WHEN 3 THEN 'a/~$' || name WHEN 4 THEN 'a/.gitx/' || path ELSE path END AS path FROM notes)"
+
+
+@query(f"{_PLACED} SELECT doc_id, path, len(list_intersect(string_split(path, '/'), ['.git', '.obsidian', '.trash', 'node_modules', '.vscode', '__pycache__'])) > 0 OR regexp_matches(path, '([.]baiduyun[.]uploading[.]cfg|[.]tmp|[.]temp|[.]swp)$') OR regexp_matches(path, '(^|/)~[$][^/]*$') AS skipped FROM p")
 def src_path_filter(spark, d):
-    n = src.notes(spark, d)
-    return n.select("doc_id", "path", F.arrays_overlap(F.split("path", "/"), F.array(F.lit(".git"), F.lit("src3"), F.lit("node_modules"))).alias("skipped"))
+    n, path = src.notes(spark, d), F.col("path")
+    put = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(".git/"), path)).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("a/node_modules/"), path)).when(F.col("doc_id") % 7 == 2, F.concat(path, F.lit(".tmp")))
+    put = put.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("a/~$"), "name")).when(F.col("doc_id") % 7 == 4, F.concat(F.lit("a/.gitx/"), path)).otherwise(path)
+    n = n.select("doc_id", put.alias("path"))
+    return n.select("doc_id", "path", src.ignored(F.col("path")).alias("skipped"))
+
+
+ROOTS = {"inbox": "v/00 In", "distilled": "v/10 Out/d", "skills": "v/20", "output": "v/30"}
+SUBFOLDERS = {"v/00 In/clips": "Clippings", "v/00 In/ideas": "Ideas", "v/20/drafts": "Drafts"}
+_VAULT = f"WITH {sql.NOTES}, p AS (SELECT doc_id, ['v/00 In/clips/', 'v/00 In/', 'v/00 Inner/', 'v/10 Out/d/', 'v/20/drafts/x/', 'v/20/', 'v/30/', 'v/old/', 'w/'][doc_id % 9 + 1] || name || '.md' AS path FROM notes)"
+_UNDER = lambda root: f"(path = '{root}' OR starts_with(path, '{root}/'))"
+_LAYER_OF = "CASE " + " ".join(f"WHEN {_UNDER(r)} THEN '{k}'" for k, r in ROOTS.items()) + " ELSE 'other' END"
+_BUCKET_OF = "CASE " + " ".join(f"WHEN {_UNDER(r)} THEN '{k}'" for r, k in SUBFOLDERS.items()) + " WHEN layer = 'other' THEN 'unmapped/' || split_part(rel, '/', 1) ELSE layer END"
+
+
+@query(f"{_VAULT}, q AS (SELECT doc_id, path, CASE WHEN starts_with(path, 'v/') THEN path[3:] ELSE path END AS rel, {_LAYER_OF} AS layer FROM p) SELECT doc_id, rel, layer, {_BUCKET_OF} AS bucket FROM q")
+def src_roots(spark, d):
+    """Layer and bucket by the longest known folder a path lies under, and the path inside the vault."""
+    folders = ("v/00 In/clips/", "v/00 In/", "v/00 Inner/", "v/10 Out/d/", "v/20/drafts/x/", "v/20/", "v/30/", "v/old/", "w/")
+    put = F.concat(F.get(F.array(*map(F.lit, folders)), (F.col("doc_id") % 9).cast("int")), "name", F.lit(".md"))
+    n = src.notes(spark, d).select("doc_id", put.alias("path"))
+    n = n.withColumns({"rel": src.relative(F.col("path"), "v"), "layer": src.layer_of(F.col("path"), ROOTS)})
+    return n.select("doc_id", "rel", "layer", src.bucket_of(F.col("path"), F.col("layer"), "v", SUBFOLDERS).alias("bucket"))
 
 
 @query(f"WITH {sql.NOTES} SELECT layer, bucket, count(*) AS n, min(mtime) AS first_edit, max(mtime) AS last_edit FROM notes GROUP BY ALL")

@@ -22,6 +22,36 @@ def ignored(path: Column) -> Column:
     return F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_PARTS))) | ends | name.startswith("~$")
 
 
+def is_under(path: Column, root: str) -> Column:
+    """Whether a path is a folder or lies in it."""
+    return (path == root) | path.startswith(root.rstrip("/") + "/")
+
+
+def relative(path: Column, vault: str) -> Column:
+    """The path inside the vault; a path outside stays as it is."""
+    head = vault.rstrip("/") + "/"
+    return F.when(path.startswith(head), F.substr(path, F.lit(len(head) + 1))).otherwise(path)
+
+
+def layer_of(path: Column, roots: dict[str, str], system: tuple[str, ...] = ()) -> Column:
+    """The layer whose root a path lies under: system folders first, then in the order of the layers, else "other"."""
+    out = F.lit("other")
+    for layer in reversed(LAYERS):
+        if layer in roots:
+            out = F.when(is_under(path, roots[layer]), layer).otherwise(out)
+    for folder in system:
+        out = F.when(is_under(path, folder), "system").otherwise(out)
+    return out
+
+
+def bucket_of(path: Column, layer: Column, vault: str, subfolders: dict[str, str], outside: str = "unmapped") -> Column:
+    """The label of the first subfolder a path lies under; else its layer, and outside all layers its first folder."""
+    out = F.when(layer == "other", F.concat(F.lit(outside + "/"), F.split_part(relative(path, vault), F.lit("/"), F.lit(1)))).otherwise(layer)
+    for folder, label in reversed(subfolders.items()):
+        out = F.when(is_under(path, folder), label).otherwise(out)
+    return out
+
+
 def read_folder(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, mtime, size, text) of all Markdown files below a folder; invalid UTF-8 is replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
