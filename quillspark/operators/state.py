@@ -89,9 +89,34 @@ def by_category(catalog: DataFrame, other: str) -> DataFrame:
     return catalog.select(F.explode(cats).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
+def category_rank(category: Column, known: list[str], other: str) -> Column:
+    """Known categories in their order, then other, then unknown ones; ties go by name."""
+    order = [*known, other]
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for i, k in enumerate(order) for x in (k, i))), category), F.lit(len(order)))
+
+
+def document_hash(text: Column, most: int = 12_000) -> Column:
+    """md5 of the text as far as it is read for classification."""
+    return F.md5(F.left(text, F.lit(most)))
+
+
 def pending(classified: DataFrame, other: str) -> DataFrame:
-    """Notes that no type fits, for review."""
-    return classified.where(F.array_contains("categories", other)).select("path", "name", F.lit("no_match").alias("reason"))
+    """(path, name, reason) of notes for review: no_match if no type fits, else llm_proposal if there are
+    proposals (a column proposals, if classified has one)."""
+    proposed = F.size("proposals") > 0 if "proposals" in classified.columns else F.lit(False)
+    reason = F.when(F.array_contains("categories", other), "no_match").when(proposed, "llm_proposal")
+    return classified.select("path", "name", reason.alias("reason")).where("reason is not null")
+
+
+def queued(queue: DataFrame, new: DataFrame) -> DataFrame:
+    """The review queue with new rows in place of older ones of the same path."""
+    return queue.join(new.select("path"), "path", "left_anti").unionByName(new)
+
+
+def first_with_rest(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows in an order, each with the number of rows left out."""
+    n = rows.agg(F.greatest(F.count("*") - k, F.lit(0)).alias("rest")).withColumn("one", F.lit(1))
+    return rows.orderBy(*order).limit(k).withColumn("one", F.lit(1)).join(n, "one").drop("one")  # one row
 
 
 def resolve_pending(queue: DataFrame, classified: DataFrame, other: str) -> DataFrame:

@@ -37,6 +37,20 @@ def backfill(rows: DataFrame, verdicts: DataFrame, key: str, column: str, unclea
     return rows.join(v, key, "left").withColumn(column, F.when(unclear & F.col("_v").isNotNull(), F.col("_v")).otherwise(F.col(column))).drop("_v")
 
 
+def overwritten(rows: DataFrame, verdicts: DataFrame, key: str, fields: list[str], number: str) -> DataFrame:
+    """rows with fields taken from the verdicts (key, fields, number as text) wherever these say something:
+    not null, "null" or blank. Each field gets a column {field}_source, ai_infer if it was taken. number is
+    taken if it reads as a whole number; one below 0 counts as 0."""
+    v = verdicts.select(key, *(F.col(c).cast("string").alias(f"_{c}") for c in [*fields, number]))
+    out = rows.join(v, key, "left")
+    for c in fields:
+        says = F.col(f"_{c}").isNotNull() & ~F.col(f"_{c}").isin("null") & (F.btrim(F.col(f"_{c}"), F.lit(TRIM)) != "")
+        out = out.withColumns({c: F.when(says, F.col(f"_{c}")).otherwise(F.col(c)), f"{c}_source": F.when(says, "ai_infer").otherwise(F.col(f"{c}_source"))})
+    n = F.regexp_extract(F.btrim(F.col(f"_{number}"), F.lit(TRIM)), "^[+-]?[0-9]{1,9}$", 0)
+    out = out.withColumn(number, F.when(n != "", F.greatest(n.try_cast("int"), F.lit(0))).otherwise(F.col(number)))
+    return out.drop(*(f"_{c}" for c in [*fields, number]))
+
+
 def allowed_labels(proposed: Column, allowed: list[str], fallback: Column) -> Column:
     """Proposed labels that are allowed; those of the keyword classifier if none is."""
     ok = F.array_intersect(proposed, F.array(*map(F.lit, allowed)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions import cards as cards_
 from quillspark.functions import scoring, spans, text
 from quillspark.functions import taxonomy as tx
 from quillspark.sources import notes as src
@@ -48,6 +49,49 @@ def cat_by_category(spark, d):
     return categories(spark, d).select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
+@query(f"{_CATS}, a AS (SELECT CASE WHEN h.doc_id % 40 = 0 THEN 'zz' ELSE coalesce(category, '{tx.OTHER}') END AS category, h.doc_id FROM h LEFT JOIN c USING (doc_id)), g AS (SELECT category, count(DISTINCT doc_id) AS n FROM a GROUP BY category) SELECT category, n, row_number() OVER (ORDER BY coalesce(list_position([{', '.join(map(sql.lit, [*TYPES, tx.OTHER]))}], category), 999), category) AS place FROM g")
+def cat_order(spark, d):
+    """Categories of the catalog view in its order: known ones, other, unknown ones."""
+    from quillspark.operators import state
+
+    c = categories(spark, d).withColumn("categories", F.when(F.col("doc_id") % 40 == 0, F.array(F.lit("zz"))).otherwise(F.col("categories")))
+    n = state.by_category(c, tx.OTHER)
+    return n.withColumn("place", F.row_number().over(W.orderBy(state.category_rank(F.col("category"), list(TYPES), tx.OTHER), "category")).cast("long"))  # one row a category
+
+
+@query(f"WITH {sql.NOTES} SELECT doc_id, md5(left(text, 12000)) AS hash FROM notes")
+def cat_document_hash(spark, d):
+    from quillspark.operators import state
+
+    return src.notes(spark, d).select("doc_id", state.document_hash(F.col("text")).alias("hash"))
+
+
+@query(f"WITH {sql.NOTES} SELECT count(*) AS files, count(*) FILTER (doc_id % 3 = 0) AS ideas, count(*) FILTER (doc_id % 3 <> 0) AS clippings, min(mtime) AS first_edit, max(mtime) AS last_edit FROM notes WHERE layer = 'inbox'")
+def agg_inbox_counts(spark, d):
+    """Files of the inbox, by the folder that they lie in, and the range of their dates."""
+    n = src.notes(spark, d).where("layer = 'inbox'").withColumn("folder", F.when(F.col("doc_id") % 3 == 0, "ideas").otherwise("clippings"))
+    count = lambda k: F.count(F.when(F.col("folder") == k, 1)).alias(k)
+    return n.agg(F.count("*").alias("files"), count("ideas"), count("clippings"), F.min("mtime").alias("first_edit"), F.max("mtime").alias("last_edit"))
+
+
+@query(f"WITH {sql.NOTES}, i AS (SELECT path, mtime FROM notes WHERE layer = 'inbox') SELECT path, greatest((SELECT count(*) FROM i) - 7, 0) AS rest FROM (SELECT path FROM i ORDER BY mtime DESC, path LIMIT 7)")
+def sort_limit_rest(spark, d):
+    from quillspark.operators import state
+
+    n = src.notes(spark, d).where("layer = 'inbox'").select("path", "mtime")
+    return state.first_with_rest(n, [F.desc("mtime"), F.asc("path")], 7).select("path", "rest")
+
+
+@query(f"{_CATS}, f AS (SELECT DISTINCT doc_id FROM c), q AS (SELECT path, name, CASE WHEN doc_id NOT IN (SELECT doc_id FROM f) THEN 'no_match' WHEN doc_id % 3 = 0 THEN 'llm_proposal' END AS reason, doc_id FROM h) SELECT path, reason FROM q WHERE reason IS NOT NULL UNION ALL SELECT h.path, 'older' FROM h JOIN q USING (doc_id) WHERE h.doc_id % 4 = 0 AND q.reason IS NULL")
+def catalog_queue(spark, d):
+    """The review queue after a run: new reasons in place of older entries of the same path."""
+    from quillspark.operators import state
+
+    c = categories(spark, d).withColumn("proposals", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("new type"))).otherwise(F.array().cast("array<string>")))
+    older = c.where("doc_id % 4 = 0").select("path", "name", F.lit("older").alias("reason"))
+    return state.queued(older, state.pending(c, tx.OTHER)).select("path", "reason")
+
+
 @query(f"{_CATS} SELECT count(*) AS docs, count(c.doc_id) AS classified, count(*) - count(c.doc_id) AS other FROM (SELECT DISTINCT doc_id FROM h) h LEFT JOIN (SELECT DISTINCT doc_id FROM c) c USING (doc_id)")
 def cat_stats(spark, d):
     other = F.array_contains("categories", tx.OTHER)
@@ -220,7 +264,15 @@ def cls_idea_signals(spark, d):
     return ideas(spark, d).select("doc_id", F.array_join(scoring.idea_signals(s), "|").alias("signals"), F.array_join(scoring.idea_risks(s), "|").alias("risks"))
 
 
-@query()
+_ACTS = "list_filter([CASE WHEN clarity < 3 THEN '补一句话定义：它解决什么问题，给谁用。' END, CASE WHEN actionability < 3 THEN '写 3 个下一步动作，最好能在 30 分钟内启动。' END, CASE WHEN evidence < 3 THEN '链接 2-3 篇相关 Clippings 或真实案例。' END, CASE WHEN asset_value >= 3 THEN '整理成框架：输入、步骤、输出、判断标准。' END, CASE WHEN content_value >= 3 THEN '拆 3 个标题/栏目样稿，验证表达方向。' END, CASE WHEN business_value >= 3 THEN '补充目标用户、价值主张和最小可验证场景。' END], lambda x: x IS NOT NULL)"
+_HAY_TEXT = sql.normalize("name || ' ' || text")
+_KIND = (
+    "CASE WHEN regexp_matches(hay, '系统|流程|框架|方法|步骤|模板|prompt|提示词|工作流') THEN '方法论 / Skill 候选' WHEN regexp_matches(hay, '账号|小红书|视频|栏目|采访|故事|创意') THEN '内容企划 / 输出选题' "
+    f"WHEN {_hits(scoring.IDEA_THEMES['美业经营'])} > 0 THEN '商业运营框架' WHEN {_hits(scoring.IDEA_THEMES['生活设计'])} > 0 THEN '设计原则 / 实用清单' ELSE '想法观察' END"
+)
+
+
+@query(f"{_IDEA}, hh AS (SELECT doc_id, {_HAY_TEXT} AS hay FROM notes) SELECT l.doc_id, CASE WHEN len({_ACTS}) > 0 THEN array_to_string({_ACTS}[:5], '|') ELSE '保留观察，等更多材料或触发场景出现。' END AS actions, {_KIND} AS asset_type FROM l JOIN hh USING (doc_id)")
 def cls_idea_actions(spark, d):
     n = src.markdown_notes(spark, d).select("doc_id", scoring.idea_scores(F.col("name"), F.col("text")).alias("s"), _hay().alias("hay"))
     return n.select("doc_id", F.array_join(scoring.idea_next_actions(F.col("s")), "|").alias("actions"), scoring.idea_asset_type(F.col("hay"), tx.matching(F.col("hay"), scoring.IDEA_THEMES)).alias("asset_type"))
@@ -328,6 +380,33 @@ def agg_card_index(spark, d):
     return cards(spark, d).where("yes >= 2").groupBy("conclusion").agg(F.count("*").alias("n"))
 
 
+def card_texts(spark, d):
+    """A card for each document, with fields that are filled in, open or missing by its id."""
+    i = F.col("doc_id")
+    field = lambda label, k: F.when(F.floor(i / k) % 3 == 0, "").otherwise(F.concat(F.lit(f"- **{label}**：" + ("3 步 " if label == "关键动作数" else "")), F.when(F.floor(i / k) % 3 == 1, "待补充").otherwise("known"), F.lit("\n")))
+    dims = [F.concat(F.lit(f"| {label} | "), F.when(i % k == 0, "✅").otherwise("❌"), F.lit(" | why | 原文抽取 |\n")) for k, label in enumerate(cards_.DIMENSIONS, 2)]
+    fields = [field(label, k) for k, label in enumerate([*cards_.SITUATION_FIELDS, *cards_.FORM_FIELDS], 1)]
+    todos = F.repeat(F.lit("- [ ] todo\n- [x] did\nplain\n"), (i % 4).cast("int"))
+    text = F.concat(
+        F.when(i % 5 == 0, F.lit("no heading\n")).otherwise(F.concat(F.lit("# EVAL："), "name", F.lit("\n"))), F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("评估结论："), F.when(i % 3 == 0, "🔴").when(i % 3 == 1, "🟡").otherwise("🟢"), F.lit(" ("), (i % 6).cast("string"), F.lit("/5 项 ✅)\n"))),
+        *dims, *fields, F.lit("## 4\ufe0f\u20e3 Gap 清单\n"), todos, F.lit("\n## 5 end\n- [ ] not a gap\n"),
+    )
+    return src.notes(spark, d).select("doc_id", "name", text.alias("text"))
+
+
+def _gap_sql(fields: dict, start: int) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN (doc_id // {k}) % 3 < 2 THEN {sql.lit(v)} END" for k, v in enumerate(fields.values(), start)) + "], lambda x: x IS NOT NULL), '|')"
+
+
+@query(
+    f"SELECT doc_id, 'doc_' || doc_id AS title, CASE WHEN doc_id % 4 = 0 OR doc_id % 3 = 2 THEN 'green' WHEN doc_id % 3 = 0 THEN 'red' ELSE 'yellow' END AS conclusion, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 6 END AS yes_count, CASE WHEN doc_id % 2 = 0 THEN '✅' ELSE '❌' END AS reusable, "
+    f"coalesce({_gap_sql(cards_.SITUATION_FIELDS, 1)}, '') AS situation_gaps, coalesce({_gap_sql(cards_.FORM_FIELDS, 6)}, '') AS form_gaps, CASE WHEN (doc_id // 9) % 3 = 0 THEN 0 ELSE 3 END AS step_count, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 2 * (doc_id % 4) END AS n_todos FROM documents"
+)
+def cls_card_fields(spark, d):
+    c = card_texts(spark, d).select("doc_id", cards_.card(F.col("text"), F.col("name")).alias("c"))
+    return c.select("doc_id", "c.title", "c.conclusion", "c.yes_count", "c.status.reusable", F.array_join("c.situation_gaps", "|").alias("situation_gaps"), F.array_join("c.form_gaps", "|").alias("form_gaps"), "c.step_count", F.size("c.todos").alias("n_todos"))
+
+
 @query()
 def cls_card_actions(spark, d):
     missing = F.when(F.col("s3") > 2, F.array(F.lit("输入"), F.lit("工具"))).otherwise(F.array(F.lit("输出")))

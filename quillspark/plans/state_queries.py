@@ -12,20 +12,22 @@ from . import sql
 from .registry import query
 
 _DAY = "to_days(1)"
-_SNAP = f"""WITH {sql.NOTES}, a AS (SELECT path, mtime, md5(left(text, 1000000)) AS hash FROM notes WHERE doc_id % 10 <> 0),
-b AS (SELECT path, CASE WHEN doc_id % 7 IN (0, 1) THEN mtime + {_DAY} ELSE mtime END AS mtime, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text FROM notes WHERE doc_id % 13 <> 0),
+_SNAP = f"""WITH {sql.NOTES}, a AS (SELECT path, mtime, md5(left(text, 1000000)) AS hash FROM (SELECT * REPLACE (CASE WHEN doc_id % 10 = 0 THEN 'gone/' || path ELSE path END AS path) FROM notes)),
+b AS (SELECT CASE WHEN doc_id % 13 = 0 THEN 'new/' || path ELSE path END AS path, CASE WHEN doc_id % 7 IN (0, 1) THEN mtime + {_DAY} ELSE mtime END AS mtime, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text FROM notes),
 s AS (SELECT b.path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.mtime <= a.mtime THEN 'same' WHEN md5(b.text) <> a.hash THEN 'changed' ELSE 'drift' END AS status, b.mtime, md5(b.text) AS hash FROM b LEFT JOIN a USING (path))"""
 
 
 def before(spark, d):
-    n = src.notes(spark, d).where("doc_id % 10 <> 0")
+    """All notes, some under paths that after() no longer has."""
+    n = src.notes(spark, d).withColumn("path", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("gone/"), "path")).otherwise(F.col("path")))
     return n.select(F.lit("daily").alias("task"), "path", "mtime", F.md5(F.substring(F.col("text").cast("binary"), 1, 1_000_000)).alias("hash"), F.lit("2024-04-01").cast("timestamp_ntz").alias("last_run_at"))
 
 
 def after(spark, d):
     moved = F.when((F.col("doc_id") % 7).isin(0, 1), F.col("mtime") + F.expr("make_interval(0, 0, 0, 1)")).otherwise(F.col("mtime"))
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
-    return src.notes(spark, d).where("doc_id % 13 <> 0").select("path", moved.alias("mtime"), text.alias("text"))
+    path = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("new/"), "path")).otherwise(F.col("path"))
+    return src.notes(spark, d).select(path.alias("path"), moved.alias("mtime"), text.alias("text"))
 
 
 @query(f"{_SNAP} SELECT path, status FROM s")
@@ -49,13 +51,13 @@ def state_time_window(spark, d):
     return state.since(src.notes(spark, d), F.lit("2024-05-01").cast("timestamp_ntz"), 30).select("path")
 
 
-_CATALOG = "o AS (SELECT 'd' || doc_id AS path, CASE WHEN quality = 1 THEN 'keep' ELSE 'drop' END AS category, CASE WHEN doc_id % 2 = 0 THEN 'manual' ELSE 'keyword' END AS category_source FROM labels), n AS (SELECT 'd' || doc_id AS path, lang AS category, CASE WHEN doc_id % 5 = 0 THEN 'manual' ELSE 'llm' END AS category_source FROM documents WHERE doc_id % 3 = 0)"
+_CATALOG = "o AS (SELECT 'd' || doc_id AS path, CASE WHEN quality = 1 THEN 'keep' ELSE 'drop' END AS category, CASE WHEN doc_id % 2 = 0 THEN 'manual' ELSE 'keyword' END AS category_source FROM labels), n AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'd' ELSE 'x' END || doc_id AS path, lang AS category, CASE WHEN doc_id % 5 = 0 THEN 'manual' ELSE 'llm' END AS category_source FROM documents)"
 
 
 def catalogs(spark, d):
     path = F.concat(F.lit("d"), "doc_id").alias("path")
     o = spark.read.parquet(f"{d}/labels.parquet").select(path, F.when(F.col("quality") == 1, "keep").otherwise("drop").alias("category"), F.when(F.col("doc_id") % 2 == 0, "manual").otherwise("keyword").alias("category_source"))
-    n = spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 3 = 0").select(path, F.col("lang").alias("category"), F.when(F.col("doc_id") % 5 == 0, "manual").otherwise("llm").alias("category_source"))
+    n = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.when(F.col("doc_id") % 3 == 0, "d").otherwise("x"), "doc_id").alias("path"), F.col("lang").alias("category"), F.when(F.col("doc_id") % 5 == 0, "manual").otherwise("llm").alias("category_source"))
     return o, n
 
 
@@ -112,11 +114,31 @@ def llm_batches(spark, d):
     return verdicts.batches(docs, "source", "doc_id", F.col("n"))
 
 
-@query()
+_FIELDS = "WITH v AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'null' WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE 'said ' || lang END AS inputs, CASE doc_id % 6 WHEN 0 THEN '7' WHEN 1 THEN '-3' WHEN 2 THEN ' 4 ' WHEN 3 THEN 'many' ELSE NULL END AS steps FROM documents)"
+
+
+@query(f"{_FIELDS} SELECT doc_id, CASE WHEN inputs <> 'null' AND trim(inputs) <> '' THEN inputs ELSE 'rule' END AS inputs, CASE WHEN inputs <> 'null' AND trim(inputs) <> '' THEN 'ai_infer' ELSE 'regex' END AS inputs_source, CASE doc_id % 6 WHEN 0 THEN 7 WHEN 1 THEN 0 WHEN 2 THEN 4 ELSE 1 END AS steps FROM v")
+def llm_overwritten_fields(spark, d):
+    i = F.col("doc_id")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    said = F.when(i % 5 == 0, "null").when(i % 5 == 1, " ").when(i % 5 >= 3, F.concat(F.lit("said "), "lang"))
+    steps = F.when(i % 6 == 0, "7").when(i % 6 == 1, "-3").when(i % 6 == 2, " 4 ").when(i % 6 == 3, "many")
+    base = rows.select("doc_id", F.lit("rule").alias("inputs"), F.lit("regex").alias("inputs_source"), F.lit(1).alias("steps"))
+    return verdicts.overwritten(base, rows.select("doc_id", said.alias("inputs"), steps.alias("steps")), "doc_id", ["inputs"], "steps")
+
+
+@query(f"WITH {sql.NOTES}, f AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM notes WHERE layer = 'output' ORDER BY doc_id LIMIT 50) SELECT string_agg(i || '. ' || name || chr(10) || left(text, 300), chr(10) || chr(10) ORDER BY i) AS prompt FROM f")
 def llm_prompt(spark, d):
     return verdicts.numbered_prompt(src.notes(spark, d).where("layer = 'output'"), "doc_id", "name", "text")
 
 
+@query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, strftime(date_trunc('quarter', ts), '%Y-%m-%d') AS quarter, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_calendar_buckets(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    day = lambda unit: F.date_format(F.date_trunc(unit, "ts"), "yyyy-MM-dd")
+    return e.groupBy(day("week").alias("week"), day("quarter").alias("quarter"), "event_type").agg(F.count("*").alias("n"))
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_window(spark, d):
     return ev.daily(spark.read.parquet(f"{d}/events.parquet")).withColumn("day", F.col("day").cast("string"))

@@ -168,22 +168,33 @@ def kw_feedback(spark, d):
     return tokens.published_words(spark.read.parquet(f"{d}/conversations.parquet"))
 
 
-_LINK = f"list_filter(regexp_extract_all({sql.normalize('text')}, {sql.lit(tokens.LINKED)}), lambda x: x NOT IN ({', '.join(map(sql.lit, tokens.LINK_STOPWORDS))}))"
+_NO = f"NOT IN ({', '.join(map(sql.lit, tokens.LINK_STOPWORDS))})"
+_PIECES = f"CASE WHEN length(x) > 18 AND regexp_matches(x, '^[一-龥]+$') THEN list_filter(list_transform(range(1, least(length(x), 24), 2), lambda i: substr(x, i, 2)), lambda y: y {_NO}) ELSE [x] END"
+_LINK = f"flatten(list_transform(list_filter(regexp_extract_all({sql.normalize('text')}, {sql.lit(tokens.LINKED)}), lambda x: x {_NO}), lambda x: {_PIECES}))"
+_RUNS = "CASE doc_id % 3 WHEN 0 THEN ' 一个知识系统需要清楚的步骤和可以复用的流程以及真实的案例才能长久' WHEN 1 THEN ' 十八个字的一段话不会被切开来的对吗是' ELSE '' END"
+_RUN_NOTES = sql.MARKED_NOTES.replace(" AS text FROM documents)", f" || {_RUNS} AS text FROM documents)")
 
 
-@query(f"WITH {sql.MARKED_NOTES}, t AS (SELECT doc_id, unnest({_LINK}) AS term FROM notes) SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL")
+def run_notes(spark, d):
+    """Marked notes, some of which end in Chinese runs longer than is kept whole, some in shorter ones."""
+    i = F.col("doc_id") % 3
+    run = F.when(i == 0, " 一个知识系统需要清楚的步骤和可以复用的流程以及真实的案例才能长久").when(i == 1, " 十八个字的一段话不会被切开来的对吗是").otherwise("")
+    return src.marked_notes(spark, d).withColumn("text", F.concat("text", run))
+
+
+@query(f"WITH {_RUN_NOTES}, t AS (SELECT doc_id, unnest({_LINK}) AS term FROM notes) SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL")
 def kw_link_tokens(spark, d):
-    return tokens.bag(src.marked_notes(spark, d), "doc_id")
+    return tokens.bag(run_notes(spark, d), "doc_id")
 
 
 @query(
-    f"WITH {sql.MARKED_NOTES}, t AS (SELECT doc_id, unnest({_LINK}) AS term FROM notes), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), "
+    f"WITH {_RUN_NOTES}, t AS (SELECT doc_id, unnest({_LINK}) AS term FROM notes), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rank FROM c) SELECT doc_id, term, tf, rank FROM r WHERE rank <= 18"
 )
 def kw_top_terms(spark, d):
     from pyspark.sql import Window as W
 
-    b = tokens.bag(src.marked_notes(spark, d), "doc_id")
+    b = tokens.bag(run_notes(spark, d), "doc_id")
     return b.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("tf"), "term")).cast("long")).where("rank <= 18")
 
 
