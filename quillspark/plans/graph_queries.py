@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import scoring, spans, tokens
@@ -141,15 +142,15 @@ def _bag(text: str, key: str, table: str) -> str:
 
 
 def _assets(spark, d):
-    clips = src.clippings(spark, d).select(F.concat(F.lit("c"), "page_id").alias("key"), "name", F.element_at(F.array(*map(F.lit, T["contentTypes"])), (F.col("page_id") % 4 + 1).cast("int")).alias("ctype"), F.left("url", F.lit(200)).alias("text"))
+    clips = src.clippings(spark, d).select(F.concat(F.lit("c"), "page_id").alias("key"), "name", F.element_at(F.array(*map(F.lit, T["contentTypes"])), (F.col("page_id") % 4 + 1).cast("int")).alias("ctype"), F.concat_ws(" ", F.coalesce("url", F.lit("")), F.left("text", F.lit(1800))).alias("text"))
     clips = clips.withColumn("text", F.concat_ws(" ", "name", "ctype", "text"))
-    ideas = src.notes(spark, d).where("doc_id % 2 = 0").select(F.concat(F.lit("i"), "doc_id").alias("key"), F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("DRAFT_page_"), "doc_id")).otherwise(F.col("name")).alias("name"), F.lit("").alias("ctype"), F.left("text", F.lit(120)).alias("text"))
+    ideas = src.notes(spark, d).select(F.concat(F.lit("i"), "doc_id").alias("key"), F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("DRAFT_page_"), "doc_id")).otherwise(F.col("name")).alias("name"), F.lit("").alias("ctype"), F.left("text", F.lit(1200)).alias("text"))
     return clips, ideas.withColumn("text", F.concat_ws(" ", "name", "text"))
 
 
 _TYPES = list(T["contentTypes"])
-_PAIR_BASE = f"""WITH c AS (SELECT 'c' || page_id AS key, 'page_' || page_id AS name, ['{"', '".join(_TYPES)}'][page_id % 4 + 1] AS ctype, 'page_' || page_id || ' ' || ['{"', '".join(_TYPES)}'][page_id % 4 + 1] || ' ' || left(url, 200) AS text FROM pages),
-i AS (SELECT 'i' || doc_id AS key, CASE WHEN doc_id % 50 = 0 THEN 'DRAFT_page_' || doc_id ELSE 'doc_' || doc_id END AS name, CASE WHEN doc_id % 50 = 0 THEN 'DRAFT_page_' || doc_id ELSE 'doc_' || doc_id END || ' ' || left(text, 120) AS text FROM documents WHERE doc_id % 2 = 0),
+_PAIR_BASE = f"""WITH c AS (SELECT 'c' || page_id AS key, 'page_' || page_id AS name, ['{"', '".join(_TYPES)}'][page_id % 4 + 1] AS ctype, 'page_' || page_id || ' ' || ['{"', '".join(_TYPES)}'][page_id % 4 + 1] || ' ' || coalesce(url, '') || ' ' || left(html, 1800) AS text FROM pages),
+i AS (SELECT 'i' || doc_id AS key, CASE WHEN doc_id % 50 = 0 THEN 'DRAFT_page_' || doc_id ELSE 'doc_' || doc_id END AS name, CASE WHEN doc_id % 50 = 0 THEN 'DRAFT_page_' || doc_id ELSE 'doc_' || doc_id END || ' ' || left(text, 1200) AS text FROM documents),
 cb AS ({_bag('text', 'key', 'c')}), ib AS ({_bag('text', 'key', 'i')}), b AS (SELECT * FROM cb UNION ALL SELECT * FROM ib),
 f AS (SELECT term, count(*) AS df FROM b WHERE length(term) >= 2 GROUP BY term), w AS (SELECT term, ln((1 + (SELECT count(DISTINCT key) FROM b)) / (1 + df)) + 1 AS idf FROM f), m AS (SELECT avg(idf) AS mean_idf FROM w),
 sh AS (SELECT cb.key AS a, ib.key AS b, count(*) AS n_shared, round(sum(idf), 9) AS weight FROM cb JOIN ib USING (term) JOIN w USING (term) GROUP BY ALL)"""
@@ -209,5 +210,8 @@ def set_intersect_terms(spark, d):
 
 @query()
 def span_similar_quotes(spark, d):
-    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.left("text", F.lit(80)).alias("a"), F.substring("text", 20, 80).alias("b"))
+    """Each benchmark text against the next one and against a part of itself."""
+    n = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("a"))
+    nth = F.row_number().over(W.partitionBy(F.col("item_id").cast("string").substr(1, 2)).orderBy("item_id", "a"))
+    b = n.select("item_id", "a", F.when(nth % 2 == 0, F.substring("a", 20, 400)).otherwise(F.lead("a").over(W.partitionBy(F.col("item_id").cast("string").substr(1, 2)).orderBy("item_id", "a"))).alias("b"))
     return b.select("item_id", spans.similar_quotes(F.col("a"), F.col("b")).alias("similar"))
