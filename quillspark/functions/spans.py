@@ -184,21 +184,23 @@ def core_thesis(text: Column, clean: Column) -> Column:
     return F.when(F.length(first) >= 12, F.left(first, F.lit(160))).otherwise(body)
 
 
-START, END = "<!-- KIS_APPROVED_LINKS_START -->", "<!-- KIS_APPROVED_LINKS_END -->"
+#: What a block of links stands between, unless other marks are given.
+MARKS = ("<!-- approved links: start -->", "<!-- approved links: end -->")
 
 
-def approved_block(links: Column) -> Column:
+def approved_block(links: Column, marks: tuple[str, str] = MARKS) -> Column:
     """A marked block of array<struct<target, reason>>, each target once."""
     first = F.aggregate(links, F.array().cast("array<struct<target:string,reason:string>>"), _add_unless(lambda a, x: F.btrim(a["target"]) == F.btrim(x["target"]), 1_000_000))
     rows = F.transform(F.filter(first, lambda x: F.btrim(x["target"]) != ""), lambda x: F.concat(F.lit("- [["), F.btrim(x["target"]), F.lit("]]（结构性链接建议："), compact(x["reason"]), F.lit("）")))
-    return F.array_join(F.concat(F.array(F.lit(START)), rows, F.array(F.lit(END))), "\n")
+    return F.array_join(F.concat(F.array(F.lit(marks[0])), rows, F.array(F.lit(marks[1]))), "\n")
 
 
-def apply_links(text: Column, links: Column) -> Column:
+def apply_links(text: Column, links: Column, marks: tuple[str, str] = MARKS) -> Column:
     """Replace the marked block, else insert it under the heading for related links, else append both."""
-    block, head = approved_block(links), r"(?s)^(.*?(?:^|\n)##[ \t]+相关链接[ \t]*\n)"
-    marked = F.concat(F.substring_index(text, START, 1), block, F.substr(text, F.instr(text, END) + len(END)))
+    start, end = marks
+    block, head = approved_block(links, marks), r"(?s)^(.*?(?:^|\n)##[ \t]+相关链接[ \t]*\n)"
+    marked = F.concat(F.substring_index(text, start, 1), block, F.substr(text, F.instr(text, end) + len(end)))
     found = F.regexp_extract(text, head, 1)
     under = F.concat(found, F.lit("\n"), block, F.lit("\n"), F.substr(text, F.length(found) + 1))
     appended = F.concat(F.rtrim(F.regexp_replace(text, S + "+$", "")), F.lit("\n\n## 相关链接\n\n"), block, F.lit("\n"))
-    return F.when(text.contains(START) & text.contains(END), marked).when(found != "", under).otherwise(appended)
+    return F.when(text.contains(start) & text.contains(end), marked).when(found != "", under).otherwise(appended)
