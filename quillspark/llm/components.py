@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is an aggregation with map-side minima and a join whose two sides are shuffled alike,
-so a hub with a large share of the edges is split by skew-join handling. The edges of each round
+Every step is an aggregation with map-side minima and a join with them. Its two sides are shuffled alike, so
+that a hub with a large share of the edges is split by skew-join handling; minima of few edges are
+broadcast. The edges of each round
 are written to the shared folder; a lost executor costs one round at most.
 """
 
@@ -13,10 +14,18 @@ from pyspark.sql import functions as F
 from .common import discard, store_at
 
 
-def _star(pairs: DataFrame, kept: list[str]) -> DataFrame:
+#: Up to so many edges (counted), the minima of a step are broadcast (16 bytes each) instead of stored and shuffled.
+BROADCAST_EDGES = 250_000
+
+
+def _star(pairs: DataFrame, few: bool, kept: list[str]) -> DataFrame:
     """pairs (u, v) with m, the least of u and its v."""
-    least, path = store_at(pairs.groupBy("u").agg(F.min("v").alias("m")), "star")
-    kept.append(path)
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    if few:
+        least = F.broadcast(least)
+    else:
+        least, path = store_at(least, "star")
+        kept.append(path)
     return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
 
 
@@ -30,16 +39,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, at = store_at(e, "edges")
-    before = None
+    before, few = None, e.count() <= BROADCAST_EDGES  # rounds add no edges
     while True:
         kept: list[str] = []
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, kept).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _star(both, few, kept).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large, path = store_at(large, "large")
-        kept.append(path)
-        small = _star(large, kept).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        small = _star(large, few, kept).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e, new = store_at(small.select("x.*").where("u <> v").distinct(), "edges")
-        discard(spark, at, *kept)
+        discard(spark, at, path, *kept)
         at = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:

@@ -2,7 +2,7 @@
 
 Texts with equal shingle sets are one node, stood for by one document. A register is the truncated
 integer logarithm, to base B, of the least exponential value that a set's shingles draw for it; sketches
-merge by the maximum. Bands of registers propose links. Every document is first compared with that head of
+merge by the maximum. Bands of registers propose links. Every document is first compared with those heads of
 its bands' buckets with which it shares most bands, which settles large groups of copies with a link for
 each. Members of buckets that still hold several components then meet in blocks, with their sketches:
 pairs of different components that the likelihood estimate does not rule out are verified on their
@@ -31,7 +31,8 @@ from .shingles import mix, shingle_set
 class NearParams:
     """percent: least similarity of linked sets. bands x rows registers. base, top: registers hold
     0..top. slack: standard deviations below the threshold at which an estimate rules a pair out.
-    block, load: members, and shingles of members, of a bucket compared at once, about."""
+    heads: bucket heads with which a document is compared first. block, load: members, and shingles of
+    members, of a bucket compared at once, about."""
 
     percent: int = 85
     bands: int = 24
@@ -39,6 +40,7 @@ class NearParams:
     base: float = 1.05
     top: int = 1000
     slack: float = 5.0
+    heads: int = 3
     block: int = 512
     load: int = 400_000
     seed: int = 77
@@ -320,7 +322,7 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     buckets = store(flat.join(busy, "key").select("key", "band", "node", "head"), "buckets")
     shared = buckets.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("bands"))
     nearest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("bands"), "head"))  # a row for each band at most
-    first = shared.withColumn("nth", nearest).where("nth = 1").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    first = shared.withColumn("nth", nearest).where(F.col("nth") <= p.heads).select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = store(verify(store(first, "first"), corpus, p).unionByName(twice), "links")
     more = _open_links(buckets.select("key", "band", "node"), links, corpus, p)
     links = links.unionByName(store(more, "links"))

@@ -56,7 +56,12 @@ for _verdict, _host, _path in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
 OP9 = rf"""
 WITH RECURSIVE u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r AS (SELECT *, CASE {' '.join(_TESTS['rule'])} END AS rule, CASE {' '.join(_TESTS['verdict'])} END AS by_rule FROM u),
-q AS (SELECT page_id, host || regexp_replace(path, '/$', '') AS base, array_to_string(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}')), '&') AS rest FROM r WHERE contains(url, '://')),
+g AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages),
+l AS (SELECT page_id, url, replace(trim(CASE WHEN regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''>\s]*)', 1)
+ WHEN regexp_matches(tag, '(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>\s]*)', 1) END), '&amp;', '&') AS t, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin FROM g),
+x AS (SELECT page_id, url AS target FROM pages UNION ALL SELECT page_id, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') AND origin <> '' THEN origin || t END FROM l),
+q AS (SELECT page_id, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/$', '') AS base,
+ array_to_string(list_filter(string_split(regexp_extract(target, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}')), '&') AS rest FROM x WHERE contains(target, '://')),
 k AS (SELECT DISTINCT page_id, base || CASE WHEN coalesce(rest, '') = '' THEN '' ELSE '?' || rest END AS alias FROM q),
 e AS (SELECT DISTINCT a.page_id AS a, b.page_id AS b FROM k a JOIN k b USING (alias)),
 reach AS (SELECT page_id AS a, page_id AS b FROM pages UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),

@@ -55,3 +55,23 @@ def test_components_match_union_find(spark):
             parent[y] = x
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_sql_agrees_where_links_pass_blocks(spark):
+    import duckdb
+    import pandas as pd
+
+    from quillspark.llm.oracle import ORACLE
+
+    link = lambda u: f'<html><LINK href="{u}" rel="canonical"><body>'
+    rows = [
+        (1, "http://q.net/es/1", "x"), (2, "http://mirror.org/a", link("https://q.net/es/1?utm_source=z")), (3, "http://mirror.org/b", '<meta http-equiv="refresh" content="0;url=/a">'), (4, "http://mirror.org/b#frag", ""),
+        (6, "http://x.org/1", link("http://y.com/1")), (7, "http://y.com/1", link("//q.net/fr/9?a=1&amp;ref=2")), (8, "http://q.net/fr/9?a=1", link("nowhere")), (9, None, link("http://q.net/es/1")), (10, "http://alone.org/", None),
+    ]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    db = duckdb.connect()
+    db.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    want = db.sql(ORACLE["op9_urls"]).fetchall()
+    columns = [d[0] for d in db.sql(ORACLE["op9_urls"]).description]
+    assert sorted(str(dict(zip(columns, r, strict=True))) for r in want) == sorted(str({c: r[c] for c in columns}) for r in got.collect())
+    assert sum(r["verdict"] == "block" for r in got.collect()) == 6
