@@ -123,7 +123,7 @@ def quotes(text: Column, limit: int = 3, least: int = 6) -> Column:
 
 
 def questions(clean: Column, limit: int = 5) -> Column:
-    found = F.regexp_extract_all(clean, F.lit(r"Q[0-9]+[：:][^\n]|[^。！？!?\n]{8,80}[？?]"), F.lit(0))
+    found = F.regexp_extract_all(clean, F.lit(r"Q[0-9]+[：:][^\n]|[^。！？!?\n]{8,80}+[？?]"), F.lit(0))
     ok = F.filter(F.transform(found, compact), lambda q: ~is_noise_line(q) & ~any_of(q.startswith(x) for x in STARTS) & q.rlike("[？?]") & ~q.rlike(r"^[0-9]+[.)、][ \t]*[^：:]{1,20}[：:][^\n]+[？?]"))
     return F.slice(F.array_distinct(ok), 1, limit)
 

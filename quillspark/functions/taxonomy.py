@@ -77,13 +77,17 @@ def haystack(name: Column, text: Column) -> Column:
 
 def matching(hay: Column, rules: dict[str, list[str]]) -> Column:
     """Names of the rules with any keyword in the text, in rule order."""
-    tests = [F.when(any_of(hay.contains(plain(k)) for k in kws), F.lit(name)) for name, kws in rules.items()]
-    return F.array_compact(F.array(*tests))
+
+    def test(h: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(any_of(h.contains(plain(k)) for k in kws), F.lit(name)) for name, kws in rules.items())))
+
+    return let(hay, test)
 
 
 def _ranked(hay: Column, rules: dict[str, list[str]], descending_name: bool) -> Column:
     """struct(hits, name) with hits, most hits first; ties by name."""
-    rows = F.filter(F.array(*(F.struct(hits(hay, kws).alias("h"), F.lit(n).alias("n")) for n, kws in rules.items())), lambda x: x["h"] > 0)
+    rows = let(hay, lambda t: F.array(*(F.struct(hits(t, kws).alias("h"), F.lit(n).alias("n")) for n, kws in rules.items())))
+    rows = F.filter(rows, lambda x: x["h"] > 0)
     if descending_name:
         return F.sort_array(rows, asc=False)
     return F.transform(F.sort_array(F.transform(rows, lambda x: F.struct((-x["h"]).alias("m"), x["n"].alias("n")))), lambda x: F.struct((-x["m"]).alias("h"), x["n"].alias("n")))
@@ -104,7 +108,10 @@ def categories(hay: Column, taxonomy: dict, min_hits: int = 2) -> Column:
 def content_type(hay: Column, name: Column, taxonomy: dict) -> Column:
     """struct(type, score): two points for each keyword, two more if it is in the name, and the type's
     priority, rounded half to even; shortcut rules come first."""
-    plain_name = normalize(name)
+    return let(F.struct(hay.alias("h"), normalize(name).alias("n")), lambda x: _content_type(x["h"], x["n"], taxonomy))
+
+
+def _content_type(hay: Column, plain_name: Column, taxonomy: dict) -> Column:
     rows = []
     for ctype, meta in taxonomy["contentTypes"].items():
         n = hits(hay, meta["keywords"])
