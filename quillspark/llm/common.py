@@ -55,6 +55,22 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Stored tables that go together once no later step reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = store_at(df, name)
+        self.paths.append(path)
+        return df
+
+    def clear(self) -> None:
+        discard(self.spark, *self.paths)
+        self.paths.clear()
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a stored table if its counted rows are within the bound; else leave the join to the planner."""
     return F.broadcast(df) if df.count() <= rows else df

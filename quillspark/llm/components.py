@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, store_at
+from .common import Scratch, discard, store_at
 
 
 #: Up to so many edges (counted), the minima of a step are broadcast (16 bytes each) instead of stored and shuffled.
@@ -29,12 +29,12 @@ def _star(pairs: DataFrame, few: bool, kept: list[str]) -> DataFrame:
     return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node long, component long) of every node of an edge with two ends; component is its least node.
 
     edges has columns u and v (long). Null ends, loops, repeated and reversed edges are allowed and
     change nothing. An empty table gives an empty result. Rounds grow with the logarithm of the
-    largest component.
+    largest component. scratch: keeps the table that the result is read from.
     """
     spark = edges.sparkSession
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -53,5 +53,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
+    if scratch is not None:
+        scratch.paths.append(at)
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, store
+from .common import Scratch, ascii_lower, bounded, store
 
 #: Runs of characters that are in no word, after A-Z are lower-cased.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,14 +40,14 @@ def _dkey() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def read_terms(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_terms(docs: DataFrame, vocabulary: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """The stored postings (term, dkey, pos) of the vocabulary's terms in all documents, and a row (doc_id,
     dkey, n_words) for each document; one pass over the texts gives both."""
     base = docs.select("doc_id", _dkey().alias("dkey"), "text")
     known = bounded(vocabulary.select("term", F.lit(True).alias("known")), BROADCAST_TERMS)
     met = _tokens(base, "doc_id", "dkey").join(known, "term", "left").where("known or p = 0")
     once = lambda c: F.when(F.col("p") == 0, F.col(c)).alias(c)
-    rows = store(met.select("known", "term", "dkey", "pos", "p", once("doc_id"), once("n_words")), "postings")
+    rows = (scratch or Scratch(docs.sparkSession)).store(met.select("known", "term", "dkey", "pos", "p", once("doc_id"), once("n_words")), "postings")
     return rows.where("known").select("term", "dkey", "pos"), rows.where("p = 0").select("doc_id", "dkey", "n_words")
 
 
@@ -144,6 +144,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) ->
     """The documents without any window of the benchmark, with all their columns."""
     own = docs.select("doc_id", "text")
     items, _ = item_terms(benchmark)
-    index = build_index(own, store(items.select("term").distinct(), "vocabulary"))
+    scratch = Scratch(docs.sparkSession)
+    index, _ = read_terms(own, store(items.select("term").distinct(), "vocabulary"), scratch)
     bad = store(phrase_hits(index, items, size).select("dkey").distinct(), "bad")
+    scratch.clear()
     return docs.withColumn("_dkey", _dkey()).join(bounded(bad.withColumnRenamed("dkey", "_dkey"), BROADCAST_TERMS), "_dkey", "left_anti").select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, sliced, store
+from .common import Scratch, bounded, sliced
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -148,17 +148,18 @@ def _set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass(frozen=True)
 class Corpus:
     """docs: (doc_id, th, text). reps: the document that stands for each node, (node, doc_id, th, n, regs).
-    unique: no doc_id has several rows."""
+    unique: no doc_id has several rows. scratch: for tables that are read on the way alone."""
 
     docs: DataFrame
     reps: DataFrame
     unique: bool
+    scratch: Scratch
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, set) of the given nodes, stored; a set is its sorted hashes, 8 bytes each."""
-        wanted = store(self.reps.select("node", "doc_id", "th").join(nodes.distinct(), "node", "left_semi"), "wanted")
+        wanted = self.scratch.store(self.reps.select("node", "doc_id", "th").join(nodes.distinct(), "node", "left_semi"), "wanted")
         sets = self.docs.join(bounded(wanted, BROADCAST_IDS), ["doc_id", "th"]).select("node", "text").mapInArrow(_set_of, "node long, set binary")
-        return store(sets if self.unique else sets.dropDuplicates(["node"]), "sets")
+        return self.scratch.store(sets if self.unique else sets.dropDuplicates(["node"]), "sets")
 
 
 def _similar(percent: int):
@@ -267,9 +268,8 @@ def _blocks(p: NearParams, what, names: tuple[str, str]):
     return run
 
 
-def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    parts = store(parts.select("node", "component"), "parts")
+def _components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     return nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
@@ -277,7 +277,8 @@ def _open_links(buckets: DataFrame, links: DataFrame, corpus: Corpus, p: NearPar
     """Links between members of different components in buckets with several. Buckets are cut into blocks,
     and two blocks at a time meet in a task, so that no task holds a whole bucket. Sketches meet first;
     sets go to those places alone where a member has a candidate."""
-    comp = store(_components(corpus.reps.select("node", "n", "regs"), links), "component")
+    store = corpus.scratch.store
+    comp = store(_components(corpus.reps.select("node", "n", "regs"), links, corpus.scratch), "component")
     b = buckets.join(comp.select("node", "component", "n"), "node")
     mixed = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).where("lo <> hi")
     chunks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("total") / p.load)).cast("int")
@@ -297,17 +298,20 @@ def _open_links(buckets: DataFrame, links: DataFrame, corpus: Corpus, p: NearPar
     return met(m.join(sets, "node")).mapInArrow(_blocks(p, forest, ("a", "b")), "a long, b long, key long").select("a", "b").distinct()
 
 
-def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
+def components(docs: DataFrame, p: NearParams = NearParams(), kept: Scratch | None = None) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept, class_id.
 
     class_id: the least doc_id with an equal shingle set. Documents without words have no shingles and are
     linked with nothing; so are those with a null doc_id, whose component is null and which are kept.
     Rows that repeat a doc_id are one document with the links of all its texts. Other columns are
     ignored. An empty table gives no rows. Sets are told apart by 64-bit digests. A pair at the threshold
-    shares no band with a chance of (1 - 0.85^rows)^bands, under one in a million.
+    shares no band with a chance of (1 - 0.85^rows)^bands, under one in a million. kept: gets the tables
+    that the result is read from; all others are deleted before it returns.
     """
+    kept, scratch = kept or Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    store = scratch.store
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    sk = store(base.mapInArrow(_sketch_all(p), SKETCHED), "sketches")
+    sk = kept.store(base.mapInArrow(_sketch_all(p), SKETCHED), "sketches")
     rows = sk.where("doc_id is not null and n > 0")
     heads = store(rows.groupBy("node").agg(F.min("doc_id").alias("id")), "heads")
     per_id = rows.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k"))
@@ -315,7 +319,7 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     unique = several.isEmpty()
     reps = rows.join(heads.withColumnRenamed("id", "doc_id"), ["node", "doc_id"], "left_semi")
     reps = store(reps if unique else reps.dropDuplicates(["node"]), "reps")
-    corpus = Corpus(base, reps, unique)
+    corpus = Corpus(base, reps, unique, scratch)
     twice = rows.join(several.where("lo < hi"), "doc_id").where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
     flat = reps.select("node", F.posexplode("keys").alias("band", "key"))
     busy = store(flat.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"), "busy")
@@ -326,9 +330,10 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     links = store(verify(store(first, "first"), corpus, p).unionByName(twice), "links")
     more = _open_links(buckets.select("key", "band", "node"), links, corpus, p)
     links = links.unionByName(store(more, "links"))
-    parts = store(_components(heads, links), "all-parts")
+    parts = store(_components(heads, links, scratch), "all-parts")
     least = parts.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = parts.join(store(least, "least"), "component").select("node", "id", "component_id")
+    named = kept.store(parts.join(store(least, "least"), "component").select("node", "id", "component_id"), "named")
+    scratch.clear()
     out = sk.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))).join(named, "node", "left")
     comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("id", "doc_id").alias("class_id"))
@@ -337,9 +342,11 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
 def keep_first(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """One document of each component, that with the least id, with all its columns; of rows that repeat
     a kept doc_id, that with the least text hash. Documents without words or with a null id all stay."""
-    found = components(docs, p)
+    kept = Scratch(docs.sparkSession)
+    found = components(docs, p, kept)
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows"))
-    ids = store(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), (F.col("kept")).alias("_kept")), "gone")
+    ids = Scratch(docs.sparkSession).store(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), (F.col("kept")).alias("_kept")), "gone")
+    kept.clear()
     same = F.col("doc_id") == F.col("_id")
     once = docs.join(bounded(ids, BROADCAST_IDS), same, "left_anti")
     again = docs.join(ids.where("_kept"), same, "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
