@@ -43,7 +43,7 @@ class SecretParams:
     alpha: float = 0.05
     samples: int = 2000
     longest: int = 200
-    margin: float = 0.25
+    margin: float = 0.15
     min_count: int = 4
     end: str = "\x00"
 

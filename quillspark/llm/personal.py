@@ -337,12 +337,14 @@ def _find(reach: int):
 
 def training_windows(found: DataFrame, p: PersonalParams) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Windows of stretches with and without labelled spans: those with the least hashes, p.samples of each;
-    then those with spans again, in disguise."""
+    then those with spans again, in disguise. Unlabelled stretches that could hold a span, by their digits or
+    an "at" in brackets, teach nothing."""
     rows = found.select("spans", F.explode("parts").alias("part"))
     inside = F.filter("spans", lambda x: (x["s"] >= F.col("part.s")) & (x["e"] <= F.col("part.s") + F.length("part.v")))
     rows = rows.select(F.transform(inside, lambda x: F.struct((x["s"] - F.col("part.s")).alias("s"), x["k"].alias("k"), (x["e"] - F.col("part.s")).alias("e"))).alias("spans"), F.col("part.v").alias("v"))
     rows, out = rows.where(F.length("v") <= p.longest), []
-    for test in ("size(spans) > 0", "size(spans) = 0"):
+    unsure = (F.regexp_count("v", F.lit("[0-9]")) >= 9) | F.col("v").rlike(r"(?i)@|[\[({<] ?at ?[\])}>]")
+    for test in (F.size("spans") > 0, (F.size("spans") == 0) & ~unsure):
         for r in rows.where(test).distinct().orderBy(F.xxhash64("v"), "v").limit(p.samples).collect():
             v = r["v"]
             for s in range(0, max(1, len(v) - WINDOW + STRIDE), STRIDE):

@@ -93,7 +93,7 @@ def test_automata_find_what_the_fixed_formats_miss(spark):
     rng = random.Random(1)
     rows = [f"some {secret_like(rng, k)} words {ordinary(rng)} end" for k in ("hex", "access", "assign") for _ in range(150)]
     rows += [f"plain {ordinary(rng)} and {ordinary(rng)} text" for _ in range(300)]
-    planted = [f"now {secret_like(rng, k)} here" for k in ("bare", "short", "other") for _ in range(60)]
+    planted = [f"now {secret_like(rng, k)} here" for k in ("bare", "short", "other") for _ in range(8)]  # unlabelled credentials are rare among tokens
     docs = spark.createDataFrame(list(enumerate(rows + planted)), "doc_id long, text string")
     got = {r["doc_id"]: r["n_learned"] for r in credentials.scan(docs).collect()}
     assert sum(got[len(rows) + i] == 1 for i in range(len(planted))) >= 0.9 * len(planted)
@@ -134,9 +134,9 @@ def made_texts(seed, n, kinds):
 def test_tagger_finds_what_the_fixed_formats_miss(spark):
     import numpy as np
 
-    labelled = [(i, t) for i, t in enumerate(made_texts(1, 300, HELD) + made_texts(5, 300, CLEAN))]
+    labelled = [(i, t) for i, t in enumerate(made_texts(1, 300, HELD) + made_texts(5, 600, CLEAN))]
     rng, planted = np.random.default_rng(3), {}
-    for t in made_texts(2, 150, HELD):
+    for t in made_texts(2, 40, HELD):  # spans that no format labels are rare
         planted[1000 + len(planted)] = personal.disguise(t, personal.base_spans(t), rng)
     docs = labelled + [(i, t) for i, (t, _) in planted.items()] + [(5000 + i, t) for i, t in enumerate(made_texts(9, 200, CLEAN))]
     got = {r["doc_id"]: r for r in personal.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -145,8 +145,8 @@ def test_tagger_finds_what_the_fixed_formats_miss(spark):
         found = [(int(s), int(e)) for _, s, e in (x.split(":") for x in got[i]["spans"].split(",") if x)]
         hit += sum(any(s < e2 and s2 < e for s2, e2 in found) for s, _, e in spans)
     assert hit >= 0.9 * sum(len(spans) for _, spans in planted.values())
-    assert sum(got[i]["n_added"] > 0 for i in planted) > 75
-    assert sum(got[i]["n_spans"] for i in got if i >= 5000 or 300 <= i < 600) <= 8
+    assert sum(got[i]["n_added"] > 0 for i in planted) > 20
+    assert sum(got[i]["n_spans"] for i in got if i >= 5000 or 300 <= i < 900) <= 8
 
 
 def test_tagger_decodes_spans_across_windows():
