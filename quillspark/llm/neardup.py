@@ -200,7 +200,10 @@ def _candidates(k: int, ids, comp, n, regs, chunk, band: int, p: NearParams) ->
     if not len(hit):
         return hit
     least = p.percent / 100 - p.slack * np.sqrt(0.01 * p.percent * (1 - 0.01 * p.percent) / p.registers)
-    likely = estimate(np.broadcast_to(regs[k], regs[hit].shape), regs[hit], np.full(len(hit), n[k]), n[hit], p) >= least
+    likely = equal >= p.registers * p.percent / 100  # needs no estimate
+    rest = hit[~likely]
+    if len(rest):
+        likely[~likely] = estimate(np.broadcast_to(regs[k], regs[rest].shape), regs[rest], np.full(len(rest), n[k]), n[rest], p) >= least
     return hit[likely][np.argsort(-equal[likely], kind="stable")]
 
 
