@@ -98,7 +98,14 @@ def sort_orphans(spark, d):
     return graph.orphans(assets(spark, d)).select("layer", "path")
 
 
-@query()
+_ADVICE = {
+    "inbox_unlinked": "max(orphans) FILTER (layer = 'inbox')", "distilled_generated": "CASE WHEN max(generated / nullif(n, 0)) FILTER (layer = 'distilled') > 0.6 THEN max(n) FILTER (layer = 'distilled') ELSE 0 END",
+    "skill_drafts": "max(drafts) FILTER (layer = 'skills')", "output_empty": "CASE WHEN max(n) FILTER (layer = 'output') = 0 THEN 1 ELSE 0 END", "unlinked": "sum(orphans) FILTER (layer NOT IN ('inbox', 'output'))",
+    "cold": "sum(cold)", "outside": "max(n) FILTER (layer = 'other')",
+}
+
+
+@query(f"{_LAYERS} SELECT code, n FROM ({' UNION ALL '.join(f'SELECT {sql.lit(k)} AS code, CAST({v} AS BIGINT) AS n FROM s' for k, v in _ADVICE.items())}) WHERE n > 0")
 def agg_recommendations(spark, d):
     return graph.recommendations(graph.layer_stats(assets(spark, d), spark))
 
