@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, new_path, sliced, store, store_at
+from .common import Scratch, new_path, sliced, store
 
-#: Text pieces after which a Python worker forgets those it remembers.
-MEMO = 400_000
-#: New pieces that go to the library as one text.
+#: Bytes of text, about, whose distinct pieces are encoded together.
+PART = 8_000_000
+#: Pieces that go to the library as one text.
 JOINED = 50
 #: Characters that make a token run of their own after a word.
 MARKS = ".,;:!?)%$&*#|"
@@ -67,8 +67,8 @@ class Encoder:
     """Ids of whole texts. A pre-tokeniser of the byte-level kind never joins a space that stands between
     other characters to what is before it, so a text without runs of white space around a space is
     encoded piece by piece, each piece starting at a space. Distinct pieces of a batch go to the library
-    together, many as one text that is cut again where a token begins with a space; they are remembered,
-    and the batch's ids are gathered from what is remembered. Other texts are encoded whole.
+    together, many as one text that is cut again where a token begins with a space, and the batch's ids
+    are gathered from theirs. Other texts are encoded whole.
 
     A piece of Latin letters, with or without marks after them, is known to be one or two runs for the
     pre-tokeniser; these are written as it would write them, and only its model is asked."""
@@ -93,11 +93,10 @@ class Encoder:
         self.unsafe = re.compile(r"\s \s")
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for x, i in vocabulary.items() if x[0] == "Ġ"]] = True
-        self._forget()
+        self._clear()
 
-    def _forget(self) -> None:
-        """memo: a piece without its space to its place in first and size, which say where its ids are in pool."""
-        self.memo: dict[str, int] = {}
+    def _clear(self) -> None:
+        """pool: ids of pieces and texts, one after another; first and size: where each begins, and its length."""
         self.pool, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _keep(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -115,23 +114,27 @@ class Encoder:
         got = self._library(texts)
         return self._keep(np.concatenate([np.empty(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64))
 
-    def _written(self, piece: str) -> str | None:
-        """A piece of letters and marks as the pre-tokeniser writes its runs, with white space between them."""
-        word = piece.rstrip(MARKS)
-        if not word.isalpha():
-            return None
-        if not word.isascii():
-            if max(word) >= "\u0250":
-                return None
-            letters = self.letters
-            return "Ġ" + "".join([letters[b] for b in word.encode()]) + " " + piece[len(word) :]
-        return "Ġ" + word + " " + piece[len(word) :]
+    def _written(self, pieces: list[str]) -> list[str | None]:
+        """Pieces of Latin letters and marks as the pre-tokeniser writes their runs, with white space between
+        them; None for other pieces."""
+        out, letters, marks = [], self.letters, MARKS
+        for x in pieces:
+            w = x.rstrip(marks)
+            if not w.isalpha():
+                out.append(None)
+            elif w.isascii():
+                out.append("Ġ" + x if len(w) == len(x) else "Ġ" + w + " " + x[len(w) :])
+            elif max(w) < "\u0250":
+                out.append("Ġ" + "".join([letters[b] for b in w.encode()]) + " " + x[len(w) :])
+            else:
+                out.append(None)
+        return out
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Places of pieces, each with a space before it."""
         out = np.empty(len(pieces), np.int32)
-        written = [self._written(x) if self.by_piece else None for x in pieces]
-        kind = np.fromiter((0 if w else 1 if x != "" and x == x.strip() else 2 for w, x in zip(written, pieces, strict=True)), np.int8, len(pieces))
+        written = self._written(pieces) if self.by_piece else [None] * len(pieces)
+        kind = np.array([0 if w else 1 if x != "" and x == x.strip() else 2 for w, x in zip(written, pieces, strict=True)], np.int8)
         for k, lead, texts in ((0, "", [w for w in written if w]), (1, " ", [pieces[i] for i in np.flatnonzero(kind == 1)])):
             joined = [lead + " ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
             ids = np.concatenate([np.empty(0, np.uint32), *self._library(joined, k == 0)])
@@ -141,25 +144,16 @@ class Encoder:
             else:
                 out[kind == k] = self._each([" " + pieces[i] for i in np.flatnonzero(kind == k)])
         out[kind == 2] = self._each([" " + pieces[i] for i in np.flatnonzero(kind == 2)])
-        self.memo.update(zip(pieces, out.tolist(), strict=True))
         return out
 
     def encode_all(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), one text after another, each with the end id if one is given,
         and how many each has."""
-        if len(self.memo) > MEMO:
-            self._forget()
         texts = pc.fill_null(texts, "")
         whole = np.fromiter((not self.by_piece or any(s in t for s in self.special) or bool(self.unsafe.search(t)) for t in texts.to_pylist()), bool, len(texts))
         lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
         offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        place = np.fromiter((self.memo.get(x, -1) for x in pieces), np.int32, len(pieces))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            place[new] = self._learn([pieces[k] for k in new])
-        found = place[coded.indices.to_numpy()]
-        kept = len(self.first), len(self.pool)
+        found = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         found[offsets[:-1]] = self._each(lists.values.take(pa.array(offsets[:-1])).to_pylist())  # no space before a text's first
         many = np.ones(len(texts), np.int64)
         many[~whole] = np.diff(offsets)
@@ -175,7 +169,7 @@ class Encoder:
         at = np.repeat((self.first[seq] - before[:-1]).astype(np.int32), size)
         at += np.arange(before[-1], dtype=np.int32)
         ids = self.pool[at]
-        self.first, self.size, self.pool = self.first[: kept[0]], self.size[: kept[0]], self.pool[: kept[1]]
+        self._clear()
         return ids, before[stop] - before[start]
 
     def whole(self, text: str) -> bytes:
@@ -269,7 +263,7 @@ def _encode(path: str, p: StoreParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, press = encoder(path), zstandard.ZstdCompressor(level=1)
-        for b in sliced(batches):
+        for b in sliced(batches, size=PART):
             ids, n = e.encode_all(b.column("text"), p.end)
             ends, raw, stop = cut_all(ids, n, p), memoryview(ids.tobytes()), np.cumsum(n)
             chunks, packed = [], []
@@ -333,16 +327,17 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, p: Stor
     path = path or new_path(spark, "token-store")
     order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     base = docs.select(order.alias("o"), "doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"), "text")
-    encoded, at = store_at(base.mapInArrow(_encode(tokenizer_path, p), ENCODED), "encoded")
+    scratch = Scratch(spark)
+    encoded = scratch.store(base.mapInArrow(_encode(tokenizer_path, p), ENCODED), "encoded")
     whole = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("ids"), F.count("*").alias("docs")).first()
     packs = max(p.packs or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole["ids"] // p.pack_ids), -(-whole["docs"] // p.pack_docs))
     each = encoded.select("o", "key", F.posexplode("chunks").alias("nth", "digest"))
     owners = each.groupBy("digest").agg(F.min(F.struct("o", "key", "nth")).alias("x"), (F.count("*") > 1).alias("shared"))
     owners = owners.groupBy("x.o", "x.key").agg(F.collect_list(F.struct("x.nth", "shared")).alias("mine"))
-    rows = encoded.unionByName(store(owners, "owners"), allowMissingColumns=True)
+    rows = encoded.unionByName(scratch.store(owners, "owners"), allowMissingColumns=True)
     placed = rows.repartitionByRange(packs, "o", "key").sortWithinPartitions("o", "key", F.col("ids").isNotNull()).drop("o")
     placed.mapInArrow(_pack, PACK).write.option("compression", "zstd").parquet(f"{path}/packs")
-    discard(spark, at)
+    scratch.clear()
     packed = spark.read.schema(PACK).parquet(f"{path}/packs")
     tops = packed.select("pack", "seq", "n_tokens", "root").groupBy("pack").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "root"))).alias("docs"))
     tops.select("pack", "n_docs", "n_tokens", F.transform("docs", lambda x: x["root"]).alias("roots")).mapInArrow(_roots, "pack int, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/manifest")
@@ -385,13 +380,13 @@ def _rebuild(checksum: bool):
     return run
 
 
-def _complete(spark: SparkSession, path: str) -> DataFrame:
-    """The packs' rows with the chunks that others own in a column others."""
+def _complete(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+    """The packs' rows with the chunks that others own in a column others; read from scratch tables too."""
     packs = spark.read.schema(PACK).parquet(f"{path}/packs")
     recipe = packs.select("pack", "seq", F.posexplode("chunks").alias("nth", "digest"), F.transform("owned", lambda x: x["nth"]).alias("mine"))
     needed = recipe.where(~F.array_contains("mine", F.col("nth"))).select(F.col("pack").alias("p_"), F.col("seq").alias("s_"), "nth", "digest")
     shared = packs.select("chunks", F.explode(F.filter("owned", lambda x: x["shared"])).alias("x")).select(F.get("chunks", F.col("x.nth")).alias("digest"), F.col("x.ids").alias("ids"))
-    met = store(needed, "needed").join(store(shared, "shared"), "digest")
+    met = scratch.store(needed, "needed").join(scratch.store(shared, "shared"), "digest")
     others = met.groupBy("p_", "s_").agg(F.collect_list(F.struct("nth", F.lit(True).alias("shared"), "ids")).alias("others"))
     alone = F.size("owned") == F.size("chunks")
     full = packs.where(alone).withColumn("others", F.lit(None).cast(OWNED))
@@ -402,12 +397,14 @@ def _complete(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(pack, doc_id, seq, n_tokens, ids, verified) of every stored document; ids are little-endian
     unsigned 32-bit. Only chunks that other documents own are moved."""
-    return _complete(spark, path).mapInArrow(_rebuild(False), READ)
+    return _complete(spark, path, Scratch(spark)).mapInArrow(_rebuild(False), READ)
 
 
 def summary(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, verified) of every stored document, from the ids read back."""
-    rows = store(_complete(spark, path).mapInArrow(_rebuild(True), READ_CRC), "read")
+    scratch = Scratch(spark)
+    rows = store(_complete(spark, path, scratch).mapInArrow(_rebuild(True), READ_CRC), "read")
+    scratch.clear()
     ends = spark.read.parquet(f"{path}/manifest").select(F.col("pack").alias("p_"), "n_tokens")
     before = ends.select("p_", (F.sum("n_tokens").over(W.orderBy("p_")) - F.col("n_tokens")).alias("before"))  # one row a pack
     run = F.sum("n_tokens").over(W.partitionBy("pack").orderBy("seq")) - F.col("n_tokens")
