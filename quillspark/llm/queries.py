@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, decontaminate, lm_score, mixing, neardup, personal, quality, token_counts, token_store, urls
+from . import credentials, decontaminate, lm_score, mixing, neardup, personal, quality, token_counts, token_store, urls, whitening
 from .common import read_documents
 from .oracle import ORACLE  # noqa: F401
 
@@ -55,4 +55,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_lm_score, op4_mixing, op5_decontaminate, op6_neardup, op7_secrets, op8_personal, op9_urls, op10_token_counts)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_lm_score, op4_mixing, op5_decontaminate, op6_neardup, op7_secrets, op8_personal, op9_urls, op10_token_counts, op11_whitening)}
