@@ -69,4 +69,12 @@ c AS (SELECT a AS page_id, min(b) AS component, max(CASE WHEN by_rule = 'allow'
 SELECT r.page_id, host, path, rule, coalesce(by_rule, CASE WHEN blocked = 1 AND allowed = 0 THEN 'block' ELSE 'allow' END) AS verdict, component FROM r JOIN c USING (page_id)
 """
 
-ORACLE = {"op2_quality": OP2, "op5_decontaminate": OP5, "op9_urls": OP9}
+#: Base32 of a SHA-1: eight times five hex digits as four digits of 32.
+_BASE32 = "array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) >> s) & 31) + 1, 1)), '')), '')"
+OP12 = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS nth, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS head FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN nth > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN nth > 1 THEN head END AS refers_to, true AS digest_holds FROM r
+"""
+
+ORACLE = {"op2_quality": OP2, "op5_decontaminate": OP5, "op9_urls": OP9, "op12_warc": OP12}

@@ -37,10 +37,10 @@ def compare(got, vectors, tolerance=1e-9):
         mine = [r for r in got if r["component"] == j + 1]
         assert Counter((r["vec_id"], r["deviation"]) for r in mine) == Counter((i, dev) for i, dev, _ in rows)
         assert all(abs(r["explained"] * trace / e[j] - 1) < 1e-9 for r in mine)
-        want = {dev: np.dot(c, q[:, j]) / math.sqrt(e[j]) for _, dev, c in rows}
+        want = {(i, dev): np.dot(c, q[:, j]) / math.sqrt(e[j]) for i, dev, c in rows}
         first = max(mine, key=lambda r: abs(r["whitened"]))
-        sign = np.sign(first["whitened"] * want[first["deviation"]])
-        assert all(abs(r["whitened"] - sign * want[r["deviation"]]) < tolerance for r in mine)
+        sign = np.sign(first["whitened"] * want[first["vec_id"], first["deviation"]])
+        assert all(abs(r["whitened"] - sign * want[r["vec_id"], r["deviation"]]) < tolerance for r in mine)
 
 
 def test_against_fractions(spark):
