@@ -77,4 +77,21 @@ r AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, ro
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN nth > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN nth > 1 THEN head END AS refers_to, true AS digest_holds FROM r
 """
 
-ORACLE = {"op2_quality": OP2, "op5_decontaminate": OP5, "op9_urls": OP9, "op12_warc": OP12}
+#: CRC-32 bit by bit: a byte is mixed in, then -1 stands for a shift.
+_CRC = "(xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295))"
+OP13 = rf"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT c FROM own)),
+re AS (SELECT ids.c, 0 AS part, i, role, text FROM ids JOIN own ON own.c = ids.base AND i <= h UNION ALL SELECT ids.c, 1, i, role, text FROM ids JOIN own USING (c) WHERE i > h),
+seq AS (SELECT ids.c, coalesce(s, []) AS s FROM ids LEFT JOIN (SELECT c, list(struct_pack(role := role, text := text) ORDER BY part, i) AS s FROM re GROUP BY c) q USING (c)),
+m AS (SELECT c, d, s[1:d] AS k, len(s) = d AS ends FROM seq, unnest(range(0, len(s) + 1)) r(d)),
+node AS (SELECT d, k, min(c) AS id, count(*) AS n, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256, CASE WHEN d > 0 THEN len(regexp_extract_all(k[d].text, '[^ 	-]+')) ELSE 0 END AS words FROM m GROUP BY d, k),
+mem AS (SELECT c, d, id FROM m JOIN node USING (d, k)),
+par AS (SELECT node.*, mem.id AS parent FROM node LEFT JOIN mem ON mem.c = node.id AND mem.d = node.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS id, count(*) AS n_children FROM par WHERE d > 0 GROUP BY ALL),
+x AS (SELECT par.*, coalesce(n_children, 0) AS n_children FROM par LEFT JOIN kids ON kids.d = par.d AND kids.id = par.id),
+below AS (SELECT mem.d, mem.id, sum((x.n - 1) * x.words)::BIGINT AS saved_tokens, count(*) FILTER (x.n_children = 0) AS n_leaves FROM x JOIN mem ON mem.c = x.id AND mem.d <= x.d GROUP BY mem.d, mem.id)
+SELECT x.id AS conv_id, x.d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM x JOIN below ON below.d = x.d AND below.id = x.id
+"""
+
+ORACLE = {"op2_quality": OP2, "op5_decontaminate": OP5, "op9_urls": OP9, "op12_warc": OP12, "op13_trie": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, decontaminate, lm_score, mixing, neardup, personal, quality, token_counts, token_store, urls, warc, whitening
+from . import credentials, decontaminate, lm_score, mixing, neardup, personal, quality, token_counts, token_store, trie, urls, warc, whitening
 from .common import read_documents
 from .oracle import ORACLE  # noqa: F401
 
@@ -63,4 +63,8 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_lm_score, op4_mixing, op5_decontaminate, op6_neardup, op7_secrets, op8_personal, op9_urls, op10_token_counts, op11_whitening, op12_warc)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_lm_score, op4_mixing, op5_decontaminate, op6_neardup, op7_secrets, op8_personal, op9_urls, op10_token_counts, op11_whitening, op12_warc, op13_trie)}
