@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import cards as cards_
 from quillspark.functions import scoring, spans, text
 from quillspark.functions import taxonomy as tx
+from quillspark.operators import containment
 from quillspark.sources import notes as src
 
 from . import sql
@@ -107,10 +108,11 @@ def catalog_pending(spark, d):
 
 @query(f"{_H} SELECT doc_id, category, count(*) AS hits FROM h JOIN {_table(TYPES)} ON contains(hay, keyword) GROUP BY ALL")
 def join_theta_keyword(spark, d):
-    """The join form of keyword matching: one keyword row meets every text, as a broadcast of the taxonomy."""
+    """The join form of keyword matching, for taxonomies too large to compile: texts meet keywords by grams."""
     k = tx.keyword_table(spark, T)
-    n = src.notes(spark, d).select("doc_id", _hay().alias("hay"))
-    return n.join(F.broadcast(k), F.col("hay").contains(F.col("keyword"))).groupBy("doc_id", F.col("type").alias("category")).agg(F.count("*").alias("hits"))
+    n = src.notes(spark, d).select(F.col("doc_id").alias("key"), _hay().alias("text"))
+    found = containment.keywords_in(n, k).join(k, "keyword")
+    return found.groupBy(F.col("key").alias("doc_id"), F.col("type").alias("category")).agg(F.count("*").alias("hits"))
 
 
 @query(f"{_H} SELECT doc_id, coalesce(array_to_string(list_filter([{', '.join(f'CASE WHEN {_hits(w)} > 0 THEN {sql.lit(k)} END' for k, w in T['themes'].items())}], lambda x: x IS NOT NULL), '、'), '') AS themes FROM h")

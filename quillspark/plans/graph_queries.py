@@ -206,7 +206,13 @@ def join_bridge(spark, d):
 
 @query(f"{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM z WHERE score >= 34) SELECT a, b, score::INT AS score, rank FROM r WHERE rank <= 3")
 def sim_topk(spark, d):
-    return similarity.top_k(similarity.scored_pairs(*_assets(spark, d), T).select("a", "b", "score"), "a", "b", 3)
+    return similarity.top_links(*_assets(spark, d), T, 3)
+
+
+@query(f"{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS rank FROM z WHERE score >= 34) SELECT b AS a, a AS b, score::INT AS score, rank FROM r WHERE rank <= 5")
+def sim_topk_ideas(spark, d):
+    """The other direction: five clippings for an idea."""
+    return similarity.top_links(*_assets(spark, d), T, 5, from_ideas=True)
 
 
 @query(f"{_PAIR_BASE} SELECT DISTINCT term FROM cb INTERSECT SELECT DISTINCT term FROM ib")

@@ -97,8 +97,8 @@ def links(all_notes: DataFrame, clips: DataFrame, taxonomy: dict, backend: str =
     """Suggestions in both directions: three ideas for a clipping, five clippings for an idea."""
     c = clips.where("score >= 50").select(F.col("path").alias("key"), "name", F.col("type").alias("ctype"), F.left(F.concat_ws("\n", "name", "type", F.concat_ws(" ", "tags"), "summary.core", F.concat_ws(" ", "points"), F.concat_ws(" ", "methods")), F.lit(1800)).alias("text"))
     i = all_notes.where(F.col("bucket") == IDEAS).select(F.col("path").alias("key"), "name", F.lit("").alias("ctype"), F.concat_ws("\n", "name", text.first_paragraph(F.col("text"), 1200)).alias("text"))
-    pairs = similarity.scored_pairs(c, i, taxonomy, threshold, backend).select("a", "b", "score")
-    return {"links_clip_to_idea": similarity.top_k(pairs, "a", "b", 3), "links_idea_to_clip": similarity.top_k(pairs, "b", "a", 5)}
+    found = lambda k, back: similarity.top_links(c, i, taxonomy, k, threshold, backend, back)
+    return {"links_clip_to_idea": found(3, False), "links_idea_to_clip": found(5, True).select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "rank")}
 
 
 def feedback(all_notes: DataFrame) -> dict[str, DataFrame]:
