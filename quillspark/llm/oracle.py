@@ -19,8 +19,8 @@ l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_d
 c AS (SELECT d.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN l USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-f AS (SELECT doc_id, lang, source, 'symbols' AS feature, coalesce(n_symbols * 10000 // nullif(word_chars, 0), 0) AS v FROM b UNION ALL SELECT doc_id, lang, source, 'dup_lines', coalesce(n_dup_lines * 10000 // nullif(n_lines, 0), 0) FROM b
- UNION ALL SELECT doc_id, lang, source, 'repeats', coalesce(n_repeat_words * 10000 // nullif(n_words, 0), 0) FROM b UNION ALL SELECT doc_id, lang, source, 'word_length', coalesce(word_chars * 10000 // nullif(n_words, 0), 0) FROM b),
+f AS (SELECT doc_id, lang, source, 'symbols' AS feature, CAST(floor(coalesce(greatest(n_symbols - 2 * sqrt(n_symbols), 0.0) * 10000 / nullif(word_chars, 0), 0)) AS BIGINT) AS v FROM b UNION ALL SELECT doc_id, lang, source, 'dup_lines', CAST(floor(coalesce(greatest(n_dup_lines - 2 * sqrt(n_dup_lines), 0.0) * 10000 / nullif(n_lines, 0), 0)) AS BIGINT) FROM b
+ UNION ALL SELECT doc_id, lang, source, 'repeats', CAST(floor(coalesce(greatest(n_repeat_words - 2 * sqrt(n_repeat_words), 0.0) * 10000 / nullif(n_words, 0), 0)) AS BIGINT) FROM b UNION ALL SELECT doc_id, lang, source, 'word_length', coalesce(word_chars * 10000 // nullif(n_words, 0), 0) FROM b),
 k AS (SELECT lang, source, feature, greatest(length(bin(v)) - 6, 0) * 32 + v // (1 << greatest(length(bin(v)) - 6, 0)) AS b FROM f JOIN (SELECT doc_id FROM b WHERE NOT base_failed) USING (doc_id)),
 s AS (SELECT lang, source, feature, b, count(*) AS n FROM k GROUP BY ALL),
 sl AS (SELECT lang, feature, b, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, feature) AS t FROM s GROUP BY lang, feature, b),
@@ -30,9 +30,10 @@ mg AS (SELECT lang, source, feature, b, sum(n) AS n FROM (SELECT lang, source, f
  UNION ALL SELECT gr.lang, source, gr.feature, b, n * 30000 // t FROM gr JOIN sl ON gr.lang IS NOT DISTINCT FROM sl.lang AND gr.feature = sl.feature
  UNION ALL SELECT lang, source, feature, b, n * 10000 // t FROM gr JOIN sa USING (feature)) GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY b) AS c, sum(n) OVER (PARTITION BY lang, source, feature) AS t FROM mg),
-q AS (SELECT lang, source, feature, min(CASE WHEN 4 * c >= t THEN b END) AS b1, min(CASE WHEN 4 * c >= 3 * t THEN b END) AS b3 FROM r GROUP BY ALL),
+lv(feature, low, high, times) AS (VALUES ('symbols', 50, 90, 2), ('dup_lines', 95, 99, 1), ('repeats', 95, 99, 1), ('word_length', 25, 75, 8)),
+q AS (SELECT lang, source, feature, times, min(CASE WHEN 100 * c >= low * t THEN b END) AS b1, min(CASE WHEN 100 * c >= high * t THEN b END) AS b3 FROM r JOIN lv USING (feature) GROUP BY ALL),
 u AS (SELECT *, (b1 - greatest(b1 // 32 - 1, 0) * 32 + 1) * (1 << greatest(b1 // 32 - 1, 0)) - 1 AS q1, (b3 - greatest(b3 // 32 - 1, 0) * 32 + 1) * (1 << greatest(b3 // 32 - 1, 0)) - 1 AS q3 FROM q),
-m AS (SELECT *, 8 * greatest(CASE feature WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 500 WHEN 'repeats' THEN 350 ELSE 1000 END, q3 - q1) AS reach FROM u),
+m AS (SELECT * EXCLUDE (q1), times * (q3 - q1) AS reach, CASE WHEN b1 > 0 THEN (b1 - 1 - greatest((b1 - 1) // 32 - 1, 0) * 32 + 1) * (1 << greatest((b1 - 1) // 32 - 1, 0)) ELSE 0 END AS q1 FROM u),
 o AS (SELECT f.doc_id, max(f.v > m.q3 + m.reach OR (f.feature = 'word_length' AND f.v < m.q1 - m.reach)) AS over FROM f JOIN m ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.feature = m.feature GROUP BY f.doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(over, false) AS kept FROM b LEFT JOIN o USING (doc_id)
 """
@@ -85,7 +86,8 @@ ids AS (SELECT c, c - c % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT c FR
 re AS (SELECT ids.c, 0 AS part, i, role, text FROM ids JOIN own ON own.c = ids.base AND i <= h UNION ALL SELECT ids.c, 1, i, role, text FROM ids JOIN own USING (c) WHERE i > h),
 seq AS (SELECT ids.c, coalesce(s, []) AS s FROM ids LEFT JOIN (SELECT c, list(struct_pack(role := role, text := text) ORDER BY part, i) AS s FROM re GROUP BY c) q USING (c)),
 m AS (SELECT c, d, s[1:d] AS k, len(s) = d AS ends FROM seq, unnest(range(0, len(s) + 1)) r(d)),
-node AS (SELECT d, k, min(c) AS id, count(*) AS n, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256, CASE WHEN d > 0 THEN len(regexp_extract_all(k[d].text, '[^ 	-]+')) ELSE 0 END AS words FROM m GROUP BY d, k),
+node AS (SELECT d, k, min(c) AS id, count(*) AS n, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256, CASE WHEN d > 0 THEN len(regexp_extract_all(k[d].text, '[^ 	-
+]+')) ELSE 0 END AS words FROM m GROUP BY d, k),
 mem AS (SELECT c, d, id FROM m JOIN node USING (d, k)),
 par AS (SELECT node.*, mem.id AS parent FROM node LEFT JOIN mem ON mem.c = node.id AND mem.d = node.d - 1),
 kids AS (SELECT d - 1 AS d, parent AS id, count(*) AS n_children FROM par WHERE d > 0 GROUP BY ALL),

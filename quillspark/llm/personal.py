@@ -172,7 +172,7 @@ def admissible(kind: int, span: str) -> bool:
         return False
     if kind == 1:
         return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
-    return 12 <= digits <= 19 if kind == 2 else 9 <= digits <= 15
+    return 12 <= digits <= 19 and luhn("".join(numbers)) if kind == 2 else 9 <= digits <= 15
 
 
 class Tagger:

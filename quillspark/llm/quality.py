@@ -1,7 +1,7 @@
 """Quality rules with thresholds learned per language and source from mergeable quantile sketches.
 
 Base counts are plain text statistics. The adaptive part turns them into integer features, keeps a
-log-linear histogram of each feature for every (language, source), and reads quartiles from it. Such
+log-linear histogram of each feature for every (language, source), and reads quantiles from it. Such
 a histogram is a quantile sketch with a relative error of 1/32: it is a set of bucket counts, so it
 merges by addition, is the same for any partitioning, and never grows beyond a few hundred buckets.
 Every group's sketch is merged with those of its language and of all documents, each scaled to the
@@ -22,17 +22,15 @@ from .common import SPACE_RUN, SPACES, let, store, words_of
 
 @dataclass(frozen=True)
 class QualityParams:
-    """min_words, repeat_percent: the base rules. fence: spreads above the upper quartile (or, for two-sided
-    features, below the lower one) at which rejection starts. spreads: of each feature, per 10,000, what
-    its spread, the distance of the quartiles, counts as at least: most groups have none of what the first
-    three count, and a single symbol shall not be an outlier there. prior: documents that the sketches of
-    the language, and of all documents, weigh in each group's."""
+    """min_words, repeat_percent: the base rules. fences: for each feature two percentages and how many times the distance
+    of these quantiles a value may lie beyond the upper one (or, for two-sided features, below the lower one). Most documents
+    have nothing of what the first three features count, so these take high quantiles, or a limit would say nothing
+    of its group. prior: documents that the sketches of the language, and of all documents, weigh in each group's."""
 
     min_words: int = 20
     repeat_percent: int = 30
     window: int = 8
-    fence: int = 8
-    spreads: tuple[tuple[str, int], ...] = (("symbols", 100), ("dup_lines", 500), ("repeats", 350), ("word_length", 1000))
+    fences: tuple[tuple[str, int, int, int], ...] = (("symbols", 50, 90, 2), ("dup_lines", 95, 99, 1), ("repeats", 95, 99, 1), ("word_length", 25, 75, 8))
     two_sided: tuple[str, ...] = ("word_length",)
     prior: tuple[int, int] = (30, 10)
 
@@ -76,6 +74,12 @@ def _ratio(a: str, b: str) -> Column:
     return F.floor(F.when(F.col(b) > 0, F.col(a) * 10_000 / F.col(b)).otherwise(0)).cast("long")
 
 
+def _surely(a: str, b: str) -> Column:
+    """The share of a count less twice its root: what it surely is, were its text drawn anew. One to four are none."""
+    n = F.col(a).cast("double")
+    return F.floor(F.when(F.col(b) > 0, F.greatest(n - 2 * F.sqrt(n), F.lit(0.0)) * 10_000 / F.col(b)).otherwise(0)).cast("long")
+
+
 FEATURES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
 
 
@@ -84,7 +88,7 @@ def with_counts(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFram
     c = docs.withColumn("_q", text_counts(F.col("text"), p))
     q = {k: F.col(f"_q.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")}
     failed = (q["n_words"] < p.min_words) | (100 * q["n_repeat_words"] > p.repeat_percent * q["n_words"])
-    feats = [_ratio(f"_q.{a}", f"_q.{b}").alias(k) for k, (a, b) in FEATURES.items()]
+    feats = [(_ratio if k in p.two_sided else _surely)(f"_q.{a}", f"_q.{b}").alias(k) for k, (a, b) in FEATURES.items()]
     return c.withColumn("_q", F.struct(*(v.alias(k) for k, v in q.items()), *feats, failed.alias("base_failed")))
 
 
@@ -128,10 +132,12 @@ def thresholds(sketch: DataFrame, p: QualityParams = QualityParams()) -> DataFra
     """(lang, source, and for each feature struct(lo, hi)) of every group; lo is null for one-sided features."""
     w = W.partitionBy("lang", "source", "feature")
     run = merged(sketch, p).withColumn("c", F.sum("n").over(w.orderBy("b").rowsBetween(W.unboundedPreceding, 0))).withColumn("t", F.sum("n").over(w))
-    at = lambda k: bucket_top(F.min(F.when(4 * F.col("c") >= k * F.col("t"), F.col("b"))))
-    q = run.groupBy("lang", "source", "feature").agg(at(1).alias("q1"), at(3).alias("q3"))
-    least = F.create_map(*(F.lit(x) for kv in p.spreads for x in kv))[F.col("feature")]
-    reach = p.fence * F.greatest(F.col("q3") - F.col("q1"), least)
+    low, high, times = (F.create_map(*(F.lit(x) for f in p.fences for x in (f[0], f[i])))[F.col("feature")] for i in (1, 2, 3))
+    at = lambda k: F.min(F.when(100 * F.col("c") >= k * F.col("t"), F.col("b")))
+    q = run.groupBy("lang", "source", "feature").agg(at(low).alias("b1"), at(high).alias("b3"))
+    least = F.when(F.col("b1") > 0, bucket_top(F.col("b1") - 1) + 1).otherwise(0)  # of the bucket
+    q = q.select("lang", "source", "feature", least.alias("q1"), bucket_top(F.col("b3")).alias("q3"), (times * (bucket_top(F.col("b3")) - bucket_top(F.col("b1")))).alias("reach"))
+    reach = F.col("reach")
     q = q.withColumn("x", F.struct(F.when(F.col("feature").isin(*p.two_sided), F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi")))
     return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == k, F.col("x"))).alias(k) for k in FEATURES))
 

@@ -48,6 +48,22 @@ def test_adaptive_threshold_follows_its_group(spark):
     assert all(got.values())
 
 
+def test_no_constant_gives_the_verdicts_of_the_sample(spark):
+    """For some feature a kept document lies above a rejected one of another group: its limit follows the group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counted = quality.store(quality.with_counts(docs.repartition(4)).drop("text"), "counted")
+    limits = quality.thresholds(quality.sketches(counted)).collect()
+    assert all(len({r[k]["hi"] for r in limits}) > 3 for k in ("repeats", "word_length"))
+    rows = quality.judged(counted).where("NOT _q.base_failed").select("kept", "lang", "source", "_q").collect()
+    hi = {(r["lang"], r["source"]): r for r in limits}
+    crossed = 0
+    for k in ("symbols", "repeats", "word_length"):
+        of = lambda r: hi[r["lang"], r["source"]][k]["hi"]
+        kept = max((r["_q"][k] for r in rows if r["kept"]), default=0)
+        crossed += sum(r["_q"][k] > of(r) and r["_q"][k] < kept for r in rows)
+    assert crossed > 0
+
+
 def brute_targets(rows):
     """Sizes and targets by source: shares of 5, 2, 1, repeating; what is above three times a size is dealt again."""
     sizes = Counter()

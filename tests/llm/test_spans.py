@@ -193,3 +193,17 @@ def test_tagger_gradient():
         down = loss()
         w[at] = before
         assert abs((up - down) / 2e-4 - grad[k][at]) < 2e-3, k
+
+
+def test_a_card_has_a_checksum():
+    assert personal.admissible(2, "4111.1111.1111.1111") and not personal.admissible(2, "4111.1111.1111.1112")
+
+
+def test_added_cards_of_the_sample_have_checksums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in personal.scan(docs).where("n_added > 0").collect():
+        for span in r["spans"].split(","):
+            kind, s, e = span.split(":")
+            if kind == "card":
+                assert personal.luhn(re.sub("[^0-9]", "", texts[r["doc_id"]][int(s) : int(e)]))
