@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import S, any_of, compact, description, first_sentence, has_chinese, has_english_sentence, is_noise_line, is_skill_noise_line, let, lines, positioned, split_sentences, strip_frontmatter
+from .text import S, any_of, compact, description, first_sentence, has_chinese, has_english_sentence, is_noise_line, is_skill_noise_line, let, lines, positioned, quick, split_sentences, strip_frontmatter
 
 #: What marks comments, metadata, methods, insights and quotes.
 COMMENT = r"^[ \t]*(?:[0-9]+\.[ \t]*)?\*\*[^*]{1,20}\*\*[：:]"
@@ -42,8 +42,8 @@ def key_points(clean: Column, limit: int = 5) -> Column:
     """Points of a cleaned text: bullets of 12 to 160 characters, then hinted sentences."""
     raw = F.filter(F.transform(lines(clean), lambda x: F.btrim(x)), lambda x: x.rlike(POINT_LINE) & ~is_comment_or_meta(x))
     point = F.transform(raw, lambda x: compact(F.regexp_replace(F.regexp_replace(x, BULLET + "[ \t]*", ""), r"(?i)^\*+[ \t]*Description[ \t]*\*+[ \t]*", "")))
-    listed = F.filter(point, lambda x: ~is_comment_or_meta(x) & F.length(x).between(12, 160) & ~is_noise_line(x))
-    said = F.filter(split_sentences(clean), lambda x: ~is_comment_or_meta(x) & x.rlike(POINT))
+    listed = F.filter(point, lambda x: F.length(x).between(12, 160) & ~is_comment_or_meta(x) & ~is_noise_line(x))
+    said = F.filter(split_sentences(clean), lambda x: x.rlike(quick(POINT)) & ~is_comment_or_meta(x))
     said = F.filter(F.transform(said, lambda x: F.left(x, F.lit(160))), lambda x: ~is_noise_line(x))
     return F.slice(F.array_distinct(F.concat(listed, said)), 1, limit)
 
@@ -54,11 +54,11 @@ def _add_unless(reject, limit: int):
 
 def methods(clean: Column, limit: int = 8) -> Column:
     """Actionable bullets, then sentences; one that contains, or is contained in, an earlier one is dropped."""
-    raw = F.filter(F.transform(lines(clean), lambda x: F.btrim(x)), lambda x: (x != "") & ~is_comment_or_meta(x) & x.rlike(BULLET + "[ \t]+"))
-    raw = F.filter(raw, lambda x: x.rlike(METHOD) | (x.rlike(r"[：:][ \t]*[^\n]") & x.rlike("先|然后|接着|最后|首先")))
-    said = F.filter(split_sentences(clean), lambda x: ~is_comment_or_meta(x) & x.rlike(METHOD))
+    raw = F.filter(F.transform(lines(clean), lambda x: F.btrim(x)), lambda x: x.rlike(BULLET + "[ \t]+") & ~is_comment_or_meta(x))
+    raw = F.filter(raw, lambda x: x.rlike(quick(METHOD)) | (x.rlike(r"[：:][ \t]*[^\n]") & x.rlike("先|然后|接着|最后|首先")))
+    said = F.filter(split_sentences(clean), lambda x: x.rlike(quick(METHOD)) & ~is_comment_or_meta(x))
     item = F.transform(F.concat(raw, said), lambda x: compact(F.regexp_replace(x, BULLET + "[ \t]*", "")))
-    item = F.filter(item, lambda x: (x != "") & ~is_noise_line(x) & ~is_comment_or_meta(x) & F.length(x).between(12, 160))
+    item = F.filter(item, lambda x: F.length(x).between(12, 160) & ~is_noise_line(x) & ~is_comment_or_meta(x))
     return F.aggregate(item, F.array().cast("array<string>"), _add_unless(lambda a, x: a.contains(x) | x.contains(a), limit))
 
 
@@ -75,13 +75,13 @@ def quote_score(text: Column, source: Column, position: Column) -> Column:
 
     def score(t: Column) -> Column:
         cn, n = has_chinese(t), F.length(t)
-        insight = F.when(cn, point(t.rlike(INSIGHT), 3) + point(t.rlike(CONTRARIAN), 2) + point(t.rlike(TRANSITION), 1)).otherwise(point(t.rlike(ENGLISH), 3))
+        insight = F.when(cn, point(t.rlike(quick(INSIGHT)), 3) + point(t.rlike(quick(CONTRARIAN)), 2) + point(t.rlike(quick(TRANSITION)), 1)).otherwise(point(t.rlike(ENGLISH), 3))
         total = (
             F.when(source.isin("bold", "blockquote"), 3).when(source == "description", 2).otherwise(0) + insight + point(t.rlike(NUMBERS), 2)
             + F.when(n.between(25, 80), 2).when(n.between(18, 24) | n.between(81, 120), 1).otherwise(0)
             + point((position <= 0.2) | (position >= 0.8), 2) + point(t.rlike(r"[。！？.!][ ]*$"), 1) - point(t.rlike(RESIDUE), 3)
         )
-        no_quote = hard_reject(t) | (n < 12) | (n > 220) | (~cn & ~has_english_sentence(t))
+        no_quote = (n < 12) | (n > 220) | (~cn & ~has_english_sentence(t)) | hard_reject(t)
         return F.when(no_quote, -99).otherwise(total)
 
     return let(compact(text), score)
@@ -123,7 +123,11 @@ def quotes(text: Column, limit: int = 3, least: int = 6) -> Column:
 
 
 def questions(clean: Column, limit: int = 5) -> Column:
-    found = F.regexp_extract_all(clean, F.lit(r"Q[0-9]+[：:][^\n]|[^。！？!?\n]{8,80}+[？?]"), F.lit(0))
+    asking = F.filter(lines(clean), lambda x: x.contains("?") | x.contains("？"))  # no match leaves its line
+    numbered = lambda x: F.regexp_extract_all(x, F.lit(r"Q[0-9]+[：:][^\n]|[^。！？!?\n]{8,80}+[？?]"), F.lit(0))
+    # without such a number, a match is the end of what stands before a mark, of 80 characters at most
+    plain = lambda x: F.transform(F.filter(F.regexp_extract_all(x, F.lit(r"[^。！？!?\n]++[？?]"), F.lit(0)), lambda q: F.length(q) >= 9), lambda q: F.right(q, F.lit(81)))
+    found = F.flatten(F.transform(asking, lambda x: F.when(x.rlike("Q[0-9]+[：:]"), numbered(x)).otherwise(plain(x))))
     ok = F.filter(F.transform(found, compact), lambda q: ~is_noise_line(q) & ~any_of(q.startswith(x) for x in STARTS) & q.rlike("[？?]") & ~q.rlike(r"^[0-9]+[.)、][ \t]*[^：:]{1,20}[：:][^\n]+[？?]"))
     return F.slice(F.array_distinct(ok), 1, limit)
 
@@ -133,9 +137,9 @@ def steps(text: Column, limit: int = 8) -> Column:
     body = strip_frontmatter(text)
     plain = lambda x: compact(F.regexp_replace(F.regexp_replace(x, "(?is)<iframe.*?</iframe>", " "), "<[^>]+>", " "))
     raw = F.filter(F.transform(lines(body), lambda x: F.btrim(x)), lambda x: (x != "") & ~is_skill_noise_line(x) & ~x.rlike("(?i)^(?:tags|author|source|published|created|description):"))
-    raw = F.filter(raw, lambda x: x.rlike(r"^(?:[0-9]+[.)、]|[-*•])[ \t]+") & x.rlike(ACTION))
+    raw = F.filter(raw, lambda x: x.rlike(r"^(?:[0-9]+[.)、]|[-*•])[ \t]+") & x.rlike(quick(ACTION)))
     listed = F.array_distinct(F.filter(F.transform(raw, plain), lambda x: F.length(x).between(12, 120)))
-    said = F.filter(F.split(F.regexp_replace(body, S + "+", " "), "[。！？!?][ ]*"), lambda x: x.rlike(STEP_HINT))
+    said = F.filter(F.split(F.regexp_replace(body, S + "+", " "), "[。！？!?][ ]*"), lambda x: x.rlike(quick(STEP_HINT)))
     said = F.array_distinct(F.filter(F.transform(said, plain), lambda x: F.length(x).between(12, 140)))
     return let(listed, lambda x: F.slice(F.when(F.size(x) > 0, x).otherwise(said), 1, limit))
 
@@ -167,8 +171,7 @@ def author(text: Column) -> Column:
 def summary(text: Column, clean: Column) -> Column:
     """struct(description, concise, fallback, core)."""
     concise = F.left(compact(F.regexp_extract(clean, r"(?s)精简文案版（200[^）]*）[：:]?[ \t\n]*(.+?)(?:\n###|\n---|$)", 1)), F.lit(400))
-    whole = compact(clean)
-    fallback = F.when((F.length(whole) >= 40) & ~whole.startswith("#") & ~is_noise_line(whole), F.left(whole, F.lit(400))).otherwise("")
+    fallback = let(compact(clean), lambda w: F.when((F.length(w) >= 40) & ~w.startswith("#") & ~is_noise_line(w), F.left(w, F.lit(400))).otherwise(""))
     return let(F.struct(description(text).alias("d"), concise.alias("c"), fallback.alias("f")), lambda x: F.struct(x["d"].alias("description"), x["c"].alias("concise"), x["f"].alias("fallback"), F.when(x["d"] != "", x["d"]).when(x["c"] != "", x["c"]).otherwise(x["f"]).alias("core")))
 
 
@@ -177,7 +180,7 @@ def core_thesis(text: Column, clean: Column) -> Column:
     first = compact(first_sentence(description(text)))
 
     def from_body(s: Column) -> Column:
-        strong = F.filter(s, lambda x: x.rlike(INSIGHT) | x.rlike(METHOD))
+        strong = F.filter(s, lambda x: x.rlike(quick(INSIGHT)) | x.rlike(quick(METHOD)))
         return F.left(F.coalesce(F.get(strong, F.lit(0)), F.get(s, F.lit(0)), F.lit("")), F.lit(160))
 
     body = let(F.filter(split_sentences(clean), lambda x: ~is_noise_line(x) & ~x.rlike(COMMENT)), from_body)

@@ -119,8 +119,9 @@ def _content_type(hay: Column, plain_name: Column, taxonomy: dict) -> Column:
         for k in meta["keywords"]:
             titled = titled + (hay.contains(plain(k)) & plain_name.contains(plain(k))).cast("int")
         rows.append(F.struct((2 * n + 2 * titled + F.lit(float(meta.get("priority", 1.0)))).alias("score"), n.alias("h"), F.lit(ctype).alias("type")))
+    none = F.struct(F.lit("待判断").alias("type"), F.lit(0).alias("score"))
     best = F.get(F.sort_array(F.filter(F.array(*rows), lambda x: x["h"] > 0), asc=False), F.lit(0))
-    out = F.when(best.isNotNull(), F.struct(best["type"].alias("type"), F.bround(best["score"], 0).cast("int").alias("score"))).otherwise(F.struct(F.lit("待判断").alias("type"), F.lit(0).alias("score")))
+    out = let(best, lambda x: F.when(x.isNotNull(), F.struct(x["type"].alias("type"), F.bround(x["score"], 0).cast("int").alias("score"))).otherwise(none))
     for rule in reversed(taxonomy.get("typeShortcuts", [])):
         fits = F.lit(True)
         for k in rule.get("all", []):

@@ -41,6 +41,12 @@ def any_of(tests) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def quick(words: str) -> str:
+    """An alternation behind a look at the next character: the same matches, tried only where one can begin."""
+    firsts = "".join(dict.fromkeys(w[0] for w in words.split("|")))
+    return f"(?=[{firsts}])(?:{words})"
+
+
 def normalize(text: Column) -> Column:
     """Lower case, with ｜ _ - as spaces."""
     return F.translate(F.lower(text), "｜_-", "   ")

@@ -59,9 +59,21 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~ignored(F.col("path"))).select("path", name.alias("name"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
 
 
+#: A table of up to so many bytes in fewer files than there are cores is dealt over them.
+SPREAD_BYTES = 1 << 28
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A small one, whose files (often with one row group) would leave most cores without a task, is dealt
+    over all cores, as work on texts is bound by them; a large one is split where it lies."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A documents table as notes: (doc_id, name, path, bucket, layer, mtime, text)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, f"{sf_dir}/documents.parquet")
     layer = reduce(lambda c, kv: c.when(F.col("doc_id") % 4 == kv[0], kv[1]), enumerate(LAYERS[:3]), F).otherwise(LAYERS[3])
     return docs.select(
         "doc_id",
@@ -96,5 +108,5 @@ def markdown_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clippings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pages table as clippings: (page_id, name, url, text)."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, f"{sf_dir}/pages.parquet")
     return pages.select("page_id", F.concat(F.lit("page_"), "page_id").alias("name"), "url", F.col("html").alias("text"))
