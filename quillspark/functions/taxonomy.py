@@ -1,7 +1,8 @@
 """A configurable taxonomy, compiled to column expressions.
 
 A taxonomy is a dict: contentTypes {name: {keywords, asset, priority}}, typeShortcuts [{type, score, all,
-any}], tagRules, themes and bridges {name: [..]}, domainRules [{idea_contains, idea_regex, clip_regex,
+any}], tagRules, themes and bridges {name: [..]}, themeTexts {theme: {asset, next}} (what a theme's notes are good for, and what to do
+with them), domainRules [{idea_contains, idea_regex, clip_regex,
 score}]. User files are merged into a base deeply. Matching is by literal substring of normalised text.
 """
 

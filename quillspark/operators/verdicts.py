@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import TRIM
+from quillspark.shared import store
 
 
 def cache_key(purpose: str, version: str, model: str, content: Column) -> Column:
@@ -18,17 +20,35 @@ def misses(items: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def batches(items: DataFrame, group: str, order: str, size: Column, most: int = 8, chars: int = 12_000, overhead: int = 64) -> DataFrame:
-    """(group, batch, order) by greedy packing in order: a new batch begins where the next item would pass
-    a limit. A group is packed in one place, so give groups of bounded size."""
-    rows = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), (size + overhead).cast("long").alias("s")))).alias("l"))
-    empty = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<o:bigint,b:int>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= most) | (acc["c"] + x["s"] > chars))
-        b = acc["b"] + full.cast("int")
-        return F.struct(b.alias("b"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["s"]).otherwise(acc["c"] + x["s"]).alias("c"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), b.alias("b")))).alias("out"))
-
-    return rows.select(group, F.explode(F.aggregate("l", empty, add)["out"]).alias("x")).select(group, F.col("x.b").alias("batch"), F.col("x.o").alias(order))
+    """(group, batch, order) by greedy packing in order: a new batch begins where the next item would pass a limit.
+
+    An item's batch, if it began one, would end within the next `most` items, which are gathered for it. So each item has a
+    next start; the starts that are reached from a group's first item are found by pointer doubling, in as many rounds as
+    the number of batches has binary digits. Every step is a join or an aggregation on (group, position), so that a group
+    of any length is spread over all tasks; only its positions are numbered by one sorted pass. Orders are unique in a
+    group; a null group is a group.
+    """
+    w = W.partitionBy(group)
+    rows = items.select(group, order, (size + overhead).cast("long").alias("_s")).withColumns({"_i": F.row_number().over(w.orderBy(order)).cast("long")})
+    rows = store(rows.withColumn("_g", F.xxhash64(F.col(group).cast("string"), F.col(group).isNull())), "items")
+    ahead = rows.select(F.col("_g").alias("g"), F.col("_i").alias("i"), F.col("_s").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("k"))
+    lists = ahead.where(F.col("i") > F.col("k")).groupBy("g", (F.col("i") - F.col("k")).alias("i")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("l"))
+    fits = F.aggregate("l", F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("c"), F.lit(False).alias("full")), lambda a, x: F.struct((a["n"] + F.when(a["full"] | ((a["n"] > 0) & (a["c"] + x > chars)), 0).otherwise(1)).alias("n"), (a["c"] + x).alias("c"), (a["full"] | ((a["n"] > 0) & (a["c"] + x > chars))).alias("full")), lambda a: a["n"])
+    jump = store(lists.select("g", "i", (F.col("i") + fits).alias("to"), F.lit(1).cast("long").alias("far")), "jumps")
+    ends = jump.groupBy("g").agg(F.max("i").alias("last"))
+    reached = store(ends.select("g", F.lit(1).cast("long").alias("i"), F.lit(0).cast("long").alias("batch")), "starts")
+    while True:
+        onward = reached.join(jump, ["g", "i"]).select("g", F.col("to").alias("i"), (F.col("batch") + F.col("far")).alias("batch"))
+        fresh = store(onward.join(ends, "g").where("i <= last").drop("last"), "fresh")
+        if fresh.isEmpty():
+            break
+        reached = store(reached.unionByName(fresh), "starts")
+        far = jump.select("g", F.col("i").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
+        jump = store(jump.join(far, ["g", "to"]).select("g", "i", F.col("to2").alias("to"), (F.col("far") + F.col("far2")).alias("far")), "jumps")
+    starts = reached.join(store(lists.select("g", "i", fits.alias("n")), "lengths"), ["g", "i"])
+    each = starts.select("g", F.col("batch").cast("int").alias("batch"), F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("i"))
+    each = each.select(F.col("g").alias("_g"), F.col("i").alias("_i"), F.col("batch").alias("_b"))
+    return rows.join(each, ["_g", "_i"]).select(group, F.col("_b").alias("batch"), order)
 
 
 def backfill(rows: DataFrame, verdicts: DataFrame, key: str, column: str, unclear: Column) -> DataFrame:
@@ -57,6 +77,11 @@ def allowed_labels(proposed: Column, allowed: list[str], fallback: Column) -> Co
     return F.when(F.size(ok) > 0, ok).otherwise(fallback)
 
 
+def proposals(proposed: Column, limit: int = 2) -> Column:
+    """The first new labels that a model proposes, without nulls and blank ones."""
+    return F.slice(F.filter(proposed, lambda x: F.btrim(x, F.lit(TRIM)) != ""), 1, limit)
+
+
 def json_block(reply: Column) -> Column:
     """The JSON of a reply: the whole, a fenced block, or what stands between its outer braces."""
     fenced = F.regexp_extract(reply, r"(?s)```(?:json)?[ \t]*\n?(.*?)```", 1)

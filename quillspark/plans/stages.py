@@ -27,11 +27,13 @@ def daily(new: DataFrame, taxonomy: dict) -> dict[str, DataFrame]:
     n = new.withColumn("text", F.left("text", F.lit(12000)))
     n = n.withColumn("clean", text.clean_text(F.col("text"))).withColumn("hay", _hay("clean"))
     themes = tx.themes(F.col("hay"), taxonomy)
-    assets = F.create_map(*(F.lit(x) for k in taxonomy["themes"] for x in (k, f"{k} notes"))) if taxonomy["themes"] else F.create_map()
+    told = taxonomy.get("themeTexts", {})
+    texts = lambda what, other: F.create_map(*(F.lit(x) for k in taxonomy["themes"] for x in (k, told.get(k, {}).get(what) or other(k)))) if taxonomy["themes"] else F.create_map()
+    assets, following = texts("asset", lambda k: f"{k} notes"), texts("next", lambda k: f"next: {k}")
     first = F.get(F.col("themes"), F.lit(0))
     flow, plan = F.col("hay").rlike("步骤|流程|prompt|提示词|工作流|教程|指南"), F.col("hay").rlike("账号|选题|视频|栏目|创意")
     asset = F.when(flow, "Skill 候选 / 工作流").when((F.col("bucket") == IDEAS) & plan, "输出选题 / 内容企划").when(first.isNotNull(), assets[first]).otherwise("暂存观察")
-    action = F.when(first.isNotNull(), F.concat(F.lit("next: "), first)).when(F.col("bucket") == IDEAS, "补充：为什么重要、目标受众、下一步动作。").otherwise("先判断是否值得提炼：核心观点、可复用方法、是否关联当前项目。")
+    action = F.when(first.isNotNull(), following[first]).when(F.col("bucket") == IDEAS, "补充：为什么重要、目标受众、下一步动作。").otherwise("先判断是否值得提炼：核心观点、可复用方法、是否关联当前项目。")
     items = n.withColumn("themes", themes)
     items = items.select("path", "name", "bucket", "mtime", "themes", asset.alias("asset"), action.alias("action"), text.preview(F.col("clean")).alias("preview"), spans.bullets(F.col("text")).alias("bullets"), tx.categories(F.col("hay"), taxonomy).alias("categories"), F.md5("text").alias("hash"))
     counts = items.select(F.explode("themes").alias("theme")).groupBy("theme").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "theme").limit(5)

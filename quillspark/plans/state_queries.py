@@ -108,9 +108,14 @@ def llm_cache_keys(spark, d):
     return docs.select(verdicts.cache_key("s1", "v1", "m", F.col("text")).alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT source, doc_id, coalesce(length(text), 0) + 64 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+b AS (SELECT source, i, 0 AS batch, 1 AS n, s AS c FROM d WHERE i = 1
+ UNION ALL SELECT d.source, d.i, CASE WHEN b.n >= 8 OR b.c + d.s > 12000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.n >= 8 OR b.c + d.s > 12000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 8 OR b.c + d.s > 12000 THEN d.s ELSE b.c + d.s END FROM b JOIN d ON d.source IS NOT DISTINCT FROM b.source AND d.i = b.i + 1)
+SELECT d.source, batch, doc_id FROM b JOIN d ON d.source IS NOT DISTINCT FROM b.source AND d.i = b.i"""
+)
 def llm_batches(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", F.length("text").alias("n"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     return verdicts.batches(docs, "source", "doc_id", F.col("n"))
 
 
@@ -154,9 +159,17 @@ def stream_staleness(spark, d):
     return ev.staleness(spark.read.parquet(f"{d}/events.parquet"), F.lit("2024-02-03"))
 
 
-@query()
+_STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+i AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM e WHERE ts IS NOT NULL)
+SELECT user_id, strftime(min(ts), {_STAMP}) AS start, strftime(max(ts) + INTERVAL 30 MINUTE, {_STAMP}) AS "end", count(*) AS n FROM i GROUP BY user_id, nth"""
+)
 def stream_sessions(spark, d):
-    return ev.sessions(spark.read.parquet(f"{d}/events.parquet"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return ev.sessions(spark.read.parquet(f"{d}/events.parquet")).select("user_id", stamp("start"), stamp("end"), "n")
 
 
 @query()

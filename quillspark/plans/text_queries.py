@@ -55,6 +55,14 @@ def src_published(spark, d):
     return src.notes(spark, d).where("layer = 'output'").select("path", "mtime", F.octet_length("text").cast("long").alias("bytes")).orderBy(F.desc("mtime"), "path")
 
 
+@query(f"WITH {sql.NOTES} SELECT count(*) AS n, sum(strlen(text))::BIGINT AS bytes, strftime(min(mtime), '%Y-%m-%d') AS first_day, strftime(max(mtime), '%Y-%m-%d') AS last_day FROM notes WHERE layer = 'output'")
+def agg_published_total(spark, d):
+    """Published notes in one row: number, bytes, first and last day."""
+    p = src.notes(spark, d).where("layer = 'output'")
+    day = lambda c, name: F.date_format(c, "yyyy-MM-dd").alias(name)
+    return p.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), day(F.min("mtime"), "first_day"), day(F.max("mtime"), "last_day"))
+
+
 @query(f"WITH {sql.NOTES} SELECT doc_id, left(text, 12000) AS head FROM notes")
 def src_truncated(spark, d):
     return src.notes(spark, d).select("doc_id", F.left("text", F.lit(12000)).alias("head"))
@@ -119,12 +127,15 @@ def txt_counts(spark, d):
     )
 
 
+_FRONTED = "SELECT page_id, regexp_replace(CASE WHEN page_id % 3 = 0 THEN 'x' || chr(10) || '---' || chr(10) || 'title: a title that is long enough' || chr(10) || chr(10) || '---' || html ELSE html END, '---.*?---', ' ', 's') AS html FROM pages"
 _PARA = f"list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\n[ \\t\\x0b\\f\\r]*\\n'), lambda p: {sql.compact('p')}), lambda p: length(p) > 30)"
 
 
-@query(f"SELECT page_id, left(coalesce({_PARA}[1], {sql.compact(chr(114) + 'egexp_replace(html, ' + sql.lit('<[^>]+>') + ', ' + sql.lit(' ') + ', ' + sql.lit('g') + ')')}), 600) AS para FROM pages WHERE html NOT LIKE '%---%'")
+@query(f"SELECT page_id, left(coalesce({_PARA}[1], {sql.compact(chr(114) + 'egexp_replace(html, ' + sql.lit('<[^>]+>') + ', ' + sql.lit(' ') + ', ' + sql.lit('g') + ')')}), 600) AS para FROM ({_FRONTED})")
 def txt_first_paragraph(spark, d):
-    return src.clippings(spark, d).where(~F.col("text").contains("---")).select("page_id", text.first_paragraph(F.col("text")).alias("para"))
+    """Pages, a third of them with a block between --- lines, which is left out."""
+    block = F.concat(F.lit("x\n---\ntitle: a title that is long enough\n\n---"), "text")
+    return src.clippings(spark, d).withColumn("text", F.when(F.col("page_id") % 3 == 0, block).otherwise(F.col("text"))).select("page_id", text.first_paragraph(F.col("text")).alias("para"))
 
 
 @query(f"WITH {sql.MARKDOWN} SELECT doc_id, md5({sql.clean_content('text')}) AS content_hash, left(md5(left(text, 12000)), 12) AS short FROM notes")

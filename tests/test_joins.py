@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.functions import taxonomy as tx
-from quillspark.operators import containment, similarity
+from quillspark.operators import containment, similarity, verdicts
 
 NASTY = ["", "a", "ab", "abc", "aaaa", "漢字", "漢", "x😀y", "😀", "the cat", "cat", None, "ca", "t", "at s"]
 
@@ -60,3 +61,18 @@ def test_top_links_without_rows(spark):
     c, i = link_tables(spark, 4)
     assert similarity.top_links(c.limit(0), i, tx.SAMPLE, 3).count() == 0
     assert similarity.top_links(c, i.limit(0), tx.SAMPLE, 3).count() == 0
+
+
+def test_batches_follow_one_another(spark):
+    rng = random.Random(3)
+    items = [(g, i, rng.choice([0, 100, 1500, 3000, 11_936, 20_000])) for g in ("a", "b", None, "hot") for i in range(300 if g == "hot" else rng.randrange(1, 30))]
+    got = verdicts.batches(spark.createDataFrame(items, "g string, k long, n int"), "g", "k", F.col("n")).collect()
+    want, last = [], {}
+    for g, k, n in items:
+        b, count, size = last.get(g, (0, 0, 0))
+        b, count, size = (b + 1, 1, n + 64) if count and (count >= 8 or size + n + 64 > 12_000) else (b, count + 1, size + n + 64)
+        last[g] = b, count, size
+        want.append((g, b, k))
+    assert Counter(tuple(r) for r in got) == Counter(want)
+    p = spark.createDataFrame([(["a", " ", None, "b", "c"],), ([],), (None,)], "p array<string>").select(verdicts.proposals(F.col("p")).alias("p"))
+    assert [r["p"] for r in p.collect()] == [["a", "b"], [], None]
