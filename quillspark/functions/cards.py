@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of the dimensions, and labels of the fields with the names of their gaps.
@@ -47,5 +47,10 @@ def card(text: Column, name: Column) -> Column:
     )
 
 
+def collect(notes: DataFrame) -> DataFrame:
+    """The notes (name, text, ..) that are cards, in the order of their names, with what their texts say in a column card."""
+    return notes.where(is_card(F.col("name"))).withColumn("card", card(F.col("text"), F.col("name"))).orderBy("name")
+
+
 def is_card(name: Column) -> Column:
     return name.startswith("EVAL_")

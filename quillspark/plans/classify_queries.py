@@ -350,20 +350,43 @@ def cls_skill_fields(spark, d):
     return n.select("doc_id", "a.*", "b.*")
 
 
-@query("SELECT doc_id, doc_id % 6 AS yes, CASE WHEN doc_id % 6 >= 4 THEN 'red' WHEN doc_id % 6 >= 2 THEN 'yellow' ELSE 'green' END AS conclusion FROM documents")
-def cls_skill_conclusion(spark, d):
-    yes = F.col("doc_id") % 6
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", yes.alias("yes"), scoring.conclusion(yes).alias("conclusion"))
+def card_texts(spark, d):
+    """A card for each document, with fields that are filled in, open or missing by its id."""
+    i = F.col("doc_id")
+    field = lambda label, k: F.when(F.floor(i / k) % 3 == 0, "").otherwise(F.concat(F.lit(f"- **{label}**：" + ("3 步 " if label == "关键动作数" else "")), F.when(F.floor(i / k) % 3 == 1, "待补充").otherwise("known"), F.lit("\n")))
+    dims = [F.concat(F.lit(f"| {label} | "), F.when(i % k == 0, "✅").otherwise("❌"), F.lit(" | why | 原文抽取 |\n")) for k, label in enumerate(cards_.DIMENSIONS, 2)]
+    fields = [field(label, k) for k, label in enumerate([*cards_.SITUATION_FIELDS, *cards_.FORM_FIELDS], 1)]
+    todos = F.repeat(F.lit("- [ ] todo\n- [x] did\nplain\n"), (i % 4).cast("int"))
+    text = F.concat(
+        F.when(i % 5 == 0, F.lit("no heading\n")).otherwise(F.concat(F.lit("# EVAL："), "name", F.lit("\n"))), F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("评估结论："), F.when(i % 3 == 0, "🔴").when(i % 3 == 1, "🟡").otherwise("🟢"), F.lit(" ("), (i % 6).cast("string"), F.lit("/5 项 ✅)\n"))),
+        *dims, *fields, F.lit("## 4\ufe0f\u20e3 Gap 清单\n"), todos, F.lit("\n## 5 end\n- [ ] not a gap\n"),
+    )
+    return src.notes(spark, d).select("doc_id", "name", text.alias("text"))
+
 
+def _gap_sql(fields: dict, start: int) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN (doc_id // {k}) % 3 < 2 THEN {sql.lit(v)} END" for k, v in enumerate(fields.values(), start)) + "], lambda x: x IS NOT NULL), '|')"
 
-_CARD = "c AS (SELECT doc_id, doc_id % 6 AS yes, CASE WHEN doc_id % 6 >= 4 THEN 'red' WHEN doc_id % 6 >= 2 THEN 'yellow' ELSE 'green' END AS conclusion, (doc_id // 6) % 6 AS s2, (doc_id // 36) % 7 AS s3, (doc_id // 7) % 5 AS todos FROM documents), v AS (SELECT *, CASE WHEN conclusion = 'green' OR yes <= 1 THEN 0 WHEN yes = 2 THEN 1 WHEN 6 - s3 < 2 THEN 2 WHEN 5 - s2 < 3 OR todos >= 3 THEN 3 WHEN todos >= 1 THEN 4 ELSE 5 END AS level FROM c)"
+
+_GAPS_OF = lambda fields, start: "(" + " + ".join(f"((doc_id // {k}) % 3 < 2)::INT" for k, _ in enumerate(fields, start)) + ")"
+_PARSED = (
+    "SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 3 = 2 THEN 'green' WHEN doc_id % 3 = 0 THEN 'red' ELSE 'yellow' END AS conclusion, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 6 END AS yes, "
+    f"{_GAPS_OF(cards_.SITUATION_FIELDS, 1)} AS s2, {_GAPS_OF(cards_.FORM_FIELDS, 6)} AS s3, CASE WHEN (doc_id // 9) % 3 = 0 THEN 0 ELSE 3 END AS step_count, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 2 * (doc_id % 4) END AS todos FROM documents"
+)
+_CARD = f"c AS ({_PARSED}), v AS (SELECT *, CASE WHEN conclusion = 'green' OR yes <= 1 THEN 0 WHEN yes = 2 THEN 1 WHEN 6 - s3 < 2 THEN 2 WHEN 5 - s2 < 3 OR todos >= 3 THEN 3 WHEN todos >= 1 THEN 4 ELSE 5 END AS level FROM c)"
 
 
 def cards(spark, d):
-    i = F.col("doc_id")
-    c = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (i % 6).alias("yes"), (F.floor(i / 6) % 6).alias("s2"), (F.floor(i / 36) % 7).alias("s3"), (F.floor(i / 7) % 5).alias("todos"))
-    c = c.withColumn("conclusion", scoring.conclusion(F.col("yes")))
-    return c.withColumn("level", scoring.card_level(F.col("conclusion"), F.col("yes"), F.col("s2"), F.col("s3"), F.col("todos")))
+    """Cards parsed from their texts, with levels."""
+    c = card_texts(spark, d).select("doc_id", cards_.card(F.col("text"), F.col("name")).alias("c"))
+    level = scoring.card_level(F.col("c.conclusion"), F.col("c.yes_count"), F.size("c.situation_gaps"), F.size("c.form_gaps"), F.size("c.todos"))
+    return c.select("doc_id", "c.*", level.alias("level"))
+
+
+@query(f"WITH {_CARD} SELECT doc_id, yes, CASE WHEN yes >= 4 THEN 'red' WHEN yes >= 2 THEN 'yellow' ELSE 'green' END AS conclusion, conclusion AS written FROM v")
+def cls_skill_conclusion(spark, d):
+    """The conclusion that a card's number of signs leads to, beside the one it states."""
+    return cards(spark, d).select("doc_id", F.col("yes_count").alias("yes"), scoring.conclusion(F.col("yes_count")).alias("conclusion"), F.col("conclusion").alias("written"))
 
 
 @query(f"WITH {_CARD} SELECT doc_id, level FROM v")
@@ -379,25 +402,7 @@ def agg_card_levels(spark, d):
 
 @query(f"WITH {_CARD} SELECT conclusion, count(*) AS n FROM v WHERE yes >= 2 GROUP BY conclusion")
 def agg_card_index(spark, d):
-    return cards(spark, d).where("yes >= 2").groupBy("conclusion").agg(F.count("*").alias("n"))
-
-
-def card_texts(spark, d):
-    """A card for each document, with fields that are filled in, open or missing by its id."""
-    i = F.col("doc_id")
-    field = lambda label, k: F.when(F.floor(i / k) % 3 == 0, "").otherwise(F.concat(F.lit(f"- **{label}**：" + ("3 步 " if label == "关键动作数" else "")), F.when(F.floor(i / k) % 3 == 1, "待补充").otherwise("known"), F.lit("\n")))
-    dims = [F.concat(F.lit(f"| {label} | "), F.when(i % k == 0, "✅").otherwise("❌"), F.lit(" | why | 原文抽取 |\n")) for k, label in enumerate(cards_.DIMENSIONS, 2)]
-    fields = [field(label, k) for k, label in enumerate([*cards_.SITUATION_FIELDS, *cards_.FORM_FIELDS], 1)]
-    todos = F.repeat(F.lit("- [ ] todo\n- [x] did\nplain\n"), (i % 4).cast("int"))
-    text = F.concat(
-        F.when(i % 5 == 0, F.lit("no heading\n")).otherwise(F.concat(F.lit("# EVAL："), "name", F.lit("\n"))), F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("评估结论："), F.when(i % 3 == 0, "🔴").when(i % 3 == 1, "🟡").otherwise("🟢"), F.lit(" ("), (i % 6).cast("string"), F.lit("/5 项 ✅)\n"))),
-        *dims, *fields, F.lit("## 4\ufe0f\u20e3 Gap 清单\n"), todos, F.lit("\n## 5 end\n- [ ] not a gap\n"),
-    )
-    return src.notes(spark, d).select("doc_id", "name", text.alias("text"))
-
-
-def _gap_sql(fields: dict, start: int) -> str:
-    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN (doc_id // {k}) % 3 < 2 THEN {sql.lit(v)} END" for k, v in enumerate(fields.values(), start)) + "], lambda x: x IS NOT NULL), '|')"
+    return cards(spark, d).where("yes_count >= 2").groupBy("conclusion").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -409,10 +414,18 @@ def cls_card_fields(spark, d):
     return c.select("doc_id", "c.title", "c.conclusion", "c.yes_count", "c.status.reusable", F.array_join("c.situation_gaps", "|").alias("situation_gaps"), F.array_join("c.form_gaps", "|").alias("form_gaps"), "c.step_count", F.size("c.todos").alias("n_todos"))
 
 
-@query()
+_OPEN = lambda name: f"(doc_id // {6 + list(cards_.FORM_FIELDS.values()).index(name)}) % 3 < 2"
+_ACTIONS = (
+    ("level = 5", "✅ 已就绪：可提交 skill_workshop 或转成正式 Skill。"), ("level <= 1 AND conclusion = 'green'", "先判断「继续投入价值」：低价值想法可归档，不必强行升 Level。"),
+    ("level <= 1 AND conclusion <> 'green'", "确认这是不是「一次性观察」——若能预见未来会再遇同类需求，才继续升级。"), ("level <= 2", "把可复用性/输入稳定性写清楚，或用一次真实执行补足证据。"),
+    (f"level <= 3 AND {_OPEN('输入')}", "明确 Skill 输入：需要什么材料/参数？"), (f"level <= 3 AND {_OPEN('输出')}", "明确 Skill 输出：产物形式是什么？"), (f"level <= 3 AND {_OPEN('工具/账号')}", "列出必需的工具、API、账号权限。"),
+    (f"level <= 3 AND {_OPEN('步骤')} AND step_count < 3", "补充 ≥3 个明确编号步骤。"), ("level = 4", "补齐后跑一次真实场景，把结果作为 Level 5 的「验证证据」。"),
+)
+
+
+@query(f"WITH {_CARD} SELECT doc_id, coalesce(nullif(array_to_string(list_filter([{', '.join(f'CASE WHEN {test} THEN {sql.lit(said)} END' for test, said in _ACTIONS)}], lambda x: x IS NOT NULL), '|'), ''), '继续把下一 Level 需要的条件补齐。') AS actions FROM v")
 def cls_card_actions(spark, d):
-    missing = F.when(F.col("s3") > 2, F.array(F.lit("输入"), F.lit("工具"))).otherwise(F.array(F.lit("输出")))
-    return cards(spark, d).select("doc_id", F.array_join(scoring.card_actions(F.col("level"), F.col("conclusion"), missing, F.col("todos")), "|").alias("actions"))
+    return cards(spark, d).select("doc_id", F.array_join(scoring.card_actions(F.col("level"), F.col("conclusion"), F.col("form_gaps"), F.col("step_count")), "|").alias("actions"))
 
 
 def _platform_sql(c: str) -> str:

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import cards
 from quillspark.functions import taxonomy as tx
 from quillspark.operators import containment, similarity, verdicts
 
@@ -76,3 +77,9 @@ def test_batches_follow_one_another(spark):
     assert Counter(tuple(r) for r in got) == Counter(want)
     p = spark.createDataFrame([(["a", " ", None, "b", "c"],), ([],), (None,)], "p array<string>").select(verdicts.proposals(F.col("p")).alias("p"))
     assert [r["p"] for r in p.collect()] == [["a", "b"], [], None]
+
+
+def test_cards_are_collected_by_name(spark):
+    rows = [("EVAL_b", "评估结论：🔴 (4/5 项 ✅)"), ("b", "评估结论：🔴"), ("EVAL_a", "# EVAL：title\n- [ ] x"), ("EVAL", ""), ("xEVAL_c", "")]
+    got = cards.collect(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert [(r["name"], r["card"]["conclusion"], r["card"]["yes_count"]) for r in got] == [("EVAL_a", "green", 0), ("EVAL_b", "red", 4)]
