@@ -6,6 +6,8 @@ the last version, and published only after the results are written: reruns repea
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException as SparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +51,19 @@ def last_run(state: DataFrame) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str, schema: str = EMPTY_STATE) -> DataFrame:
-    """The newest version under a folder; an empty table if there is none."""
+    """The newest whole version under a folder; an empty table if there is none. A version that was not finished, or of which a
+    file cannot be read, counts for nothing."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     versions = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    found = sorted(v for v in versions if v.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/_SUCCESS")))
-    return spark.read.schema(schema).parquet(f"{path}/{found[-1]}") if found else spark.createDataFrame([], schema)
+    for v in sorted((v for v in versions if v.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/_SUCCESS"))), reverse=True):
+        found = spark.read.schema(schema).parquet(f"{path}/{v}")
+        try:
+            found.write.format("noop").mode("overwrite").save()
+        except (SparkException, Py4JJavaError):  # a damaged file
+            continue
+        return found
+    return spark.createDataFrame([], schema)
 
 
 def publish(state: DataFrame, path: str, version: int) -> None:
@@ -123,3 +132,27 @@ def resolve_pending(queue: DataFrame, classified: DataFrame, other: str) -> Data
     """The queue without those that have since found a type."""
     done = classified.where(~F.array_contains("categories", other)).select("path")
     return queue.join(done, "path", "left_anti")
+
+
+def write_changed(rows: DataFrame, path: str, key: str, buckets: int = 64) -> list[int]:
+    """Bring a stored table up to date, and give the buckets that were written.
+
+    Keys are dealt into buckets, one folder each. A bucket is compared by its number of rows and a digest of all their
+    cells; only those that differ (with new, changed or removed keys, or with files that are gone) are written, by dynamic
+    partition overwrite. An unchanged table is not touched. The buckets' digests are all that reaches the driver.
+    """
+    spark = rows.sparkSession
+    dealt = rows.withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    digest = lambda df: {r["bucket_"]: (r["n"], r["a"], r["b"]) for r in df.groupBy("bucket_").agg(F.count("*").alias("n"), F.expr(f"sum(cast(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}) as decimal(38,0)))").alias("a"), F.expr(f"sum(cast(xxhash64(1, {', '.join(f'`{c}`' for c in rows.columns)}) as decimal(38,0)))").alias("b")).collect()}  # noqa: E731  a row a bucket
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(at) and any(s.getPath().getName().startswith("bucket_=") for s in fs.listStatus(at))
+    old = digest(spark.read.schema(dealt.schema).parquet(path)) if there else {}
+    new = digest(dealt)
+    differ = sorted(k for k in new if new[k] != old.get(k))
+    if differ:
+        dealt.where(F.col("bucket_").isin(differ)).repartition("bucket_").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket_").parquet(path)
+    gone = sorted(set(old) - set(new))
+    for k in gone:  # no row is left to overwrite it with
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket_={k}"), True)
+    return sorted(differ + gone)

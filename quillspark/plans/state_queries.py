@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import state, verdicts
+from quillspark.shared import shared_dir
 from quillspark.sources import notes as src
 from quillspark.streaming import events as ev
 
@@ -46,6 +49,18 @@ def state_status_counts(spark, d):
     return state.scan(after(spark, d), before(spark, d), "daily").groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query(f"{_SNAP} SELECT path, status FROM s")
+def stream_changes(spark, d):
+    """The same statuses from a stream: both snapshots arrive as files, one run of the query after the other."""
+    at = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    first = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("gone/"), "path")).otherwise(F.col("path")).alias("path")
+    for k, snapshot in enumerate((src.notes(spark, d).select(first, "mtime", "text"), after(spark, d))):
+        snapshot.withColumn("mtime", F.col("mtime").cast("timestamp")).write.mode("append").parquet(f"{at}/files")
+        found = ev.changes(spark.readStream.schema("path string, mtime timestamp, text string").parquet(f"{at}/files"))
+        ev.run_available(found, f"{at}/checkpoint", lambda df, n, k=k: df.write.mode("overwrite").parquet(f"{at}/found/run={k}/batch={n}"))
+    return spark.read.parquet(f"{at}/found/run=1").select("path", "status")
+
+
 @query(f"WITH {sql.NOTES} SELECT path FROM notes WHERE mtime >= TIMESTAMP '2024-05-01' - to_days(30)")
 def state_time_window(spark, d):
     return state.since(src.notes(spark, d), F.lit("2024-05-01").cast("timestamp_ntz"), 30).select("path")

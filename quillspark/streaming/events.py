@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from quillspark.functions.text import file_hash
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -47,3 +53,32 @@ def run_available(stream: DataFrame, checkpoint: str, write_batch) -> None:
     """Process all that is there, once; write_batch(batch, id) must be idempotent, as a batch is repeated
     after a failure. Files that were changed in place need state.scan() inside it."""
     stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+CHANGES = "path string, mtime timestamp, hash string, status string"
+
+
+def _status(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The status of a path's versions in the order of their mtime, against the last one that counted."""
+    rows = pd.concat(list(parts)).sort_values(["mtime", "hash"], kind="stable")  # of one path in one batch
+    old, found = (state.get if state.exists else None), []
+    for mtime, digest in zip(rows["mtime"], rows["hash"], strict=True):
+        at = mtime.value
+        status = "new" if old is None else "same" if at <= old[0] else "changed" if digest != old[1] else "drift"
+        if status != "same":
+            old = (at, digest)
+        found.append(status)
+    state.update(old)
+    yield pd.DataFrame({"path": key[0], "mtime": rows["mtime"].to_numpy(), "hash": rows["hash"].to_numpy(), "status": found})
+
+
+def changes(snapshots: DataFrame) -> DataFrame:
+    """A stream of files (path, mtime timestamp, text) as (path, mtime, hash, status), each against what was seen before.
+
+    status is new, changed, drift (a later mtime alone) or same, as state.scan() has it for tables. What is remembered of a path
+    is its mtime and hash, in the query's checkpoint: after a restart, or after any number of missed runs, the next
+    files are compared with the last ones that were committed. Texts are hashed where they are read. Rows without a
+    path or mtime are left out.
+    """
+    rows = snapshots.where("path is not null and mtime is not null").select("path", "mtime", file_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    return rows.groupBy("path").applyInPandasWithState(_status, CHANGES, "mtime long, hash string", "append", GroupStateTimeout.NoTimeout)
