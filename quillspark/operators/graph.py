@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import scoring, spans
@@ -97,14 +98,31 @@ def recommendations(stats: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.col(c).cast("long").alias("n")) for c in names))).alias("x")).select("x.*").where("n > 0")
 
 
+#: Lines of a report that are filled forward in one place.
+FILL_LINES = 4096
+
+
+def filled(rows: DataFrame, group: str, order: str, value: str, lines: int = FILL_LINES) -> DataFrame:
+    """rows with value, where it is null, taken from the last row above it in its group.
+
+    order is a whole number. A group is cut into blocks of that many numbers, so that one of any length uses all tasks; what a
+    block begins with is carried over from the last value of the blocks above, one row each.
+    """
+    dealt = rows.withColumn("_block", F.floor(F.col(order) / lines))
+    inside = W.partitionBy(group, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    above = W.partitionBy("_group").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    ends = dealt.groupBy(F.col(group).alias("_group"), "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
+    carry = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(above)).select("_group", F.col("_block").alias("_at"), "_carry")
+    out = dealt.withColumn(value, F.last(value, ignorenulls=True).over(inside))
+    met = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_at"))
+    return out.join(carry, met, "left").withColumn(value, F.coalesce(value, "_carry")).drop("_block", "_at", "_group", "_carry")
+
+
 def approved(lines: DataFrame) -> DataFrame:
     """(source, target, reason) of checked lines (report, pos, line), under the heading above them."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("report").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     head = F.nullif(F.btrim(F.regexp_extract(F.btrim("line"), r"^###[ \t]+\[\[(.+?)\]\]", 1)), F.lit(""))
     checked = r"^-[ \t]*\[[xX]\][ \t]*→[ \t]*\[\[(.+?)\]\][ \t]*·[ \t]*(.+)$"
-    rows = lines.withColumn("source", F.last(head, ignorenulls=True).over(w))
+    rows = filled(lines.withColumn("source", head), "report", "pos", "source")
     rows = rows.withColumns({"target": F.btrim(F.regexp_extract(F.btrim("line"), checked, 1)), "reason": F.btrim(F.regexp_extract(F.btrim("line"), checked, 2))})
     return rows.where("target <> '' and source is not null").select("report", "pos", "source", "target", "reason")
 

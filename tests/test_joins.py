@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import cards
 from quillspark.functions import taxonomy as tx
-from quillspark.operators import containment, similarity, verdicts
+from quillspark.operators import containment, graph, similarity, verdicts
 
 NASTY = ["", "a", "ab", "abc", "aaaa", "漢字", "漢", "x😀y", "😀", "the cat", "cat", None, "ca", "t", "at s"]
 
@@ -83,3 +83,14 @@ def test_cards_are_collected_by_name(spark):
     rows = [("EVAL_b", "评估结论：🔴 (4/5 项 ✅)"), ("b", "评估结论：🔴"), ("EVAL_a", "# EVAL：title\n- [ ] x"), ("EVAL", ""), ("xEVAL_c", "")]
     got = cards.collect(spark.createDataFrame(rows, "name string, text string")).collect()
     assert [(r["name"], r["card"]["conclusion"], r["card"]["yes_count"]) for r in got] == [("EVAL_a", "green", 0), ("EVAL_b", "red", 4)]
+
+
+def test_values_are_filled_across_blocks(spark):
+    rng = random.Random(9)
+    rows = [(g, i, rng.choice([None] * 9 + ["x", "y", "z"])) for g in ("a", None, "long") for i in range(500 if g == "long" else 40)]
+    got = graph.filled(spark.createDataFrame(rows, "g string, i long, v string"), "g", "i", "v", lines=16).collect()
+    want, last = [], {}
+    for g, i, v in rows:
+        last[g] = v or last.get(g)
+        want.append((g, i, last[g]))
+    assert Counter((r["g"], r["i"], r["v"]) for r in got) == Counter(want)
