@@ -33,7 +33,7 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY b) AS c
 lv(feature, low, high, times) AS (VALUES ('symbols', 50, 90, 2), ('dup_lines', 95, 99, 1), ('repeats', 95, 99, 1), ('word_length', 25, 75, 8)),
 q AS (SELECT lang, source, feature, times, min(CASE WHEN 100 * c >= low * t THEN b END) AS b1, min(CASE WHEN 100 * c >= high * t THEN b END) AS b3 FROM r JOIN lv USING (feature) GROUP BY ALL),
 u AS (SELECT *, (b1 - greatest(b1 // 32 - 1, 0) * 32 + 1) * (1 << greatest(b1 // 32 - 1, 0)) - 1 AS q1, (b3 - greatest(b3 // 32 - 1, 0) * 32 + 1) * (1 << greatest(b3 // 32 - 1, 0)) - 1 AS q3 FROM q),
-m AS (SELECT * EXCLUDE (q1), times * (q3 - q1) AS reach, CASE WHEN b1 > 0 THEN (b1 - 1 - greatest((b1 - 1) // 32 - 1, 0) * 32 + 1) * (1 << greatest((b1 - 1) // 32 - 1, 0)) ELSE 0 END AS q1 FROM u),
+m AS (SELECT *, times * (q3 - q1) AS reach FROM (SELECT * EXCLUDE (q1), CASE WHEN b1 > 0 THEN (b1 - 1 - greatest((b1 - 1) // 32 - 1, 0) * 32 + 1) * (1 << greatest((b1 - 1) // 32 - 1, 0)) ELSE 0 END AS q1 FROM u)),
 o AS (SELECT f.doc_id, max(f.v > m.q3 + m.reach OR (f.feature = 'word_length' AND f.v < m.q1 - m.reach)) AS over FROM f JOIN m ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.feature = m.feature GROUP BY f.doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(over, false) AS kept FROM b LEFT JOIN o USING (doc_id)
 """

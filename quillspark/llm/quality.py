@@ -25,7 +25,7 @@ class QualityParams:
     """min_words, repeat_percent: the base rules. fences: for each feature two percentages and how many times the distance
     of these quantiles a value may lie beyond the upper one (or, for two-sided features, below the lower one). Most documents
     have nothing of what the first three features count, so these take high quantiles, or a limit would say nothing
-    of its group. prior: documents that the sketches of the language, and of all documents, weigh in each group's."""
+    of its group. A distance spans the buckets of both quantiles, so it is never below what the sketch can tell. prior: documents that the sketches of the language, and of all documents, weigh in each group's."""
 
     min_words: int = 20
     repeat_percent: int = 30
@@ -136,7 +136,7 @@ def thresholds(sketch: DataFrame, p: QualityParams = QualityParams()) -> DataFra
     at = lambda k: F.min(F.when(100 * F.col("c") >= k * F.col("t"), F.col("b")))
     q = run.groupBy("lang", "source", "feature").agg(at(low).alias("b1"), at(high).alias("b3"))
     least = F.when(F.col("b1") > 0, bucket_top(F.col("b1") - 1) + 1).otherwise(0)  # of the bucket
-    q = q.select("lang", "source", "feature", least.alias("q1"), bucket_top(F.col("b3")).alias("q3"), (times * (bucket_top(F.col("b3")) - bucket_top(F.col("b1")))).alias("reach"))
+    q = q.select("lang", "source", "feature", least.alias("q1"), bucket_top(F.col("b3")).alias("q3"), (times * (bucket_top(F.col("b3")) - least)).alias("reach"))
     reach = F.col("reach")
     q = q.withColumn("x", F.struct(F.when(F.col("feature").isin(*p.two_sided), F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi")))
     return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == k, F.col("x"))).alias(k) for k in FEATURES))
