@@ -15,7 +15,7 @@ import time
 
 HEADLINE = (
     "txt_clean_clipping", "kw_weekly", "kw_link_tokens", "cls_multilabel", "cls_content_type", "cls_idea_scores", "agg_dups", "agg_layer_health",
-    "state_incremental", "stream_daily_window", "agg_assets", "cls_card_fields", "span_points", "cls_skill_dims", "span_quotes", "cls_quality",
+    "state_incremental", "stream_daily_window", "agg_assets", "cls_card_fields", "span_points", "cls_skill_dims", "span_quotes", "cls_quality", "sim_topk",
 )
 FIRST_ONLY = 60.0  # seconds of a first run after which it is not repeated
 
