@@ -26,6 +26,8 @@ STEP_HINT = "第一|第二|第三|步骤|流程|先|然后|最后|建立|拆解|
 STARTS = ("说明：", "注：", "页面标注", "当前页面", "本次 DOM")
 BULLET = r"^(?:[-*•]|[0-9]+[.)、])"
 POINT_LINE = r"^(?:[-*•]|[0-9]+[.)、]|第[一二三四五六七八九十]+[部分步点])"
+#: ENGLISH with words that end at ASCII letters, digits and _, as its SQL has it: Java counts letters beyond ASCII to a word.
+_ENGLISH = "(?i)(?=[artionmefdwls])" + ENGLISH.removeprefix("(?i)").replace(r"\b", "(?<![a-z0-9_])", 1).replace(r"\b", "(?![a-z0-9_])")
 
 
 def is_comment_or_meta(x: Column) -> Column:
@@ -75,7 +77,7 @@ def quote_score(text: Column, source: Column, position: Column) -> Column:
 
     def score(t: Column) -> Column:
         cn, n = has_chinese(t), F.length(t)
-        insight = F.when(cn, point(t.rlike(quick(INSIGHT)), 3) + point(t.rlike(quick(CONTRARIAN)), 2) + point(t.rlike(quick(TRANSITION)), 1)).otherwise(point(t.rlike(ENGLISH), 3))
+        insight = F.when(cn, point(t.rlike(quick(INSIGHT)), 3) + point(t.rlike(quick(CONTRARIAN)), 2) + point(t.rlike(quick(TRANSITION)), 1)).otherwise(point(t.rlike(_ENGLISH), 3))
         total = (
             F.when(source.isin("bold", "blockquote"), 3).when(source == "description", 2).otherwise(0) + insight + point(t.rlike(NUMBERS), 2)
             + F.when(n.between(25, 80), 2).when(n.between(18, 24) | n.between(81, 120), 1).otherwise(0)

@@ -123,3 +123,10 @@ def test_prompts_and_steps(spark):
 
 def test_any_of_nothing(spark):
     assert value(spark, reduce(lambda a, b: a | b, [text.any_of([])])) is False
+
+
+def test_english_words_end_at_letters_beyond_ascii(spark):
+    """As in the SQL of span_quote_scores, whose word boundaries know ASCII alone."""
+    row = spark.createDataFrame([("Cosas de la ciónlosesñ y losesñ ñlose.", "Cosas de la ciónloses y xloses nada.")], "a string, b string")
+    got = row.select(*(spans.quote_score(F.col(c), F.lit("body"), F.lit(0.5)).alias(c) for c in "ab")).first()
+    assert got["a"] - got["b"] == 3
