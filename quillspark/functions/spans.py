@@ -128,7 +128,7 @@ def questions(clean: Column, limit: int = 5) -> Column:
     asking = F.filter(lines(clean), lambda x: x.contains("?") | x.contains("？"))  # no match leaves its line
     numbered = lambda x: F.regexp_extract_all(x, F.lit(r"Q[0-9]+[：:][^\n]|[^。！？!?\n]{8,80}+[？?]"), F.lit(0))
     # without such a number, a match is the end of what stands before a mark, of 80 characters at most
-    plain = lambda x: F.transform(F.filter(F.regexp_extract_all(x, F.lit(r"[^。！？!?\n]++[？?]"), F.lit(0)), lambda q: F.length(q) >= 9), lambda q: F.right(q, F.lit(81)))
+    plain = lambda x: F.transform(F.filter(F.regexp_extract_all(x, F.lit(r"[^。！？!?\n]+[。！？!?]?"), F.lit(0)), lambda q: (q.endswith("?") | q.endswith("？")) & (F.length(q) >= 9)), lambda q: F.right(q, F.lit(81)))
     found = F.flatten(F.transform(asking, lambda x: F.when(x.rlike("Q[0-9]+[：:]"), numbered(x)).otherwise(plain(x))))
     ok = F.filter(F.transform(found, compact), lambda q: ~is_noise_line(q) & ~any_of(q.startswith(x) for x in STARTS) & q.rlike("[？?]") & ~q.rlike(r"^[0-9]+[.)、][ \t]*[^：:]{1,20}[：:][^\n]+[？?]"))
     return F.slice(F.array_distinct(ok), 1, limit)

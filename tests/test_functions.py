@@ -130,3 +130,15 @@ def test_english_words_end_at_letters_beyond_ascii(spark):
     row = spark.createDataFrame([("Cosas de la ciónlosesñ y losesñ ñlose.", "Cosas de la ciónloses y xloses nada.")], "a string, b string")
     got = row.select(*(spans.quote_score(F.col(c), F.lit("body"), F.lit(0.5)).alias(c) for c in "ab")).first()
     assert got["a"] - got["b"] == 3
+
+
+def test_questions_of_long_runs_without_a_mark(spark):
+    """A run that ends in no question mark is read once, not again from each of its characters."""
+    import time
+
+    row = spark.createDataFrame([("ab cd " * 15_000 + "。 " + "x" * 90 + "wie geht es dir denn？ abcdefgh? abcdefg? 。",)], "t string")
+    row.select(spans.questions(F.col("t"))).first()
+    start = time.time()
+    got = row.select(spans.questions(F.col("t")).alias("q")).first()["q"]
+    assert got == ["x" * 60 + "wie geht es dir denn？"]
+    assert time.time() - start < 3
