@@ -142,3 +142,24 @@ def test_questions_of_long_runs_without_a_mark(spark):
     got = row.select(spans.questions(F.col("t")).alias("q")).first()["q"]
     assert got == ["x" * 60 + "wie geht es dir denn？"]
     assert time.time() - start < 3
+
+
+@pytest.mark.parametrize("given", ["a  b", " a\n b\t", "\n\n", "a b", " ", "", "a \x0b\f\rb c", "中 文\n 字"])
+def test_white_space_runs_become_one_space(spark, given):
+    import re
+
+    assert value(spark, text.spaced(C("t")), t=given) == re.sub("[ \t\n\x0b\f\r]+", " ", given)
+
+
+def test_quick_alternations_match_as_plain_ones(spark):
+    """Words of both alphabets and digits: the same finds, in the same places."""
+    given = "步骤 skill 方法论 12分钟 3万 Skill 框架x prompt 系 系统目标"
+    for words in (scoring.ASSET, scoring.REAL_CASE, scoring.REUSABLE, spans.METHOD, spans.CONTRARIAN, *scoring.SITUATION["target_user"]):
+        find = lambda p: F.regexp_extract_all(C("t"), F.lit(p), F.lit(0))
+        assert value(spark, find(text.quick(words)), t=given) == value(spark, find(f"(?:{words})"), t=given)
+    assert "(?=[" in text.quick("步|a") and text.quick("a|步").startswith("(?:(?=[a])")
+
+
+@pytest.mark.parametrize(("given", "want"), [("a\n\n # x\n \t#y\n z \n\r\n", 2), ("", 0), ("#", 0), ("---\nk: v\n---\na\n-", 2)])
+def test_counted_lines(spark, given, want):
+    assert value(spark, text.count_lines(C("t")), t=given) == want
