@@ -9,6 +9,7 @@ from quillspark.functions import cards as cards_
 from quillspark.functions import scoring, spans, text
 from quillspark.functions import taxonomy as tx
 from quillspark.operators import containment
+from quillspark.shared import store
 from quillspark.sources import notes as src
 
 from . import sql
@@ -325,8 +326,10 @@ def agg_dups(spark, d):
 
 @query()
 def cls_skill_candidates(spark, d):
-    n = src.markdown_notes(spark, d).select("doc_id", scoring.skill_candidate_score(F.col("text")).alias("score"))
-    return n.where("score >= 3").orderBy(F.desc("score"), "doc_id")
+    """Scores are found once: a filter on them, or ranges of them that are sampled for the order, would read the texts again."""
+    score = F.filter(F.array(scoring.skill_candidate_score(F.col("text"))), lambda x: x >= 3)
+    n = store(src.markdown_notes(spark, d).select("doc_id", F.explode(score).alias("score")), "candidates")
+    return n.orderBy(F.desc("score"), "doc_id")
 
 
 @query()

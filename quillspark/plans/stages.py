@@ -78,7 +78,7 @@ def clippings(all_notes: DataFrame, taxonomy: dict) -> dict[str, DataFrame]:
 def skills(all_notes: DataFrame, min_score: int = 3) -> dict[str, DataFrame]:
     """Candidate cards: five dimensions, conclusion, gaps, situation and form."""
     t, n = F.col("text"), F.col("name")
-    c = all_notes.where("layer = 'inbox'").withColumn("score", scoring.skill_candidate_score(t)).where(F.col("score") >= min_score)
+    c = all_notes.where("layer = 'inbox'").withColumn("score", F.explode(F.filter(F.array(scoring.skill_candidate_score(t)), lambda x: x >= min_score)))
     cards = c.select("path", "name", "score", scoring.skill_dimensions(t, n).alias("dims"), scoring.skill_situation(t).alias("situation"), scoring.skill_form(t, n).alias("form"), F.substring(F.md5("text"), 1, 12).alias("content_key"))
     cards = cards.withColumn("conclusion", scoring.conclusion(F.col("dims.yes_count"))).withColumn("gaps", scoring.skill_gaps(F.col("dims")))
     return {"skill_cards": cards, "skill_index": cards.groupBy("conclusion").agg(F.count("*").alias("n"))}

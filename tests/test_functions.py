@@ -163,3 +163,14 @@ def test_quick_alternations_match_as_plain_ones(spark):
 @pytest.mark.parametrize(("given", "want"), [("a\n\n # x\n \t#y\n z \n\r\n", 2), ("", 0), ("#", 0), ("---\nk: v\n---\na\n-", 2)])
 def test_counted_lines(spark, given, want):
     assert value(spark, text.count_lines(C("t")), t=given) == want
+
+
+def test_scores_are_found_once(spark, tmp_path):
+    """Neither a filter nor an order makes the plan read texts twice."""
+    import __spark_entry__
+
+    spark.createDataFrame([(k, "方法 步骤 1. 流程 模板 方法论。 the end of it all", "s") for k in range(8)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("cls_skill_candidates", "win_position"):
+        df = __spark_entry__.queries()[name](spark, str(tmp_path))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("小红书") <= 1
+        assert df.count() == 8
