@@ -106,7 +106,8 @@ def txt_sentences(spark, d):
 
 @query(f"WITH {sql.MARKED_NOTES} SELECT doc_id, md5(array_to_string({sql.sentences('text')}, '|')) AS said, round(list_sum(list_transform({sql.sentences('text')}, lambda x, i: (i - 1) / greatest(len({sql.sentences('text')}) - 1, 1))), 6) AS places FROM notes WHERE len({sql.sentences('text')}) > 0")
 def win_position(spark, d):
-    s = src.marked_notes(spark, d).select("doc_id", text.positioned(text.split_sentences(F.col("text"))).alias("s")).where("size(s) > 0")
+    found = F.array(text.positioned(text.split_sentences(F.col("text"))))
+    s = src.marked_notes(spark, d).select("doc_id", F.explode(F.filter(found, lambda x: F.size(x) > 0)).alias("s"))  # a filter would split texts once more
     return s.select("doc_id", F.md5(F.array_join(F.transform("s", lambda x: x["text"]), "|")).alias("said"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["position"]), 6).alias("places"))
 
 
