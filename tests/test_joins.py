@@ -94,3 +94,20 @@ def test_values_are_filled_across_blocks(spark):
         last[g] = v or last.get(g)
         want.append((g, i, last[g]))
     assert Counter((r["g"], r["i"], r["v"]) for r in got) == Counter(want)
+
+
+def test_grams_of_a_long_text_are_found_in_one_pass(spark):
+    """By their places, they would be sought from the text's beginning each: quadratic in its length."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import containment
+
+    short = spark.createDataFrame([("ab\ncä\U0001f600d",)], "t string").select(containment.grams(F.col("t"), (3,)).alias("g")).first()["g"]
+    assert {"ab\n", "b\nc", "\ncä", "cä\U0001f600", "ä\U0001f600d"} <= set(short)
+    texts = spark.createDataFrame([(k, "wörter ohne ende " * 12_000 + "stichwort") for k in range(2)], "key long, text string")
+    words = spark.createDataFrame([("stichwort",), ("stichwörter",), ("ende w",), ("e",), ("",)], "keyword string")
+    start = time.time()
+    assert sorted(map(tuple, containment.keywords_in(texts, words).collect())) == sorted((k, w) for k in range(2) for w in ("stichwort", "ende w", "e"))
+    assert time.time() - start < 20
