@@ -78,3 +78,14 @@ def test_only_changed_buckets_are_written(spark, tmp_path):
     assert len(back()) == 39
     state.write_changed(table().limit(0), path, "path", 16)
     assert files() == {}
+
+
+def test_large_tables_in_few_files_are_dealt(spark, tmp_path, monkeypatch):
+    """A file's row group is one task's, so that a large table in one file is dealt into parts of a bounded size."""
+    from quillspark.sources import notes
+
+    spark.range(20_000).selectExpr("id doc_id", "md5(cast(id as string)) text").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(notes, "SPREAD_BYTES", 1000)
+    monkeypatch.setattr(notes, "PART_BYTES", 50_000, raising=False)
+    df = notes.table(spark, f"{tmp_path}/t.parquet")
+    assert df.rdd.getNumPartitions() > 4 and df.count() == 20_000
