@@ -60,7 +60,10 @@ CHANGES = "path string, mtime timestamp, hash string, status string"
 
 def _status(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The status of a path's versions in the order of their mtime, against the last one that counted."""
-    rows = pd.concat(list(parts)).sort_values(["mtime", "hash"], kind="stable")  # of one path in one batch
+    rows = list(parts)  # of one path in one batch
+    rows = rows[0] if len(rows) == 1 else pd.concat(rows)
+    if len(rows) > 1:  # mostly one file a path
+        rows = rows.sort_values(["mtime", "hash"], kind="stable")
     old, found = (state.get if state.exists else None), []
     for mtime, digest in zip(rows["mtime"], rows["hash"], strict=True):
         at = mtime.value
