@@ -6,9 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import cards
+from quillspark.functions import cards, tokens
 from quillspark.functions import taxonomy as tx
-from quillspark.operators import containment, graph, similarity, verdicts
+from quillspark.operators import containment, graph, similarity, tiles, verdicts
 
 NASTY = ["", "a", "ab", "abc", "aaaa", "漢字", "漢", "x😀y", "😀", "the cat", "cat", None, "ca", "t", "at s"]
 
@@ -111,3 +111,37 @@ def test_grams_of_a_long_text_are_found_in_one_pass(spark):
     start = time.time()
     assert sorted(map(tuple, containment.keywords_in(texts, words).collect())) == sorted((k, w) for k in range(2) for w in ("stichwort", "ende w", "e"))
     assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("backend", ["tfidf", "legacy"])
+def test_tiles_equal_a_join_on_terms(spark, monkeypatch, backend):
+    """Several tiles a side, terms by columns and by postings, assets without terms."""
+    c, i = link_tables(spark, 40)
+    bags = tokens.bag(c, "key"), tokens.bag(i, "key")
+    joined = similarity.shared_terms(*bags, similarity.idf(bags[0].unionByName(bags[1])))
+    value = "n_shared" if backend == "legacy" else "weight"
+    want = Counter((r["a"], r["b"], round(r[value], 6), r["p"]) for r in joined.select("a", "b", value, similarity.keyword_points(joined, backend).alias("p")).collect())
+    for left, right in ((2048, 4096), (25, 30)):
+        monkeypatch.setattr(tiles, "LEFT", left)
+        monkeypatch.setattr(tiles, "RIGHT", right)
+        got = similarity.shared_pairs(c, i, backend)
+        assert len(want) > 1000 and Counter((r["a"], r["b"], round(r[value], 6), r["points"]) for r in got.collect()) == want
+    assert similarity.shared_pairs(c.limit(0), i, backend).count() == 0
+
+
+def test_scores_are_the_same_in_any_tiles(spark, monkeypatch):
+    c, i = link_tables(spark, 40)
+    want = Counter(tuple(r) for r in similarity.scored_pairs(c, i, tx.SAMPLE, 30).collect())
+    monkeypatch.setattr(tiles, "LEFT", 25)
+    monkeypatch.setattr(tiles, "RIGHT", 30)
+    assert len(want) > 100 and Counter(tuple(r) for r in similarity.scored_pairs(c, i, tx.SAMPLE, 30).collect()) == want
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Every pair of these shares every word: a join on words would shuffle 40 rows a pair."""
+    words = " ".join(f"word{i}" for i in range(40))
+    c, i = (spark.range(600).select(F.concat(F.lit(k), "id").alias("key"), F.lit(words).alias("text")) for k in "ci")
+    got = similarity.shared_pairs(c, i, "legacy")
+    assert got.count() == 360_000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")] and got.where("n_shared <> 40").count() == 0
