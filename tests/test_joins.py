@@ -145,3 +145,11 @@ def test_pairs_are_not_shuffled(spark):
     assert got.count() == 360_000
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")] and got.where("n_shared <> 40").count() == 0
+
+
+def test_the_rest_of_a_search_is_scored_in_tiles(spark):
+    """Not by postings, whose candidates are shuffled one by one."""
+    c, i = link_tables(spark, 30)
+    got = similarity.top_links(c, i, tx.SAMPLE, 3, seeds=(4,))
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() > 30
