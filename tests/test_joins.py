@@ -153,3 +153,13 @@ def test_the_rest_of_a_search_is_scored_in_tiles(spark):
     got = similarity.top_links(c, i, tx.SAMPLE, 3, seeds=(4,))
     assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() > 30
+
+
+def test_terms_are_counted_where_texts_are_read(spark):
+    rows = [(1, "cat cat dog"), (2, "dog"), (2, "dog ape dog"), (None, "ape"), (None, "ape cat"), (3, None), (4, "")]
+    notes = spark.createDataFrame(rows, "k long, text string")
+    want = {(1, "cat", 2), (1, "dog", 1), (2, "dog", 3), (2, "ape", 1), (None, "ape", 2), (None, "cat", 1)}
+    assert Counter(tuple(r) for r in tokens.bag(notes, "k").collect()) == Counter(want)
+    assert Counter(tuple(r) for r in tokens.top_terms(notes, "k", 1).collect()) == Counter([(1, "cat", 2, 1), (2, "dog", 3, 1), (None, "ape", 2, 1)])
+    plan = tokens.bag(notes.where("k = 1"), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
