@@ -204,10 +204,7 @@ def kw_link_tokens(spark, d):
     "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rank FROM c) SELECT doc_id, term, tf, rank FROM r WHERE rank <= 18"
 )
 def kw_top_terms(spark, d):
-    from pyspark.sql import Window as W
-
-    b = tokens.bag(run_notes(spark, d), "doc_id")
-    return b.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("tf"), "term")).cast("long")).where("rank <= 18")
+    return tokens.top_terms(run_notes(spark, d), "doc_id", 18)
 
 
 _BULLETS = f"list_filter(list_transform(regexp_extract_all({sql.frontless('text')}, '(?m)^[ \\t]*(?:[-*•]|[0-9]+[.)、])[ \\t]+([^\\n]+)$', 1), lambda x: {sql.compact('x')}), lambda x: length(x) >= 6)"
