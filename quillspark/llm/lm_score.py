@@ -8,6 +8,10 @@ text there is. A mixer, gated by the tree node, adds the predictors' log-odds wi
 adapted online as a text is read, and an adaptive stage refines its output. The cost in bits of all
 decisions is the text's.
 
+The weights that a text starts with, and the refining table, are fitted on all training text: tasks count its
+decisions by node, outcome and the levels of the predictors' log-odds, each without the decision's own
+count; the sums of these counts, a table whose size is fixed, are what logistic regression needs.
+
 A text is read in steps: bytes up to 64, 128, 256, 512, 1,024 and 2,048, then 2,048 at a time. After each
 step the text's weights and bias move; they are carried to its end and start anew with the next text, so
 the result depends on the text and the model alone, whatever else is in the batch.
@@ -23,6 +27,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +49,27 @@ CELLS = 48
 #: Log-odds are kept as whole numbers of this size, a byte each.
 GRAIN = 0.1
 PAGE = 1 << 13
+#: Least log-odds, in GRAINs, of each level but the first, and the level of each log-odds from -128 on.
+LEVELS = np.array([-66, -46, -32, -22, -14, -7, -2, 3, 8, 15, 23, 33, 47, 67])
+LEVEL = np.searchsorted(LEVELS, np.arange(-128, 128), side="right").astype(np.uint8)
+#: The final log-odds of a decision are rounded to 1 / FINE; costs and errors (bit less its chance) by bit and place.
+FINE, REACH = 64, 14
+PLACES = 2 * REACH * FINE + 1
+_at = (np.arange(PLACES) / FINE - REACH) * np.array([[-1], [1]])
+COST = np.log1p(np.exp(-_at)).astype(np.float32).ravel()
+ERROR = (np.array([[-1], [1]]) / (1 + np.exp(_at))).astype(np.float32).ravel()
 
 
 @dataclass(frozen=True)
 class MixParams:
     """bits, most_bits: the predictors' tables have 2^bits slots an order, or more, about one for each per_slot
-    bytes of training text, up to 2^most_bits (the model is broadcast). tune, tune_bytes: training texts
-    with the least hashes, of at most so many bytes, on which the mixer's starting weights are fitted (a
-    bounded sample; all counts come from all texts). rate, refine: steps of the online updates. block:
-    bytes of text whose tokens are listed together, about. bucket: likewise, whose tokens a bucket adds up."""
+    bytes of training text, up to 2^most_bits (the model is broadcast). rate, refine: steps of the online
+    updates. block: bytes of text whose tokens are listed together, about. bucket: likewise, whose tokens
+    a bucket adds up."""
 
     bits: int = 18
     most_bits: int = 22
     per_slot: int = 256
-    tune: int = 200
-    tune_bytes: int = 100_000
     rate: float = 0.5
     refine: float = 0.5
     block: int = 8_000_000
@@ -99,6 +110,10 @@ class Trees:
     node: np.ndarray
     bit: np.ndarray
 
+    def wide(self) -> Trees:
+        """With numbers that index arrays as they are."""
+        return Trees(*(x.astype(np.intp) for x in (self.first, self.length, self.node, self.bit)))
+
     @classmethod
     def of(cls, pairs: np.ndarray) -> Trees:
         """pairs: 256 x 256 counts."""
@@ -127,6 +142,20 @@ def before(text: bytes, at: int) -> bytes:
     return text[at - BACK : at] if at else LEAD
 
 
+_P = np.uint64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """_P^0, _P^1, ... and their inverses, n or more."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
+            x = np.full(2 * n, base, np.uint64)
+            x[0] = 1
+            _powers[k] = np.multiply.accumulate(x)
+    return _powers
+
+
 def lay_out(parts: list[tuple[bytes, bytes]], bits: int) -> Laid:
     """parts: (before, window), of which the windows are coded."""
     data = np.frombuffer(b"".join(x for part in parts for x in part), np.uint8)
@@ -134,40 +163,56 @@ def lay_out(parts: list[tuple[bytes, bytes]], bits: int) -> Laid:
     lead = np.array([len(x) for x, _ in parts], np.int64)
     start = np.cumsum(size + lead) - size
     at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-    d = data.astype(np.uint32)
     mul = [np.uint32(k) for k in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
     shift = np.uint32(32 - bits)
-    two = d[at - 1] * mul[0] + d[at - 2] * mul[1]
-    four = two + d[at - 3] * mul[2] + d[at - 4] * mul[3]
+    # contexts of all places from the fifth on; every window has four bytes before it
+    d = data.astype(np.uint32)
+    two = d[3:-1] * mul[0] + d[2:-2] * mul[1]
+    four = two + d[1:-3] * mul[2] + d[:-4] * mul[3]
     four = (four ^ (four >> np.uint32(15))) * mul[3]
     two = (two ^ (two >> np.uint32(15))) * mul[2]
-    # letters weighted by their place in their word: sums over the whole array, less what is before the word
+    # letters weighted by powers: sums over the whole array, less what is before the word, over the power at its start
     fresh = np.concatenate([[True], data[:-1] <= 32])
     fresh[start - lead] = True
-    word_at = np.maximum.accumulate(np.where(fresh, np.arange(len(data), dtype=np.int32), 0))
-    big = data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    zero = np.zeros(1, np.uint64)
-    plain = np.concatenate([zero, np.cumsum(big, dtype=np.uint64)])
-    placed = np.concatenate([zero, np.cumsum(big * (np.arange(len(data), dtype=np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
-    w = word_at[at]
-    word = (placed[at] - placed[w]) - (plain[at] - plain[w]) * (w.astype(np.uint64) * np.uint64(2))
+    w = np.maximum.accumulate(np.where(fresh, np.arange(len(data)), 0)).take(at)
+    power, inverse = powers(len(data))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * power[: len(data)], dtype=np.uint64)])
+    word = (total.take(at) - total.take(w)) * inverse.take(w)
     word = ((word >> np.uint64(32)).astype(np.uint32) + (at - w).astype(np.uint32) * mul[1]) * mul[0]
-    pair = data[at - 1].astype(np.int32) * 256 + data[at]
-    return Laid(pair, [(x >> shift).astype(np.int32) for x in (two, four, word)], size)
-
-
-def _steps(trees: Trees, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(decisions of each byte, place in the trees of every decision, in order)."""
-    n = trees.length[pair]
-    ends = np.cumsum(n, dtype=np.int32)
-    leaf = np.repeat(trees.first[pair] - (ends - n), n)
-    leaf += np.arange(len(leaf), dtype=np.int32)
-    return n, leaf
-
-
-def _spread(node: np.ndarray, bits: int) -> np.ndarray:
-    """Spreads a context's nodes over the table."""
-    return ((node.astype(np.int64) * 2654435761) & ((1 << bits) - 1)).astype(np.int32)
+    at -= 4
+    pair = (d[3:-1] * np.uint32(256) + d[4:]).take(at).astype(np.intp)
+    return Laid(pair, [(x >> shift).astype(np.intp) for x in (two.take(at), four.take(at), word)], size)
+
+
+def _steps(trees: Trees, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(decisions of each byte; byte, and place in the trees, of every decision, in order)."""
+    n = trees.length.take(pair)
+    ends = np.cumsum(n)
+    opens = np.zeros(int(ends[-1]) if len(n) else 0, np.int8)
+    opens[ends[:-1]] = 1  # no path is empty
+    byte = np.cumsum(opens, dtype=np.intp)
+    leaf = (trees.first.take(pair) - (ends - n)).take(byte)
+    leaf += np.arange(len(leaf))
+    return n, byte, leaf
+
+
+def _slots(ctx: np.ndarray, byte: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Where a predictor keeps the decisions: a context's nodes follow one another."""
+    at = ctx.take(byte)
+    at += node
+    at &= (1 << bits) - 1
+    return at
+
+
+def _read(batches: Iterator[pa.RecordBatch], trees: Trees, bits: int) -> Iterator[tuple[Laid, np.ndarray, np.ndarray]]:
+    """All decisions of texts, part by part: contexts, and byte and place in the trees of each decision."""
+    for b in sliced(batches, size=60_000):
+        texts = [text_bytes(t) for t in b.column("text").to_pylist()]
+        cut = [(before(t, at), t[at : at + WINDOW]) for t in texts for at in range(0, len(t), WINDOW)]
+        for part in ([cut] if sum(map(len, texts)) <= 2 * WINDOW else [[x] for x in cut]):
+            if part:
+                laid = lay_out(part, bits)
+                yield laid, *_steps(trees, laid.pair)[1:]
 
 
 @dataclass
@@ -186,70 +231,99 @@ class Model:
         start = np.full((len(ORDERS), 256), 0.4, np.float32)
         return cls(Trees.of(pairs), odds, p, start, np.tile(np.linspace(-12, 12, CELLS + 1, dtype=np.float32), (256, 1)))
 
-    def bits_of(self, texts: list[bytes], learn: bool = False) -> np.ndarray:
-        """Bits that each text costs. learn: move the starting weights and the refining table (training)."""
+    @cached_property
+    def wide(self) -> Trees:
+        return self.trees.wide()
+
+    def bits_of(self, texts: list[bytes]) -> np.ndarray:
+        """Bits that each text costs."""
         out = np.zeros(len(texts))
         state = np.zeros((len(ORDERS) + 1, len(texts)), np.float32)  # what is added to a text's gated weights, and its bias
         for at in range(0, max(map(len, texts), default=0), WINDOW):
             rows = np.array([k for k, t in enumerate(texts) if len(t) > at])
             own = state[:, rows]
-            out[rows] += self._window([(before(texts[k], at), texts[k][at : at + WINDOW]) for k in rows], at, own, learn)
+            out[rows] += self._window([(before(texts[k], at), texts[k][at : at + WINDOW]) for k in rows], at, own)
             state[:, rows] = own
         return out / math.log(2)
 
-    def _window(self, parts: list[tuple[bytes, bytes]], at: int, state: np.ndarray, learn: bool) -> np.ndarray:
+    def _window(self, parts: list[tuple[bytes, bytes]], at: int, state: np.ndarray) -> np.ndarray:
         """Natural-log costs of windows that start at the same place of their texts; moves state."""
-        bits, trees = self.p.bits, self.trees
-        laid, mask = lay_out(parts, bits), np.int32((1 << bits) - 1)
+        bits, trees = self.p.bits, self.wide
+        laid = lay_out(parts, bits)
         out = np.zeros(len(parts))
         place = at + np.arange(len(laid.pair)) - np.repeat(np.cumsum(laid.size) - laid.size, laid.size)
         step = (np.searchsorted(FIRST_STEPS, place, side="right") + np.maximum(place - FIRST_STEPS[-1], 0) // STEP).astype(np.uint16 if at < 1 << 26 else np.int64)
-        owner = np.repeat(np.arange(len(parts), dtype=np.int32), laid.size)
+        owner = np.repeat(np.arange(len(parts)), laid.size)
         order = np.argsort(step, kind="stable")
         starts = np.unique(step[order], return_index=True)[1]
-        spread, sign_of = _spread(trees.node, bits), trees.bit.astype(np.float32) * 2 - 1
+        weights, refined = self.weights * np.float32(GRAIN), self.refined.ravel()
         for i, j in zip(starts, [*starts[1:], len(order)], strict=True):
             rows = order[i:j]
-            n, leaf = _steps(trees, laid.pair[rows])
-            own = owner[rows]
+            n, byte, leaf = _steps(trees, laid.pair.take(rows))
+            own = owner.take(rows)
             cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             mine, first = own[cut], (np.cumsum(n) - n)[cut]
             many = np.diff(np.concatenate([first, [len(leaf)]]))
-            node, sign, skip = trees.node[leaf], sign_of[leaf], spread[leaf]
+            node = trees.node.take(leaf)
             z, xs = np.zeros(len(leaf), np.float32), []
             for o in range(len(ORDERS)):
-                place_of = np.repeat(laid.ctx[o][rows], n)
-                place_of += skip
-                place_of &= mask
-                x = self.odds[o][place_of].astype(np.float32)
-                x *= np.float32(GRAIN)
+                x = self.odds[o].take(_slots(laid.ctx[o].take(rows), byte, node, bits)).astype(np.float32)
                 xs.append(x)
-                w = self.weights[o][node]
-                w += np.repeat(state[o][mine], many)
+                w = weights[o].take(node)
+                w += np.repeat(state[o][mine] * np.float32(GRAIN), many)
                 w *= x
                 z += w
-            cell = node * (CELLS + 1) + np.clip(np.rint((z + 12) * (CELLS / 24)), 0, CELLS).astype(np.int32)
-            fine = 0.5 * z + 0.5 * self.refined.ravel()[cell] + np.repeat(state[-1][mine], many)
-            e = np.exp(-np.clip(sign * fine, -14, 14))
-            err = sign * (e / (1 + e))  # bit less its chance
-            out += np.bincount(mine, np.add.reduceat(np.log1p(e), first, dtype=np.float64), len(parts))
-            if learn:
-                count = np.bincount(node, minlength=256) + 20.0
-                for o in range(len(ORDERS)):
-                    self.weights[o] += (0.5 * np.bincount(node, err * xs[o], 256) / count).astype(np.float32)
-                size = np.bincount(cell, minlength=256 * (CELLS + 1)) + 20.0
-                self.refined += (2.0 * np.bincount(cell, err, 256 * (CELLS + 1)) / size).reshape(256, -1).astype(np.float32)
-            else:
-                for o in range(len(ORDERS)):  # a bound of the curvature keeps steps from running away
-                    state[o][mine] += np.float32(self.p.rate) * np.add.reduceat(err * xs[o], first) / (0.25 * np.add.reduceat(xs[o] * xs[o], first) + 16)
-                state[-1][mine] += np.float32(self.p.refine) * np.add.reduceat(err, first) / (0.25 * many + 16)
+            cell = np.clip((z + 12) * (CELLS / 24) + np.float32(0.5), 0, CELLS).astype(np.intp)
+            cell += node * (CELLS + 1)
+            z += refined.take(cell)
+            z *= np.float32(0.5)
+            z += np.repeat(state[-1][mine], many)
+            place = np.clip(z * FINE + np.float32(REACH * FINE + 0.5), 0, PLACES - 1).astype(np.intp)
+            place += trees.bit.take(leaf) * PLACES
+            err = ERROR.take(place)
+            out += np.bincount(mine, np.add.reduceat(COST.take(place), first, dtype=np.float64), len(parts))
+            for o in range(len(ORDERS)):  # a bound of the curvature keeps steps from running away
+                slope, curve = np.add.reduceat(err * xs[o], first), np.add.reduceat(xs[o] * xs[o], first)
+                state[o][mine] += np.float32(self.p.rate * GRAIN) * slope / (np.float32(0.25 * GRAIN**2) * curve + 16)
+            state[-1][mine] += np.float32(self.p.refine) * np.add.reduceat(err, first) / (0.25 * many + 16)
         return out
 
     def fit(self, texts: list[bytes]) -> Model:
-        """Starting weights and refining table, from a bounded sample of training texts."""
-        for _ in range(2):
-            for i in range(0, len(texts), 10):
-                self.bits_of(texts[i : i + 10], learn=True)
+        """Starting weights and refining table from texts at hand."""
+        b = pa.RecordBatch.from_arrays([pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string())], ["text"])
+        levels = LEVEL[self.odds.astype(np.int16) + 128]
+        return self.fit_counts(count_levels([b], self.trees, levels | levels << 4, self.p.bits))
+
+    def fit_counts(self, counts: np.ndarray) -> Model:
+        """Starting weights and refining table from the counts of all training decisions by count_levels(): Newton
+        steps from the plain weights, which have the weight of few decisions."""
+        counts = counts.reshape(256, 2, -1)
+        node, cell = np.nonzero(counts.any(axis=1))
+        zeros, ones = (counts[node, k, cell].astype(np.float64) for k in (0, 1))
+        every = zeros + ones
+        edges = np.concatenate([[-100], LEVELS, [100]])
+        value = (edges[:-1] + edges[1:] - 1) / 2 * GRAIN
+        x = [value[cell >> (4 * o) & 15] for o in range(len(ORDERS))]
+        chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        start, w = self.weights.astype(np.float64), self.weights.astype(np.float64)
+        for _ in range(12):
+            p = chance(sum(w[o][node] * x[o] for o in range(len(ORDERS))))
+            err, curve = ones - every * p, every * p * (1 - p)
+            slope = np.array([np.bincount(node, err * x[o], 256) for o in range(len(ORDERS))]) - 20 * (w - start)
+            bend = np.array([[np.bincount(node, curve * x[o] * x[q], 256) for q in range(len(ORDERS))] for o in range(len(ORDERS))])
+            step = np.linalg.solve(bend.transpose(2, 0, 1) + 20 * np.eye(len(ORDERS)), slope.T[:, :, None])[:, :, 0].T
+            w += np.clip(step, -0.3, 0.3)
+        self.weights = w.astype(np.float32)
+        z = sum(w[o][node] * x[o] for o in range(len(ORDERS)))
+        at = node * (CELLS + 1) + np.clip(np.rint((z + 12) * (CELLS / 24)), 0, CELLS).astype(np.int64)
+        middle = self.refined.ravel().astype(np.float64)
+        refined = middle.copy()
+        for _ in range(12):
+            p = chance(0.5 * z + 0.5 * refined[at])
+            slope = 0.5 * np.bincount(at, ones - every * p, len(middle)) - (refined - middle)
+            bend = 0.25 * np.bincount(at, every * p * (1 - p), len(middle)) + 1
+            refined += np.clip(slope / bend, -0.5, 0.5)
+        self.refined = refined.reshape(256, -1).astype(np.float32)
         return self
 
 
@@ -271,64 +345,96 @@ def parts_of(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def paged(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts in pages, without empty ones."""
+    press, pages = zstandard.ZstdCompressor(level=1), total.reshape(-1, 2 * PAGE)
+    for i in np.flatnonzero(pages.any(axis=1)).tolist():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([press.compress(pages[i].tobytes())], pa.binary())], ["page", "counts"])
+
+
 def _gather(trees: Trees, p: MixParams):
     """Each task's decision counts, in pages of PAGE slots of all orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(ORDERS), 2 << p.bits), np.uint32)
-        mask, press = np.int32((2 << p.bits) - 1), zstandard.ZstdCompressor(level=1)
-        skip, one = _spread(trees.node, p.bits) * np.int32(2) + trees.bit, np.uint32(1)
-        for b in sliced(batches, size=250_000):
-            texts = [text_bytes(t) for t in b.column("text").to_pylist()]
-            cut = [(before(t, at), t[at : at + WINDOW]) for t in texts for at in range(0, len(t), WINDOW)]
-            for part in ([cut] if sum(map(len, texts)) <= 2 * WINDOW else [[x] for x in cut]):
-                laid = lay_out(part, p.bits)
-                n, leaf = _steps(trees, laid.pair)
-                own = skip[leaf]
-                for o in range(len(ORDERS)):
-                    at = np.repeat(laid.ctx[o] * np.int32(2), n)
-                    at += own
-                    at &= mask
-                    np.add.at(total[o], at, one)
-        pages = total.reshape(-1, 2 * PAGE)
-        for i in np.flatnonzero(pages.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([press.compress(pages[i].tobytes())], pa.binary())], ["page", "counts"])
+        total, one = np.zeros((len(ORDERS), 2 << p.bits), np.uint32), np.uint32(1)
+        tree = trees.wide()
+        slot = tree.node * 2 + tree.bit
+        for laid, byte, leaf in _read(batches, tree, p.bits):
+            own = slot.take(leaf)
+            for o in range(len(ORDERS)):
+                np.add.at(total[o], _slots(laid.ctx[o] * 2, byte, own, p.bits + 1), one)
+        yield from paged(total)
 
     return run
 
 
-def _add_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in order, several of each, to each page's log-odds; one page is held at a time."""
+def count_levels(batches: Iterator[pa.RecordBatch], trees: Trees, levels: np.ndarray, bits: int) -> np.ndarray:
+    """How many decisions have each node, outcome and level of every order (4 bits each). levels: of each order's
+    slots, that for decisions of 0 in the lower half of a byte, for those of 1 in the upper."""
+    tree, total, one = trees.wide(), np.zeros(512 << 4 * len(ORDERS), np.uint32), np.uint32(1)
+    base, half = (tree.node * 2 + tree.bit) << 4 * len(ORDERS), (tree.bit * 4).astype(np.uint8)
+    for laid, byte, leaf in _read(batches, tree, bits):
+        code, node, shift = base.take(leaf), tree.node.take(leaf), half.take(leaf)
+        for o in range(len(ORDERS)):
+            x = levels[o].take(_slots(laid.ctx[o], byte, node, bits))
+            x >>= shift
+            x &= np.uint8(15)
+            code += x.astype(np.intp) << 4 * o
+        np.add.at(total, code, one)
+    return total
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Pages in order, several of each, to each page's sums; one page is held at a time."""
     opener, at, total = zstandard.ZstdDecompressor(), None, None
-
-    def out() -> pa.RecordBatch:
-        pair = total.reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([log_odds(pair[:, 0], pair[:, 1]).tobytes()], pa.binary())], ["page", "odds"])
-
     for b in batches:
         for page, counts in zip(b.column("page").to_pylist(), b.column("counts"), strict=True):
             if page != at:
                 if at is not None:
-                    yield out()
+                    yield at, total
                 at, total = page, np.zeros(2 * PAGE)
             total += np.frombuffer(opener.decompress(counts.as_buffer()), np.uint32)
     if at is not None:
-        yield out()
+        yield at, total
+
+
+def _add_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages in order to each page's log-odds, and their levels without one decision of 0, and of 1."""
+    for page, total in _sums(batches):
+        zeros, ones = total.reshape(-1, 2).T
+        low, high = (LEVEL[log_odds(np.maximum(zeros - k, 0), np.maximum(ones - 1 + k, 0)).astype(np.int16) + 128] for k in (1, 0))
+        cols = [pa.array([x.tobytes()], pa.binary()) for x in (log_odds(zeros, ones), low | high << 4)]
+        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), *cols], ["page", "odds", "levels"])
+
+
+def _sum_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=1)
+    for page, total in _sums(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([press.compress(total.tobytes())], pa.binary())], ["page", "counts"])
 
 
 def train(texts: DataFrame, pairs: np.ndarray, p: MixParams = MixParams()) -> Model:
     """The model of a table of training texts (column text) with its byte pair counts. Counts come from
-    all of it; the driver gets the tables of log-odds, len(ORDERS) x 2^bits bytes."""
-    rows = texts.select("text")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pages = rows.mapInArrow(_gather(Trees.of(pairs), p), "page int, counts binary").repartition(parts, "page").sortWithinPartitions("page")
+    all of it, and so do the mixer's starting weights; the driver gets the tables of log-odds and their levels,
+    len(ORDERS) x 2^bits bytes each, and 2^21 counts at most."""
+    rows, spark = texts.select("text"), texts.sparkSession
+    parts, trees = int(spark.conf.get("spark.sql.shuffle.partitions")), Trees.of(pairs)
+    by_page = lambda run: rows.mapInArrow(run, "page int, counts binary").repartition(parts, "page").sortWithinPartitions("page")
     odds = np.zeros((len(ORDERS) << p.bits) // PAGE * PAGE, np.int8).reshape(-1, PAGE)
-    for r in store(pages.mapInArrow(_add_pages, "page int, odds binary"), "odds").toLocalIterator():
+    levels = np.full(odds.shape, LEVEL[128] * 17, np.uint8)
+    for r in store(by_page(_gather(trees, p)).mapInArrow(_add_pages, "page int, odds binary, levels binary"), "odds").toLocalIterator():
         odds[r["page"]] = np.frombuffer(r["odds"], np.int8)
-    model = Model.of(pairs, odds.reshape(len(ORDERS), -1), p)
-    fitting = rows.where("text <> ''").where(F.octet_length("text") <= p.tune_bytes)
-    sample = fitting.orderBy(F.xxhash64("text"), "text").limit(p.tune).collect()
-    return model.fit([text_bytes(r["text"]) for r in sample])
+        levels[r["page"]] = np.frombuffer(r["levels"], np.uint8)
+    shared = spark.sparkContext.broadcast((trees, levels.reshape(len(ORDERS), -1)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from paged(count_levels(batches, *shared.value, p.bits))
+
+    counts = np.zeros(512 << 4 * len(ORDERS), np.int64).reshape(-1, 2 * PAGE)
+    for r in store(by_page(counted).mapInArrow(_sum_pages, "page int, counts binary"), "levels").toLocalIterator():
+        counts[r["page"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.float64)
+    shared.destroy()
+    return Model.of(pairs, odds.reshape(len(ORDERS), -1), p).fit_counts(counts)
 
 
 LISTED = "chunk long, bucket int, hashes binary, trained binary, dkeys array<long>, doc_ids array<long>, held array<boolean>, sizes array<long>, at binary, pairs array<int>, pair_counts array<long>"

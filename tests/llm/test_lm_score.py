@@ -92,3 +92,27 @@ def test_next_byte_chances_sum_to_one():
         base = model.bits_of([lead])[0]
         total = sum(2 ** (base - x) for x in model.bits_of([lead + bytes([k]) for k in range(256)]))
         assert abs(total - 1) < 1e-3
+
+
+def test_starting_weights_come_from_all_training_text(spark):
+    import pyarrow as pa
+
+    p, texts = lm.MixParams(bits=13), prose(7, 260) + [b" ".join(prose(8, 120))]
+    assert len(texts[-1]) > 100_000
+    pairs = sum(np.bincount(d[:-1] * 256 + d[1:], minlength=65536) for d in (np.frombuffer(lm.LEAD + t + lm.LEAD, np.uint8).astype(np.int64) for t in texts)).reshape(256, 256)
+    batch = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts])], ["text"])
+    trees = lm.Trees.of(pairs)
+    odds, levels = np.zeros((3, 1 << 13), np.int8), np.full((3, 1 << 13), lm.LEVEL[128] * 17, np.uint8)
+    for r in lm._add_pages(pa.Table.from_batches(lm._gather(trees, p)([batch])).to_batches()):
+        for into, column in ((odds, 1), (levels, 2)):
+            into.reshape(-1, lm.PAGE)[r.column(0)[0].as_py()] = np.frombuffer(r.column(column)[0].as_py(), into.dtype)
+    counts = lm.count_levels([batch], trees, levels, p.bits)
+    laid = lm.lay_out([(lm.LEAD, t) for t in texts], p.bits)
+    assert counts.sum() == trees.length[laid.pair].sum()
+    want = lm.Model.of(pairs, odds, p).fit_counts(counts)
+    rows = [(t.decode(),) for t in texts]
+    got = lm.train(spark.createDataFrame(rows, "text string").repartition(7), pairs, p)
+    assert np.array_equal(got.odds, odds) and np.allclose(got.weights, want.weights) and np.allclose(got.refined, want.refined)
+    longest = lm.train(spark.createDataFrame(rows[-1:], "text string"), pairs, p)
+    assert np.abs(longest.weights - 0.4).max() > 0.05
+    assert lm.train(spark.createDataFrame([], "text string"), np.zeros((256, 256), np.int64), p).weights.max() == np.float32(0.4)
