@@ -33,6 +33,8 @@ from .common import Scratch, new_path, sliced, store
 
 #: Bytes of text, about, whose distinct pieces are encoded together.
 PART = 8_000_000
+#: Distinct pieces whose ids a worker remembers, about.
+REMEMBERED = 800_000
 #: Pieces that go to the library as one text.
 JOINED = 50
 #: Characters that make a token run of their own after a word.
@@ -66,9 +68,9 @@ class StoreParams:
 class Encoder:
     """Ids of whole texts. A pre-tokeniser of the byte-level kind never joins a space that stands between
     other characters to what is before it, so a text without runs of white space around a space is
-    encoded piece by piece, each piece starting at a space. Distinct pieces of a batch go to the library
-    together, many as one text that is cut again where a token begins with a space, and the batch's ids
-    are gathered from theirs. Other texts are encoded whole.
+    encoded piece by piece, each piece starting at a space. Distinct pieces of a batch that are not remembered
+    from those before go to the library together, many as one text that is cut again where a token begins
+    with a space, and the batch's ids are gathered from all. Other texts are encoded whole.
 
     A piece of Latin letters, with or without marks after them, is known to be one or two runs for the
     pre-tokeniser; these are written as it would write them, and only its model is asked."""
@@ -96,8 +98,28 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        """pool: ids of pieces and texts, one after another; first and size: where each begins, and its length."""
+        """pool: ids of pieces and texts, one after another; first and size: where each begins, and its length.
+        known: the pieces that are remembered, which come first in the pool."""
         self.pool, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.known = pa.array([], pa.string())
+
+    def _gathered(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at places, one after another, and the number of ids before each place and after the last."""
+        size = self.size[seq]
+        before = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat((self.first[seq] - before[:-1]).astype(np.int32), size)
+        at += np.arange(before[-1], dtype=np.int32)
+        return self.pool[at], before
+
+    def _remember(self, pieces: pa.Array, places: np.ndarray) -> None:
+        """Keep the known pieces and new ones, or the given ones alone if all are too many; forget all else."""
+        if len(self.known) + len(pieces) > REMEMBERED:
+            kept, seq = pieces, places
+        else:
+            new = places >= len(self.known)
+            kept, seq = pa.concat_arrays([self.known, pieces.filter(pa.array(new))]), np.concatenate([np.arange(len(self.known)), places[new]])
+        ids, before = self._gathered(seq)
+        self.known, self.pool, self.first, self.size = kept, ids, before[:-1].astype(np.int32), np.diff(before).astype(np.int32)
 
     def _keep(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Add runs of ids to the pool; gives their places."""
@@ -153,7 +175,11 @@ class Encoder:
         whole = np.fromiter((not self.by_piece or any(s in t for s in self.special) or bool(self.unsafe.search(t)) for t in texts.to_pylist()), bool, len(texts))
         lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
         offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
-        found = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        pieces = coded.dictionary
+        places = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int32)
+        new = places < 0
+        places[new] = self._learn(pieces.filter(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
+        found = places[coded.indices.to_numpy()]
         found[offsets[:-1]] = self._each(lists.values.take(pa.array(offsets[:-1])).to_pylist())  # no space before a text's first
         many = np.ones(len(texts), np.int64)
         many[~whole] = np.diff(offsets)
@@ -164,12 +190,8 @@ class Encoder:
         seq[start[whole]] = self._each(texts.filter(pa.array(whole)).to_pylist())
         if end is not None:
             seq[stop - 1] = self._keep(np.array([end], np.uint32), np.array([1]))
-        size = self.size[seq]
-        before = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat((self.first[seq] - before[:-1]).astype(np.int32), size)
-        at += np.arange(before[-1], dtype=np.int32)
-        ids = self.pool[at]
-        self._clear()
+        ids, before = self._gathered(seq)
+        self._remember(pieces, places)
         return ids, before[stop] - before[start]
 
     def whole(self, text: str) -> bytes:
@@ -249,6 +271,11 @@ def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([x for row in rows for x in row], kind))
 
 
+def _plain(x: pa.Array) -> list:
+    """As to_pylist(), quicker; not for numbers with nulls."""
+    return x.to_numpy(zero_copy_only=False).tolist()
+
+
 def small(ids: np.ndarray) -> bytes:
     """Ids as stored: two bytes each if that is enough, told by a leading byte; little-endian."""
     return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else b"\x04" + ids.astype("<u4").tobytes()
@@ -286,7 +313,6 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     pack, seq, opener = TaskContext.get().partitionId(), 0, zstandard.ZstdDecompressor()
     at_key, mine = None, {}
-    names = ("doc_id", "key", "n_tokens", "chunks", "ends", "ids", "mine")
 
     def built(rows: list[tuple]) -> pa.RecordBatch:
         doc_ids, seqs, n, chunks, owned, roots = zip(*rows, strict=True)
@@ -298,18 +324,22 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         rows, size = [], 0
-        for doc_id, key, n, chunks, ends, ids, listed in zip(*(b.column(c) for c in names), strict=True):
-            key = key.as_py()
-            if not ids.is_valid:
-                at_key, mine = key, {x["nth"]: x["shared"] for x in listed.as_py()}
+        lists = {c: b.column(c) for c in ("chunks", "ends", "mine")}
+        at = {c: x.offsets.to_pylist() for c, x in lists.items()}
+        digests, stop, nth, shared = map(_plain, (lists["chunks"].values, lists["ends"].values, lists["mine"].values.field("nth"), lists["mine"].values.field("shared")))
+        own = lambda c, k, values: values[at[c][k] : at[c][k + 1]]
+        ids = b.column("ids")
+        for k, (doc_id, key, n, held) in enumerate(zip(b.column("doc_id").to_pylist(), _plain(b.column("key")), b.column("n_tokens").to_pylist(), _plain(ids.is_valid()), strict=True)):
+            if not held:
+                at_key, mine = key, dict(zip(own("mine", k, nth), own("mine", k, shared), strict=True))
                 continue
-            chunks, owned = chunks.as_py(), []
+            chunks, owned = own("chunks", k, digests), []
             if key == at_key:  # of equal rows, the first owns
-                at_key, whole, stops = None, opener.decompress(ids.as_py()), [0, *ends.as_py()]
+                at_key, whole, stops = None, opener.decompress(ids[k].as_py()), [0, *own("ends", k, stop)]
                 wide, kind = whole[0], whole[:1]
-                owned = [(k, mine[k], kind + whole[1 + wide * stops[k] : 1 + wide * stops[k + 1]]) for k in sorted(mine)]
-            rows.append((doc_id.as_py(), seq, n.as_py(), chunks, owned, merkle(chunks)))
-            seq, size = seq + 1, size + n.as_py()
+                owned = [(i, mine[i], kind + whole[1 + wide * stops[i] : 1 + wide * stops[i + 1]]) for i in sorted(mine)]
+            rows.append((doc_id, seq, n, chunks, owned, merkle(chunks)))
+            seq, size = seq + 1, size + n
             if size > 300_000:
                 yield built(rows)
                 rows, size = [], 0
@@ -358,7 +388,7 @@ def _rebuild(checksum: bool):
 
     def parts(b: pa.RecordBatch, column: str) -> tuple[list, list, list]:
         lists = pc.fill_null(b.column(column), [])
-        return lists.offsets.to_pylist(), lists.values.field("nth").to_pylist(), lists.values.field("ids").to_pylist()
+        return lists.offsets.to_pylist(), _plain(lists.values.field("nth")), _plain(lists.values.field("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -366,8 +396,9 @@ def _rebuild(checksum: bool):
                 b = whole.slice(at, 500)
                 kept, good = [], []
                 sources = [parts(b, c) for c in ("owned", "others")]
-                chunks = b.column("chunks").to_pylist()
-                for k, (own, root, n) in enumerate(zip(chunks, b.column("root").to_pylist(), b.column("n_tokens").to_pylist(), strict=True)):
+                at_chunk, digests = b.column("chunks").offsets.to_pylist(), _plain(b.column("chunks").values)
+                for k, (root, n) in enumerate(zip(b.column("root").to_pylist(), b.column("n_tokens").to_pylist(), strict=True)):
+                    own = digests[at_chunk[k] : at_chunk[k + 1]]
                     found = [b""] * len(own)
                     for offsets, nth, ids in sources:
                         for j in range(offsets[k], offsets[k + 1]):

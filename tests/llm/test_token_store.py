@@ -76,3 +76,16 @@ def test_cuts_follow_content():
         ends = ts.cuts(x, p)
         assert (ends or [0])[-1] == len(x)
         assert all(0 < j - i <= p.most for i, j in zip([0, *ends], ends, strict=False))
+
+
+def test_pieces_are_learned_once(monkeypatch):
+    e, asked = ts.Encoder(PATH), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda pieces: asked.append(sorted(pieces)) or learn(pieces))
+    first, second = "one two three, é two", "x two three, four é"
+    assert [e.encode(t) for t in (first, second)] == [e.whole(t) for t in (first, second)]
+    assert asked == [["one", "three,", "two", "é"], ["four", "x"]]
+    monkeypatch.setattr(ts, "REMEMBERED", 7)  # too few for both: the second batch's stay
+    assert e.encode("five six two") == e.whole("five six two") and e.known.to_pylist() == ["five", "six", "two"]
+    for t in (second, "six five", "", " ", "six five\n \n"):
+        assert e.encode(t) == e.whole(t)
