@@ -33,6 +33,8 @@ from .common import Scratch, new_path, sliced, store
 
 #: Bytes of text, about, whose distinct pieces are encoded together.
 PART = 8_000_000
+#: Ids that are hashed together.
+BLOCK = 1 << 15
 #: Distinct pieces whose ids a worker remembers, about.
 REMEMBERED = 800_000
 #: Pieces that go to the library as one text.
@@ -219,11 +221,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def cut_all(ids: np.ndarray, sizes: np.ndarray, p: StoreParams) -> list[list[int]]:
     """Ends of the chunks of id streams that follow one another: after an id at which the rolling hash of the
     last p.window ids has its low bits clear, at least p.least and at most p.most ids after the last cut."""
-    h = _mix(ids.astype(np.uint64) + np.uint64(1))
-    rolling = np.zeros(len(ids), np.uint64)
-    for k in range(min(p.window, len(ids))):
-        rolling[k:] += h[: len(ids) - k] * np.uint64(2 * k + 1)
-    marks = np.flatnonzero((_mix(rolling) & np.uint64(p.mean - 1)) == 0) + 1
+    marks = [np.empty(0, np.int64)]
+    for at in range(0, len(ids), BLOCK):
+        back = min(at, p.window - 1)
+        h = _mix(ids[at - back : at + BLOCK].astype(np.uint64) + np.uint64(1))
+        rolling = np.zeros(len(h), np.uint64)
+        for k in range(min(p.window, len(h))):
+            rolling[k:] += h[: len(h) - k] * np.uint64(2 * k + 1)
+        marks.append(np.flatnonzero((_mix(rolling[back:]) & np.uint64(p.mean - 1)) == 0) + at + 1)
+    marks = np.concatenate(marks)
     stop = np.cumsum(sizes)
     parts = np.searchsorted(marks, np.concatenate([[0], stop]), side="right")
     out = []
@@ -292,7 +298,7 @@ def _encode(path: str, p: StoreParams):
         e, press = encoder(path), zstandard.ZstdCompressor(level=1)
         for b in sliced(batches, size=PART):
             ids, n = e.encode_all(b.column("text"), p.end)
-            ends, raw, stop = cut_all(ids, n, p), memoryview(ids.tobytes()), np.cumsum(n)
+            ends, raw, stop = cut_all(ids, n, p), memoryview(ids).cast("B"), np.cumsum(n)
             chunks, packed = [], []
             for end, last, own in zip(stop.tolist(), n.tolist(), ends, strict=True):
                 at = end - last
