@@ -14,6 +14,7 @@ the ids, and verifies chunk digests and roots.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
@@ -35,12 +36,19 @@ from .common import Scratch, new_path, sliced, store
 PART = 8_000_000
 #: Ids that are hashed together.
 BLOCK = 1 << 15
-#: Distinct pieces whose ids a worker remembers, about.
-REMEMBERED = 800_000
+#: Distinct pieces, and distinct words of pieces, whose ids a worker remembers, about.
+REMEMBERED = 300_000
+REMEMBERED_WORDS = 800_000
 #: Pieces that go to the library as one text.
 JOINED = 50
 #: Characters that make a token run of their own after a word.
 MARKS = ".,;:!?)%$&*#|"
+#: Letters below U+0250.
+LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: White space as the library and Python see it.
+BLANK = "[\\t-\\r\\x1c-\\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Stand in words for the space before a word, and for the begin of a word without one; neither is in LATIN or MARKS.
+SPACED, BARE = "_", "~"
 
 
 def byte_letters() -> list[str]:
@@ -67,6 +75,46 @@ class StoreParams:
     pack_docs: int = 1_000_000
 
 
+class Pool:
+    """Ids of pieces, words and texts, one after another; first and size: where each begins, and its length.
+    known: the strings that are remembered, which come first."""
+
+    def __init__(self):
+        self.ids, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.known = pa.array([], pa.string())
+
+    def find(self, strings: pa.Array) -> np.ndarray:
+        """Places of distinct strings, -1 for those not known. The given ones are hashed, as they are fewer than the known."""
+        out, met = np.full(len(strings), -1, np.int32), pc.index_in(self.known, value_set=strings)
+        out[met.drop_null().to_numpy()] = np.flatnonzero(met.is_valid().to_numpy(zero_copy_only=False))
+        return out
+
+    def gathered(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at places, one after another, and the number of ids before each place and after the last."""
+        size = self.size[seq]
+        before = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat((self.first[seq] - before[:-1]).astype(np.int32), size)
+        at += np.arange(before[-1], dtype=np.int32)
+        return self.ids[at], before
+
+    def keep(self, ids: np.ndarray, size: np.ndarray, skip: np.ndarray | int = 0) -> np.ndarray:
+        """Add runs of ids, each without its first skip; gives their places."""
+        at = np.arange(len(self.first), len(self.first) + len(size), dtype=np.int32)
+        self.first = np.concatenate([self.first, (len(self.ids) + np.cumsum(size) - size + skip).astype(np.int32)])
+        self.size, self.ids = np.concatenate([self.size, (size - skip).astype(np.int32)]), np.concatenate([self.ids, ids])
+        return at
+
+    def remember(self, strings: pa.Array, places: np.ndarray, most: int) -> None:
+        """Keep the known strings and new ones, or the given ones alone if all are too many; forget all else."""
+        if len(self.known) + len(strings) > most:
+            kept, seq = strings, places
+        else:
+            new = places >= len(self.known)
+            kept, seq = pa.concat_arrays([self.known, strings.filter(pa.array(new))]), np.concatenate([np.arange(len(self.known)), places[new]])
+        ids, before = self.gathered(seq)
+        self.known, self.ids, self.first, self.size = kept, ids, before[:-1].astype(np.int32), np.diff(before).astype(np.int32)
+
+
 class Encoder:
     """Ids of whole texts. A pre-tokeniser of the byte-level kind never joins a space that stands between
     other characters to what is before it, so a text without runs of white space around a space is
@@ -74,8 +122,9 @@ class Encoder:
     from those before go to the library together, many as one text that is cut again where a token begins
     with a space, and the batch's ids are gathered from all. Other texts are encoded whole.
 
-    A piece of Latin letters, with or without marks after them, is known to be one or two runs for the
-    pre-tokeniser; these are written as it would write them, and only its model is asked."""
+    A piece of Latin letters, marks after them, and lines of such after single line ends, falls into runs for
+    the pre-tokeniser: letters, marks and line ends. These words are remembered too, as many pieces share them.
+    New ones are written as the pre-tokeniser would write them, and only its model is asked."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,114 +135,103 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.model = Tokenizer(self.t.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters = byte_letters()
+        self.letters = "".join({" ": " ", SPACED: "Ġ"}.get(chr(i), x) for i, x in enumerate(byte_letters()))
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocabulary = self.t.get_vocab()
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.by_piece = bool(plain) and all(self.t.decode([i]).isspace() for x, i in vocabulary.items() if "Ġ" in x[1:])
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.unsafe = re.compile(r"\s \s")
+        self.unsafe = "|".join([f"{BLANK} {BLANK}", *(re.escape(x["content"]) for x in spec.get("added_tokens", []))])
+        lines = f"[{LATIN}]+[{re.escape(MARKS)}]*"
+        self.plain = rf"\A{lines}(\n{lines})*\z"
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for x, i in vocabulary.items() if x[0] == "Ġ"]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        """pool: ids of pieces and texts, one after another; first and size: where each begins, and its length.
-        known: the pieces that are remembered, which come first in the pool."""
-        self.pool, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
-        self.known = pa.array([], pa.string())
-
-    def _gathered(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids at places, one after another, and the number of ids before each place and after the last."""
-        size = self.size[seq]
-        before = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat((self.first[seq] - before[:-1]).astype(np.int32), size)
-        at += np.arange(before[-1], dtype=np.int32)
-        return self.pool[at], before
-
-    def _remember(self, pieces: pa.Array, places: np.ndarray) -> None:
-        """Keep the known pieces and new ones, or the given ones alone if all are too many; forget all else."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            kept, seq = pieces, places
-        else:
-            new = places >= len(self.known)
-            kept, seq = pa.concat_arrays([self.known, pieces.filter(pa.array(new))]), np.concatenate([np.arange(len(self.known)), places[new]])
-        ids, before = self._gathered(seq)
-        self.known, self.pool, self.first, self.size = kept, ids, before[:-1].astype(np.int32), np.diff(before).astype(np.int32)
+        self.opens_word = self.opens.copy()
+        self.opens_word[[i for x, i in vocabulary.items() if x == BARE]] = True
+        self.pieces, self.words = Pool(), Pool()
 
-    def _keep(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Add runs of ids to the pool; gives their places."""
-        at = np.arange(len(self.first), len(self.first) + len(size), dtype=np.int32)
-        self.first = np.concatenate([self.first, (len(self.pool) + np.cumsum(size) - size).astype(np.int32)])
-        self.size, self.pool = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.pool, ids])
-        return at
+    @property
+    def known(self) -> pa.Array:
+        return self.pieces.known
 
     def _library(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in (self.model if plain else self.t).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, texts: list[str]) -> np.ndarray:
+    def _each(self, texts: list[str], pool: Pool) -> np.ndarray:
         """Places of texts that the library encodes one by one."""
         got = self._library(texts)
-        return self._keep(np.concatenate([np.empty(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64))
-
-    def _written(self, pieces: list[str]) -> list[str | None]:
-        """Pieces of Latin letters and marks as the pre-tokeniser writes their runs, with white space between
-        them; None for other pieces."""
-        out, letters, marks = [], self.letters, MARKS
-        for x in pieces:
-            w = x.rstrip(marks)
-            if not w.isalpha():
-                out.append(None)
-            elif w.isascii():
-                out.append("Ġ" + x if len(w) == len(x) else "Ġ" + w + " " + x[len(w) :])
-            elif max(w) < "\u0250":
-                out.append("Ġ" + "".join([letters[b] for b in w.encode()]) + " " + x[len(w) :])
-            else:
-                out.append(None)
-        return out
+        return pool.keep(np.concatenate([np.empty(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64))
+
+    def _runs(self, texts: list[str], opens: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of texts that the library encodes many at once, and how many each has; None if these cannot be told apart."""
+        lead = "" if plain else " "
+        joined = [lead + " ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
+        ids = np.concatenate([np.empty(0, np.uint32), *self._library([codecs.charmap_decode(x.encode(), "strict", self.letters)[0] for x in joined] if plain else joined, plain)])
+        first = np.flatnonzero(opens[ids])
+        return (ids, np.diff(np.concatenate([first, [len(ids)]]))) if len(first) == len(texts) else None
+
+    def _learn_words(self, words: list[str]) -> np.ndarray:
+        """Places of words, of which those that begin with SPACED have a space before them."""
+        spaced = np.array([w[0] == SPACED for w in words], bool)
+        got = self._runs([w if s else f"{BARE} {w}" for w, s in zip(words, spaced.tolist(), strict=True)], self.opens_word, True)
+        if got is None:
+            return self._each([" " + w[1:] if w[0] == SPACED else w for w in words], self.words)
+        return self.words.keep(*got, ~spaced)
+
+    def _learn_plain(self, pieces: pa.Array) -> np.ndarray:
+        """Places of pieces of letters, marks and line ends, each with a space before it."""
+        apart = pc.replace_substring(pc.replace_substring_regex(pieces, f"([{re.escape(MARKS)}]+)", r" \1"), "\n", " \n ")
+        lists = pc.split_pattern(pc.binary_join_element_wise(SPACED, apart, ""), " ")
+        coded, offsets = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        words = coded.dictionary
+        places = self.words.find(words)
+        new = places < 0
+        places[new] = self._learn_words(_plain(words.filter(pa.array(new))))
+        ids, before = self.words.gathered(places[coded.indices.to_numpy()])
+        self.words.remember(words, places, REMEMBERED_WORDS)
+        return self.pieces.keep(ids, np.diff(before[offsets]))
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Places of pieces, each with a space before it."""
-        out = np.empty(len(pieces), np.int32)
-        written = self._written(pieces) if self.by_piece else [None] * len(pieces)
-        kind = np.array([0 if w else 1 if x != "" and x == x.strip() else 2 for w, x in zip(written, pieces, strict=True)], np.int8)
-        for k, lead, texts in ((0, "", [w for w in written if w]), (1, " ", [pieces[i] for i in np.flatnonzero(kind == 1)])):
-            joined = [lead + " ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
-            ids = np.concatenate([np.empty(0, np.uint32), *self._library(joined, k == 0)])
-            first = np.flatnonzero(self.opens[ids])
-            if len(first) == len(texts):
-                out[kind == k] = self._keep(ids, np.diff(np.concatenate([first, [len(ids)]])))
-            else:
-                out[kind == k] = self._each([" " + pieces[i] for i in np.flatnonzero(kind == k)])
-        out[kind == 2] = self._each([" " + pieces[i] for i in np.flatnonzero(kind == 2)])
+        out, texts = np.empty(len(pieces), np.int32), pa.array(pieces, pa.string())
+        plain = pc.match_substring_regex(texts, self.plain)
+        kind = np.where(plain.to_numpy(zero_copy_only=False), 0, 2)
+        out[kind == 0] = self._learn_plain(texts.filter(plain))
+        kind[[i for i in np.flatnonzero(kind).tolist() if pieces[i] != "" and pieces[i] == pieces[i].strip()]] = 1
+        some = [pieces[i] for i in np.flatnonzero(kind == 1)]
+        got = self._runs(some, self.opens)
+        out[kind == 1] = self._each([" " + x for x in some], self.pieces) if got is None else self.pieces.keep(*got)
+        out[kind == 2] = self._each([" " + pieces[i] for i in np.flatnonzero(kind == 2)], self.pieces)
         return out
 
     def encode_all(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), one text after another, each with the end id if one is given,
         and how many each has."""
         texts = pc.fill_null(texts, "")
-        whole = np.fromiter((not self.by_piece or any(s in t for s in self.special) or bool(self.unsafe.search(t)) for t in texts.to_pylist()), bool, len(texts))
+        whole = pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
         lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
         offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         pieces = coded.dictionary
-        places = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int32)
+        places = self.pieces.find(pieces)
         new = places < 0
-        places[new] = self._learn(pieces.filter(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
+        places[new] = self._learn(_plain(pieces.filter(pa.array(new))))
         found = places[coded.indices.to_numpy()]
-        found[offsets[:-1]] = self._each(lists.values.take(pa.array(offsets[:-1])).to_pylist())  # no space before a text's first
+        found[offsets[:-1]] = self._each(lists.values.take(pa.array(offsets[:-1])).to_pylist(), self.pieces)  # no space before a text's first
         many = np.ones(len(texts), np.int64)
         many[~whole] = np.diff(offsets)
         stop = np.cumsum(many + (end is not None))
         start = stop - many - (end is not None)
         seq = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
-        seq[np.repeat(start[~whole] - offsets[:-1], np.diff(offsets)) + np.arange(len(found))] = found
-        seq[start[whole]] = self._each(texts.filter(pa.array(whole)).to_pylist())
+        by_piece = np.ones(len(seq), bool)
+        by_piece[start[whole]] = False
+        seq[start[whole]] = self._each(texts.filter(pa.array(whole)).to_pylist(), self.pieces)
         if end is not None:
-            seq[stop - 1] = self._keep(np.array([end], np.uint32), np.array([1]))
-        ids, before = self._gathered(seq)
-        self._remember(pieces, places)
+            by_piece[stop - 1] = False
+            seq[stop - 1] = self.pieces.keep(np.array([end], np.uint32), np.array([1]))
+        seq[by_piece] = found
+        ids, before = self.pieces.gathered(seq)
+        self.pieces.remember(pieces, places, REMEMBERED)
         return ids, before[stop] - before[start]
 
     def whole(self, text: str) -> bytes:

@@ -89,3 +89,17 @@ def test_pieces_are_learned_once(monkeypatch):
     assert e.encode("five six two") == e.whole("five six two") and e.known.to_pylist() == ["five", "six", "two"]
     for t in (second, "six five", "", " ", "six five\n \n"):
         assert e.encode(t) == e.whole(t)
+
+
+def test_words_are_learned_once(monkeypatch):
+    e, asked = ts.Encoder(PATH), []
+    library = e._library
+    monkeypatch.setattr(e, "_library", lambda texts, plain=False: asked.append(" ".join(texts)) or library(texts, plain))
+    texts = ["x donor, donor. ĠĀɏ\nDonor", "x donor donor&&&\nDonor Donor_ ~.", "x donor.\nDonor, ĠĀɏ.\nªµº", "x ĠĀɏ!\n\ndonor ×÷ a_b a~b donor\n.\ndonor _\n~"]
+    assert [e.encode(t) for t in texts] == [e.whole(t) for t in texts]
+    assert sum(x.count("Ġdonor") for x in asked) == 1 and sum(x.count("~ Donor") for x in asked) == 1
+    monkeypatch.setattr(ts, "REMEMBERED_WORDS", 2)  # too few: the last batch's stay
+    assert e.encode("x five five.") == e.whole("x five five.") and e.words.known.to_pylist() == ["_five", "."]
+    rng, bits = random.Random(4), ["ab", "Ġ", "_", "~", "É", "ß", "ĊĀ", "\n", "\n", " ", " ", ".", ",", "$%", "x1", "ɐ", "\x1c", "\x85", "　", "​"]
+    for t in ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000)]:
+        assert e.encode(t) == e.whole(t), repr(t)
