@@ -137,6 +137,21 @@ def test_scores_are_the_same_in_any_tiles(spark, monkeypatch):
     assert len(want) > 100 and Counter(tuple(r) for r in similarity.scored_pairs(c, i, tx.SAMPLE, 30).collect()) == want
 
 
+def test_rows_are_sent_once_for_many_blocks(spark, monkeypatch):
+    """A row that is sent to each tile of its block makes disk grow with the square of the tables."""
+    c, i = link_tables(spark, 100)
+    want = Counter(tuple(r) for r in similarity.scored_pairs(c, i, tx.SAMPLE, 30).collect()), Counter(tuple(r) for r in similarity.shared_pairs(c, i).collect())
+    best = Counter(tuple(r) for r in similarity.top_links(c, i, tx.SAMPLE, 3, 20, seeds=(4,)).collect())
+    for name, n in (("LEFT", 10), ("RIGHT", 10), ("SPAN", 4), ("TASKS_A_CORE", 0)):
+        monkeypatch.setattr(tiles, name, n, raising=False)
+    ids = lambda df: df.select("key", F.array(F.lit(1)).alias("ids"), F.array(F.lit(1.0)).alias("idf"))
+    assert tiles.tiled(ids(c), ids(i)).count() == 100 * 5 + 200 * 3
+    assert tiles.spans((63, 126), 32) == (4, 4) and tiles.spans((1, 1), 0) == (1, 1)
+    assert Counter(tuple(r) for r in similarity.scored_pairs(c, i, tx.SAMPLE, 30).collect()) == want[0]
+    assert Counter(tuple(r) for r in similarity.shared_pairs(c, i).collect()) == want[1]
+    assert Counter(tuple(r) for r in similarity.top_links(c, i, tx.SAMPLE, 3, 20, seeds=(4,)).collect()) == best
+
+
 def test_pairs_are_not_shuffled(spark):
     """Every pair of these shares every word: a join on words would shuffle 40 rows a pair."""
     words = " ".join(f"word{i}" for i in range(40))
