@@ -137,3 +137,13 @@ def test_no_python_in_plans(spark):
         assert "Python" not in plan
         assert "ArrowEval" not in plan
     assert "CartesianProduct" not in registry.QUERIES["join_bridge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_methods_are_found_once(spark):
+    """A filter on their number, pushed below the texts' repartition, would find them twice."""
+    from quillspark.plans import classify_queries
+
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("验证|使用|运行")
+    rows = classify_queries.agg_methods_excerpt(spark, "/root/testdata/sf0.001")
+    assert count(rows) == count(classify_queries.analysed(spark, "/root/testdata/sf0.001").select("methods")) > 0
+    assert rows.where("method is null").count() == 0 < rows.count() <= 15
